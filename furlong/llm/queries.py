@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from furlong.llm import bpe, langid, packing
 from furlong.llm.ngram_join import near_duplicate_classes
 
 
@@ -11,12 +14,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(column: str, folds: int) -> Column:
+    """crc32 of an id written as text, modulo the number of folds."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % folds
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def language_model(spark: SparkSession, sf_dir: str) -> langid.LanguageModel:
+    return langid.fit(table(spark, sf_dir, "documents").filter(fold("doc_id", 3) != 1))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify_languages(table(spark, sf_dir, "documents"), language_model(spark, sf_dir))
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
+
+
 QUERIES = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_language_id": op9_language_id,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
