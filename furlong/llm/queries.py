@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm import bpe, langid, packing
+from furlong.llm import bpe, langid, packing, toxicity, url_filter
 from furlong.llm.ngram_join import near_duplicate_classes
 
 
@@ -19,10 +19,47 @@ def fold(column: str, folds: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % folds
 
 
+#: The contract's rules.
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "rule string, action string")
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+OP2_SQL = """
+with rules(rule, action) as (values ('com/', 'allow'), ('example.com/en/', 'block'), ('www.example.com/en/', 'allow'), ('net/es/', 'block'), ('net/fr/', 'block')),
+parts as (select rule, action, split_part(rule, '/', 1) as rule_host, substr(rule, strpos(rule, '/')) as rule_path from rules),
+rest as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+parsed as (
+  select row_number() over () as k, page_id,
+    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+  from rest),
+best as (
+  select k, arg_max(rule, length(rule)) as rule, arg_max(action, length(rule)) as action
+  from parsed join parts on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+  group by k)
+select page_id, host, path, rule, coalesce(action, 'allow') as verdict from parsed left join best using (k)
+"""
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
+    """Learned from the labelled documents outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 4) != 2)
+    return toxicity.fit(table(spark, sf_dir, "documents"), labels)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -41,10 +78,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_url_filter": op2_url_filter,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_toxicity": op5_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_language_id": op9_language_id,
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL}
