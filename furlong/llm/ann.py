@@ -31,7 +31,7 @@ SAMPLE_ROWS = 65_536
 TREES = 6
 LEAF = 256
 SEARCH = 1.2
-LEAST = 2000
+LEAST = 12_000
 LEAF_ROWS = 4096
 
 

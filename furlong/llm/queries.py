@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm import ann, bpe, hnsw, langid, packing, toxicity, url_filter
+from furlong.llm import ann, bpe, hnsw, langid, lm_scoring, packing, toxicity, url_filter
 from furlong.llm.ngram_join import near_duplicate_classes
 
 
@@ -19,6 +19,11 @@ def fold(column: str, folds: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % folds
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is the text of conversations, the background all documents."""
+    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations"))
+
+
 #: The contract's rules.
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
@@ -87,6 +92,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_url_filter": op2_url_filter,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
