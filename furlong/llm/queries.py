@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm import ann, bpe, hnsw, langid, lm_scoring, packing, toxicity, url_filter
+from furlong.llm import ann, bpe, hnsw, langid, lm_scoring, packing, pii, toxicity, url_filter
 from furlong.llm.ngram_join import near_duplicate_classes
 
 
@@ -78,6 +78,15 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: The key of the registered query's surrogates; production passes its own secret.
+SURROGATE_KEY = b"surrogates of the registered queries"
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = pii.replace_entities(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    return replaced.select("doc_id", "n_entities", "text")
+
+
 def language_model(spark: SparkSession, sf_dir: str) -> langid.LanguageModel:
     return langid.fit(table(spark, sf_dir, "documents").filter(fold("doc_id", 3) != 1))
 
@@ -99,6 +108,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_pii": op8_pii,
     "op9_language_id": op9_language_id,
     "op10_bpe": op10_bpe,
 }
