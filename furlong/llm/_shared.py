@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +33,24 @@ def dropped(*tables: DataFrame) -> None:
             folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
             if folder.toString().split(":", 1)[-1].lstrip("/").startswith(shared_dir(spark).split(":", 1)[-1].lstrip("/")):
                 folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches hold at most ``BATCH_ROWS`` rows, whole texts being long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, release: Callable[[], None] | None = None) -> None:
+    """At the start of a task: drops what other operators' tasks have kept in this Python worker; ``release`` drops this one's."""
+    for other in [x for x in _CACHES if x != name]:
+        _CACHES.pop(other)()
+    if release is not None:
+        _CACHES[name] = release

@@ -12,8 +12,8 @@ pairs; no link between different texts is lost.
    either's order.  A second pass posts these, once for each key and task;
    postings whose shingle no second key has vanish where they meet.  Shingles
    whose counter is high are salted over several tasks.
-3. In each group of shingle and size band, every key is joined to the smallest
-   key, one such centre for each key.  Those edges are verified; most members of a
+3. In each group of shingle and size band, every key is joined to a centre, one
+   such edge for each key and turn.  Those edges are verified; most members of a
    large group of near copies fall into one component here, at linear cost.
 4. Pairs that still lie in different components, share a prefix shingle and
    pass the length and position bounds are all verified.  None is dropped.
@@ -31,11 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from furlong.llm._graph import components
-from furlong.llm._shared import dropped, stored
+from furlong.llm._shared import claim, dropped, small_batches, stored
 from furlong.llm._text import mix, shingle_sets
 
 ORDER_BUCKETS = 1 << 20
@@ -68,6 +68,7 @@ def prefix_length(n: int) -> int:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row's id, set size, key) of each text, then this task's counters in slices."""
+    claim("ngram_join")
     counts = np.zeros(ORDER_BUCKETS, np.int64)
     names = ["id", "n", "key", "slice", "counts"]
     for batch in batches:
@@ -155,16 +156,18 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches([held]).select(["token", "key", "n", "place"]).to_batches()[0]
 
 
+def _slot(key: int, row_id: int | None) -> int:
+    """The Bloom bit of a key and the id that stands for it."""
+    return (key * 0x9E3779B1 + (row_id if row_id is not None else -1) * 0x85EBCA77) % BLOOM_BITS
+
+
 def _sets_of(shared, wanted):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, bits, seen = shared.value, wanted.value, set()
+        counts, bits = shared.value, wanted.value
         for batch in batches:
             keys, blobs, held = [], [], 0
-            for s in shingle_sets(batch.column(0)):
-                if len(s) and (k := set_key(s)) not in seen and bits[k % BLOOM_BITS]:
-                    if len(seen) > 1 << 20:
-                        seen.clear()
-                    seen.add(k)
+            for row_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
+                if len(s) and bits[_slot(k := set_key(s), row_id)]:
                     keys.append(k)
                     blobs.append(_ordered(s, counts)[::-1].tobytes())
                     held += len(blobs[-1])
@@ -282,23 +285,78 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """The verified pairs of ``edges`` (probe, member), both keys of ``sets``."""
-    salts = max(16, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(salts)).cast("int"))
+    """The verified pairs of ``edges`` (probe, member), both keys of ``sets``.
+
+    A probe's members are dealt to as many tasks as they fill blocks, and the probe's set goes along to each.
+    """
+    counts = stored(edges.groupBy("probe").agg(F.count(F.lit(1)).alias("members")), "counts")
+    share = F.floor(F.col("members") / F.lit(BLOCK // 4)) + 1
+    dealt = stored(edges.join(counts, "probe").select("probe", "member", share.alias("share")).select("probe", "member", F.pmod(F.xxhash64("member"), "share").alias("salt")), "dealt")
     members = dealt.join(sets.withColumnRenamed("key", "member"), "member").select("probe", "salt", "member", "items")
     probes = dealt.select("probe", "salt").distinct().join(sets.withColumnRenamed("key", "probe"), "probe").select("probe", "salt", F.lit(None).cast("long").alias("member"), "items")
     blocks = probes.unionByName(members).repartition("probe", "salt").sortWithinPartitions("probe", "salt", F.col("member").asc_nulls_first())
-    return blocks.mapInArrow(_verify, "a long, b long")
+    found = stored(blocks.mapInArrow(_verify, "a long, b long"), "links")
+    dropped(counts, dealt)
+    return found
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The candidates' Bloom bits of a task, as the bytes that are set."""
+    """The Bloom bits of a task's keys."""
     bits = np.zeros(BLOOM_BITS, bool)
     for batch in batches:
-        bits[batch.column(0).to_numpy() % BLOOM_BITS] = True
+        bits[[_slot(k, i) for k, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]] = True
     yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
 
+def _fetch(texts: DataFrame, rows: DataFrame, keys: DataFrame, order) -> DataFrame:
+    """The ordered sets of ``keys``, hashed anew from the one row that stands for each key (a Bloom filter of fixed size finds them)."""
+    stands = rows.join(keys, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
+    bits = np.zeros(BLOOM_BITS, bool)
+    for row in stands.coalesce(8).mapInArrow(_bits, "bits binary").toLocalIterator():  # eight filters of BLOOM_BITS at most
+        bits |= np.unpackbits(np.frombuffer(row["bits"], np.uint8)).astype(bool)
+    wanted = texts.sparkSession.sparkContext.broadcast(bits)
+    return stored(texts.mapInArrow(_sets_of(order, wanted), "key long, items binary"), "sets")
+
+
+_PREFIX = "(n - floor((4 * n + 4) / 5) + 1)"
+
+
+def _reaches(nx: str, px: str, ny: str, py: str) -> str:
+    """Whether sets of sizes nx and ny that share the shingle at px and py can link: what can be common before it and from it on."""
+    return f"5 * least({nx}, {ny}) >= 4 * greatest({nx}, {ny}) and 9 * (least({px}, {py}) + least({nx} - {px}, {ny} - {py})) >= 4 * ({nx} + {ny})"
+
+
+def _star(met: DataFrame) -> DataFrame:
+    """For each key one edge to a centre, the one that it shares most shingles with.
+
+    A group's centre is the key that has the fewest shingles rarer than the group's: it is
+    near the middle of its copies.  This only saves work: what it leaves open is left to the exhaustive step.
+    """
+    # sizes within a ratio of 0.8 are in the same band or in adjacent ones, so they share one of the bands band and band + 1
+    band = F.floor(F.log("n") / F.lit(float(np.log(1.25)))).cast("int")
+    banded = met.select("token", "key", F.col("n").cast("int").alias("n"), F.col("place").cast("int").alias("place"), F.explode(F.array(band, band + 1)).alias("band"))
+    centre = banded.groupBy("token", "band").agg(F.min_by(F.struct("key", "n", "place"), F.struct("place", "key")).alias("c"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    linked = banded.join(centre, ["token", "band"]).filter("key <> c.key").filter(_reaches("n", "place", "c.n", "c.place"))
+    shared = linked.groupBy(F.col("key").alias("member"), F.col("c.key").alias("probe"), "band", "n").agg(F.count(F.lit(1)).alias("shared")).filter(f"4 * shared >= {_PREFIX}")
+    return stored(shared.groupBy("member").agg(F.max_by("probe", F.struct("shared", "probe")).alias("probe")).select("probe", "member"), "star")
+
+
+def _open_pairs(tagged: DataFrame) -> DataFrame:
+    """(probe, member): keys of different components that may link, judged at the first shingle that they share.
+
+    From that shingle on, x can have ``n - place`` shingles in common with y.  If x's prefix ends before
+    y's, those of its prefix that y's component doesn't post can't be among them (``rest``);
+    which of the two ends first isn't known here, so the better case of the two counts.
+    """
+    by_place = Window.partitionBy("key").orderBy("place")
+    after = F.count(F.lit(1)).over(Window.partitionBy("key")) - F.row_number().over(by_place)
+    t = tagged.withColumn("rest", F.col("n") - F.col("place") - (F.expr(_PREFIX) - F.col("place") - 1 - after))
+    x, y = t.alias("x"), t.alias("y")
+    common = "greatest(least(x.rest, y.n - y.place), least(x.n - x.place, y.rest))"
+    met = x.join(y, F.expr(f"x.token = y.token and x.key < y.key and x.root <> y.root and 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) and 9 * {common} >= 4 * (x.n + y.n)"))
+    return met.select(F.col("x.key").alias("probe"), F.col("y.key").alias("member")).distinct()
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col``, n_shingles (set size), component_id.
 
@@ -312,6 +370,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     An empty table gives an empty table.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     measured = stored(texts.mapInArrow(_measure, "id long, n long, key long, slice int, counts binary"), "measured")
     slices = measured.filter("slice is not null").select("slice", "counts").repartition("slice").mapInArrow(_add_slices, "slice int, counts binary")
@@ -325,41 +384,23 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     posted = posted.repartition("token", "salt").sortWithinPartitions("token", "salt", "key")
     met = stored(posted.mapInArrow(_met, "token long, key long, n long, place long"), "met")
 
-    # sizes within a ratio of 0.8 are in the same band or in adjacent ones, so they share one of the bands band and band + 1
-    band = F.floor(F.log("n") / F.lit(float(np.log(1.25))))
-    banded = met.withColumn("band", F.explode(F.array(band, band + 1)))
-    grouped = banded.groupBy("token", "band").agg(F.min("key").alias("probe"), F.max("key").alias("last")).filter("probe <> last")
-    star = banded.join(grouped, ["token", "band"]).groupBy(F.col("key").alias("member"), "probe").agg(F.count(F.lit(1)).alias("shared"))
-    star = stored(star, "star")
-    edges1 = star.filter("member <> probe").groupBy("member").agg(F.max_by("probe", F.struct("shared", "probe")).alias("probe")).select("probe", "member")
-
-    wanted = star.select(F.col("member").alias("key")).distinct()
-    bits = np.zeros(BLOOM_BITS, bool)
-    for row in wanted.coalesce(8).mapInArrow(_bits, "bits binary").toLocalIterator():  # eight filters of BLOOM_BITS at most
-        bits |= np.unpackbits(np.frombuffer(row["bits"], np.uint8)).astype(bool)
-    sets = texts.select("text").mapInArrow(_sets_of(order, spark.sparkContext.broadcast(bits)), "key long, items binary")
-    sets = stored(sets.groupBy("key").agg(F.first("items").alias("items")).join(wanted, "key", "left_semi"), "sets")
-
-    links1 = stored(_links(edges1, sets), "links")
-    part1 = stored(components(links1), "part")
-    tagged = met.join(part1.withColumnRenamed("node", "key"), "key", "left").select("token", "key", "n", "place", F.coalesce("root", "key").alias("root"))
-    tagged = stored(tagged, "tagged")
-    open_tokens = tagged.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
-    tagged = stored(tagged.join(open_tokens, "token", "left_semi"), "open")
-    x, y = tagged.alias("x"), tagged.alias("y")
-    # overlap needed of sizes x and y against what can follow this shingle, were it the first that they share
-    pairs = (
-        x.join(y, F.expr("x.token = y.token and x.key < y.key and x.root <> y.root and 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) and 9 * least(x.n - x.place, y.n - y.place) >= 4 * (x.n + y.n)"))
-        .select(F.col("x.key").alias("probe"), F.col("y.key").alias("member"))
-        .distinct()
-        .join(edges1.select(F.least("probe", "member").alias("probe"), F.greatest("probe", "member").alias("member")), ["probe", "member"], "left_anti")
-    )
-    links2 = stored(_links(pairs, sets), "links")
-    parts = stored(components(links1.unionByName(links2)), "parts").withColumnRenamed("node", "key")
+    edges = _star(met)
+    sets = _fetch(texts, rows, edges.select(F.explode(F.array("probe", "member")).alias("key")), order)
+    links = _links(edges, sets)
+    dropped(sets)
+    parts = stored(components(links), "part").withColumnRenamed("node", "key")
+    marked = stored(met.join(parts, "key", "left").select("token", "key", "n", "place", F.coalesce("root", "key").alias("root")), "marked")
+    open_tokens = stored(marked.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token"), "open")
+    tagged = stored(marked.join(open_tokens, "token", "left_semi"), "tagged")
+    dropped(met, marked, open_tokens)
+    pairs = stored(_open_pairs(tagged), "pairs")
+    sets = _fetch(texts, rows, pairs.select(F.explode(F.array("probe", "member")).alias("key")), order)
+    links = links.unionByName(_links(pairs, sets))
+    parts = stored(components(links), "parts").withColumnRenamed("node", "key")
 
     named = stored(rows.filter("key is not null").join(parts, "key", "left").select("id", "n", F.coalesce("root", "key").alias("root")), "named")
     lowest = stored(named.groupBy("root").agg(F.min("id").alias("component_id")), "lowest")
     linked = named.join(lowest, "root").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     alone = rows.filter("key is null").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    dropped(met, star, sets, tagged)
+    dropped(sets, tagged, pairs)
     return linked.unionByName(alone)
