@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furlong.llm._shared import stored
+from furlong.llm._shared import claim, small_batches, stored
 
 CAPACITY = 2048
 SLACK = 16
@@ -33,12 +34,15 @@ WINDOW = 1 << 15
 PER_TASK = 20_000
 MEMO = 800_000
 _CHUNK = re.compile(r"[^ \t-\r]+")
+#: Letters of Latin-1 with ASCII punctuation after them: two pieces, the first of which is lower-cased.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class ChunkIds:
-    """Ids of texts, by encoding every distinct chunk between ASCII white space once.
+    """Ids of texts, by encoding the distinct parts of chunks between ASCII white space once.
 
-    For tokenizers that drop white space, no piece spans it and none depends on its neighbours.
+    For lower-casing tokenizers that drop white space and keep letters and punctuation apart:
+    no piece spans white space and none depends on its neighbours.
     """
 
     def __init__(self, path: str):
@@ -48,19 +52,31 @@ class ChunkIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memo: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         chunked = [_CHUNK.findall(t) for t in texts]
-        memo = self.memo
+        memo, words = self.memo, self.words
         unknown = {c for row in chunked for c in row if c not in memo}
         if len(memo) + len(unknown) > MEMO:
             memo.clear()
             unknown = {c for row in chunked for c in row}
-        todo = list(unknown)
+        split = {}
+        for c in unknown:
+            m = _PLAIN.fullmatch(c)
+            split[c] = (m[1].lower(), m[2]) if m else (c,)
+        needed = {w for parts in split.values() for w in parts if w not in words}
+        if len(words) + len(needed) > MEMO:
+            words.clear()
+            words[""] = b""
+            needed = {w for parts in split.values() for w in parts}
+        todo = list(needed)
         for at in range(0, len(todo), 4096):
             part = todo[at : at + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[c] = np.array(e.ids, "<u4").tobytes()
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                words[w] = array("I", e.ids).tobytes()
+        for c, parts in split.items():
+            memo[c] = words[parts[0]] + words[parts[1]] if len(parts) == 2 else words[parts[0]]
         get = memo.__getitem__
         for row in chunked:
             yield b"".join(map(get, row))
@@ -148,6 +164,7 @@ def _schema(id_type: T.DataType) -> T.StructType:
 
 def _cutter(path: str, schema: pa.Schema):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("packing", _LOADED.clear)
         encode, packer, since = chunk_ids(path), _Packer(), 0
         for batch in batches:
             at, n = 0, batch.num_rows
@@ -202,6 +219,7 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = _schema(rows.schema["id"].dataType)
     arrow = to_arrow_schema(kind)
