@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from furlong.llm._shared import claim, small_batches
+
 MEMO = 800_000
 #: White_Space of Unicode, as the tokenizer's pattern has it.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -198,6 +200,7 @@ def tokenizer(path: str) -> ByteBpe:
 
 def _coder(path: str, view: Callable[[ByteBpe, bytes], dict], fields: list[pa.Field]):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", _LOADED.clear)
         bpe = tokenizer(path)
         for batch in batches:
             at, n = 0, batch.num_rows
@@ -231,6 +234,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     A null text counts as empty and has no ids.  Null or repeated ids are
     carried along; extra columns are ignored; an empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     if digests:

@@ -8,7 +8,7 @@ gives each word's posterior, so a code-switched text gets the languages of its
 parts, and the text's language is the one with the most expected words.
 
 Training takes at most ``TRAIN_ROWS`` labelled rows, the ones with the smallest
-hash of their text, so it is bounded and repeatable.  Rows carry one language
+hash of their id, so it is bounded and repeatable.  Rows carry one language
 for all their words, therefore training first takes it for every word, then
 relabels passages that the chain gives to another language and learns again:
 from there come the switches in the transitions.  The model is a few arrays of
@@ -20,15 +20,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from furlong.llm._shared import claim, small_batches
 from furlong.llm._text import mix, pieces
 
-TRAIN_ROWS = 1600
+TRAIN_ROWS = 1000
 EPOCHS = 12
 LEXICON = 4096
 _BITS = 18
@@ -150,9 +152,9 @@ class LanguageModel:
         inner = np.ones(n, bool)
         inner[first[:-1][length > 0]] = False
         at = np.flatnonzero(inner)
-        joint = forward[at - 1][:, :, None] * move[None] * (e[at] * backward[at])[:, None, :]
-        joint /= joint.sum((1, 2), keepdims=True)
-        return post, joint.sum(0)
+        come, go = forward[at - 1], e[at] * backward[at]
+        go /= np.einsum("tj,tj->t", come @ move, go)[:, None]
+        return post, move * (come.T @ go)
 
 
 def train(texts: list[str], langs: list[str], labels: list[str], epochs: int = EPOCHS) -> LanguageModel:
@@ -189,16 +191,19 @@ def train(texts: list[str], langs: list[str], labels: list[str], epochs: int = E
         return model
     v = len(vocabulary)
     hashes = np.fromiter(vocabulary, np.uint64, v)
-    owner, feature = np.repeat(np.arange(v), [len(g) for g in grams]), np.concatenate(grams)
+    owner = np.repeat(np.arange(v), [len(g) for g in grams])
+    used, feature = np.unique(np.concatenate(grams), return_inverse=True)
+    del grams
+    weights = np.zeros((len(used), k))
     count = np.bincount(word, minlength=v)
     frequent = np.argsort(-count, kind="stable")[:LEXICON]
     frequent = frequent[np.argsort(hashes[frequent])]
     model.lexicon, model.lexicon_weights = hashes[frequent], np.zeros((len(frequent), k))
-    weight_speed, lexicon_speed, move_speed = np.full(model.weights.shape, 1e-6), np.full(model.lexicon_weights.shape, 1e-6), np.full((k, k), 1e-6)
+    weight_speed, lexicon_speed, move_speed = np.full(weights.shape, 1e-6), np.full(model.lexicon_weights.shape, 1e-6), np.full((k, k), 1e-6)
     n = len(word)
 
     def emit() -> np.ndarray:
-        out = np.stack([np.bincount(owner, model.weights[feature, j], v) for j in range(k)], 1)
+        out = np.stack([np.bincount(owner, weights[feature, j], v) for j in range(k)], 1)
         out[frequent] += model.lexicon_weights
         return out[word]
 
@@ -208,9 +213,9 @@ def train(texts: list[str], langs: list[str], labels: list[str], epochs: int = E
         onehot[np.arange(n), target] = 1
         slope = onehot - post
         by_word = np.stack([np.bincount(word, slope[:, j], v) for j in range(k)], 1)
-        gradient = np.stack([np.bincount(feature, by_word[owner, j], n_features) for j in range(k)], 1) - 1e-2 * model.weights
+        gradient = np.stack([np.bincount(feature, by_word[owner, j], len(used)) for j in range(k)], 1) - 1e-2 * weights
         np.add(weight_speed, gradient**2, out=weight_speed)
-        model.weights += (0.3 * gradient / np.sqrt(weight_speed)).astype(np.float32)
+        weights[:] += 0.3 * gradient / np.sqrt(weight_speed)
         gradient = by_word[frequent] - 1e-2 * model.lexicon_weights
         np.add(lexicon_speed, gradient**2, out=lexicon_speed)
         model.lexicon_weights += 0.3 * gradient / np.sqrt(lexicon_speed)
@@ -223,7 +228,6 @@ def train(texts: list[str], langs: list[str], labels: list[str], epochs: int = E
         np.add(move_speed, gradient**2, out=move_speed)
         model.moves += np.clip(0.2 * gradient / np.sqrt(move_speed), -0.5, 0.5)
         model.moves = np.maximum(model.moves, -9.0)
-        model.weights[-1] = 0
 
     for epoch in range(epochs):
         target = y
@@ -232,24 +236,27 @@ def train(texts: list[str], langs: list[str], labels: list[str], epochs: int = E
             sure = post.argmax(1)
             target = np.where(post[np.arange(n), sure] > 0.95, sure, y)
         learn(target)
+    model.weights[used] = weights
     return model
 
 
 def _predictor(shared):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("langid")
         model: LanguageModel = shared.value
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             lang, score = [], []
-            for lo, hi, emissions, first in _emitted(model, column):
+            if not model.labels:
+                lang, score = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
+            for lo, hi, emissions, first in _emitted(model, column) if model.labels else ():
                 post = model.posteriors(emissions, first)
                 total = np.concatenate([np.zeros((1, post.shape[1])), np.cumsum(post, 0)])
                 share = total[first[1:]] - total[first[:-1]]
                 words = np.diff(first)
-                best = share.argmax(1) if share.shape[1] else np.zeros(hi - lo, int)
+                best = share.argmax(1)
                 for r in range(hi - lo):
-                    text = None
-                    if words[r] == 0 or not model.labels or not _has_letter(text := column[lo + r].as_py()):
+                    if words[r] == 0 or not _has_letter(column[lo + r].as_py()):
                         lang.append(UNKNOWN)
                         score.append(0.0)
                     else:
@@ -264,7 +271,7 @@ def _has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def _emitted(model: LanguageModel, column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _emitted(model: LanguageModel, column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Emissions of runs of whole texts, taken a piece at a time and handed on a few megabytes at a time."""
     lo, held, parts, firsts, rows, words = 0, 0, [], [np.zeros(1, np.int64)], 0, 0
     for _a, b, data, offsets in pieces(column, 1 << 19):
@@ -282,16 +289,22 @@ def _emitted(model: LanguageModel, column: pa.Array, most: int = 4 << 20) -> Ite
         yield lo, rows, np.concatenate(parts), np.concatenate(firsts)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> LanguageModel:
-    """A model of at most ``rows`` rows with a text and a language; the languages are all that ``labelled`` has."""
-    known = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> LanguageModel:
+    """A model of at most ``rows`` documents, as many of each language, the ones whose ids have the smallest hashes; the languages are all that ``labelled`` has.
+
+    Rows without id, text or language are left out; an id of several texts or languages has the first in order.
+    """
+    known = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("id is not null and text is not null and lang is not null")
     labels = sorted(r["lang"] for r in known.select("lang").distinct().collect())
-    each = max(1, rows // max(1, len(labels)))
-    mixed = known.withColumn("h", F.xxhash64("text"))
-    sample = []
-    for x in labels:  # a bounded number of rows for each language
-        sample += mixed.filter(F.col("lang") == x).orderBy("h", "text").limit(each).select("text", "lang").collect()
-    return train([r["text"] for r in sample], [r["lang"] for r in sample], labels)
+    if not labels:
+        return train([], [], labels)
+    each = max(1, rows // len(labels))
+    first = [known.filter(F.col("lang") == x).select("id").orderBy(F.xxhash64("id"), "id").limit(each) for x in labels]
+    picked = reduce(DataFrame.unionByName, first).distinct()
+    # the picked ids are a bounded table
+    sample = known.join(F.broadcast(picked), "id").groupBy("id").agg(F.min(F.struct("text", "lang")).alias("r")).select("id", "r.text", "r.lang")
+    found = sorted(sample.collect())
+    return train([r["text"] for r in found], [r["lang"] for r in found], labels)
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,6 +317,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return rows.mapInArrow(_predictor(shared), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
@@ -313,6 +327,7 @@ def with_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text"
     from pyspark.sql import types as T
 
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furlong.llm._shared import dropped, stored
+from furlong.llm._shared import dropped, small_batches, stored
 from furlong.llm._text import mix, pieces, word_hashes
 
 VOCABULARY = 1 << 15
@@ -255,6 +255,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: Dat
     ignored.  An empty target or background leaves its model uniform; an empty table of documents gives an empty one.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     text = lambda df: df.select(F.col(text_col).cast("string").alias("text"))
     corpora = {"t": text(target), "b": text(docs if background is None else background)}
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from furlong.llm import _text
+from furlong.llm._shared import claim, small_batches
 from furlong.llm._text import mix, pieces
 
 TRAIN_EACH = 2000
@@ -101,21 +102,27 @@ def train(texts: list[str], labels: list[int], share: float, epochs: int = EPOCH
     y = np.array(labels, float)
     if not len(y):
         return model
-    parts, base_s, base_t = [], 0, 0
-    for lo, _hi, data, offsets in pieces(pa.array(texts, pa.large_string())):
+    column, found = pa.array(texts, pa.large_string()), []
+    for _lo, _hi, data, offsets in pieces(column):  # in how many texts each word is
         b = bags(data, offsets)
-        parts.append((b.words, b.sentence + base_s, b.text + lo))
-        base_s += len(b.text)
-    words, sentence, text = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    pairs = np.unique(np.stack([words, text[sentence].astype(np.uint64)], 1), axis=0)
-    known, seen = np.unique(pairs[:, 0], return_counts=True)
-    model.words = known[seen >= MIN_TEXTS]
+        _, once = np.unique(mix(b.words) + b.text[b.sentence].astype(np.uint64), return_index=True)
+        found.append(np.stack(np.unique(b.words[once], return_counts=True)))
+    words, inverse = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+    seen = np.bincount(inverse, np.concatenate([f[1] for f in found]).astype(float), len(words))
+    model.words = words[seen >= MIN_TEXTS]
     model.weights = np.zeros(len(model.words))
     if not len(model.words):
         return model
-    i = np.minimum(np.searchsorted(model.words, words), len(model.words) - 1)
-    hit = model.words[i] == words
-    word, at = i[hit], sentence[hit]
+    word, at, text, sentences = [], [], [], 0
+    for lo, _hi, data, offsets in pieces(column):
+        b = bags(data, offsets)
+        i = np.minimum(np.searchsorted(model.words, b.words), len(model.words) - 1)
+        hit = model.words[i] == b.words
+        word.append(i[hit].astype(np.int32))
+        at.append((b.sentence[hit] + sentences).astype(np.int32))
+        text.append(b.text + lo)
+        sentences += len(b.text)
+    word, at, text = np.concatenate(word), np.concatenate(at), np.concatenate(text)
     ones = max(1.0, y.sum())
     weight = np.where(y == 1, share / ones, (1 - share) / max(1.0, len(y) - ones)) * len(y)
     n, m = len(y), len(text)
@@ -153,11 +160,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def _scorer(shared, threshold: float, located: bool):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         model: ToxicityModel = shared.value
         kind = pa.list_(pa.struct([("sentence", pa.string()), ("score", pa.float64())]))
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
-            for lo, hi, data, offsets in pieces(column):
+            for lo, hi, data, offsets in pieces(column, 1 << 19):
                 b = bags(data, offsets)
                 p = model.sentences(b)
                 total = noisy_or(p, b.text, hi - lo)
@@ -183,6 +191,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     ddl = f"id {kind}, score double, predicted int, offending array<struct<sentence: string, score: double>>"
     return rows.mapInArrow(_scorer(shared, threshold, True), ddl).withColumnRenamed("id", id_col)
@@ -192,5 +201,6 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text",
     """All columns of ``docs``, with score and predicted; columns of such names are replaced."""
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(_scorer(shared, threshold, False), schema)
