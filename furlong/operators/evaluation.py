@@ -46,6 +46,20 @@ def edges(rows: DataFrame, p: str, price: str) -> DataFrame:
     return rows.withColumn("implied", q).withColumn("fair_odds", F.when((F.col(p) > 0) & (F.col(p) <= 1), 1 / F.col(p))).withColumn("edge", F.col(p) - q).withColumn("relative_edge", F.try_divide(F.col(p) - q, q))
 
 
+def top_pick(rows: DataFrame, p: str, won: str) -> DataFrame:
+    """How often each race's most probable runner wins; ties go to the smaller runner."""
+    best = rows.groupBy("race_id").agg(F.max_by(won, F.struct(p, -F.col("runner_id"))).alias("won"))
+    return best.agg(F.count(F.lit(1)).alias("races"), F.sum("won").alias("wins"), F.avg("won").alias("strike_rate"))
+
+
+def against_market(rows: DataFrame, model: str, market: str, won: str) -> DataFrame:
+    """Both probabilities' scores on the rows that have both, and whether the model's are lower."""
+    y = F.col(won)
+    common = rows.filter(F.col(model).isNotNull() & F.col(market).isNotNull())
+    out = common.agg(F.count(F.lit(1)).alias("n"), *[f(F.col(c), y).alias(f"{name}_{side}") for name, f in (("brier", brier), ("log_loss", log_loss)) for side, c in (("model", model), ("market", market))])
+    return out.withColumn("beats_brier", F.col("brier_model") < F.col("brier_market")).withColumn("beats_log_loss", F.col("log_loss_model") < F.col("log_loss_market"))
+
+
 def cohort(edge: Column) -> Column:
     """Right-closed bins of the edge; their number from 0."""
     out = F.when(edge <= COHORTS[0], 0)

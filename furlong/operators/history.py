@@ -196,6 +196,33 @@ def age_experience(history: DataFrame) -> DataFrame:
     )
 
 
+def pace(runners: DataFrame) -> DataFrame:
+    """Changes of place within earlier runs; ``position_3f``, ``position_2f`` and ``position_1f`` are in-running positions, shares go over the runs where they are known."""
+    share = lambda c: finishing_percentile(F.col(c), F.col("field_size"))
+    rows = runners.select("runner_id", "horse_id", "race_ts", "race_id", share("position_3f").alias("p3"), share("position_2f").alias("p2"), share("position_1f").alias("p1"), share("finishing_position").alias("pf"))
+    before = Window.partitionBy("horse_id").orderBy(F.unix_micros("race_ts")).rangeBetween(Window.unboundedPreceding, -1)
+    h = rows.withColumn("past", F.collect_list(F.struct("p3", "p2", "p1", "pf")).over(before))
+    p3, turn, late = values(F.col("past"), lambda r: r["p3"]), values(F.col("past"), lambda r: r["p1"] - r["p3"]), values(F.col("past"), lambda r: r["pf"] - r["p1"])
+    part = lambda xs, test: F.try_divide(F.size(F.filter(xs, test)).cast("double"), F.size(xs).cast("double"))
+    return h.select(
+        "runner_id",
+        (F.size("past") >= 2).cast("int").alias("pace_features_available"),
+        mean(p3).alias("avg_early_position_percentile"),
+        deviation(p3).alias("early_position_consistency"),
+        part(p3, lambda x: x >= 0.85).alias("prob_competing_for_lead"),
+        part(p3, lambda x: x <= 0.3).alias("slow_start_frequency"),
+        part(p3, lambda x: x >= 0.7).alias("fast_start_frequency"),
+        mean(values(F.col("past"), lambda r: r["p2"] - r["p3"])).alias("transition_change_3f_to_2f"),
+        mean(values(F.col("past"), lambda r: r["p1"] - r["p2"])).alias("transition_change_2f_to_1f"),
+        mean(turn).alias("avg_transition_gain"),
+        part(turn, lambda x: x > 0.02).alias("pct_gaining_in_transition"),
+        part(turn, lambda x: x < -0.02).alias("pct_losing_in_transition"),
+        mean(late).alias("late_position_change_1f_to_finish"),
+        part(late, lambda x: x < -0.02).alias("late_fade_frequency"),
+        part(late, lambda x: x > 0.02).alias("late_gain_frequency"),
+    )
+
+
 def evidence(history: DataFrame) -> DataFrame:
     """The sub-scores that runs alone give, and their weighted score; bands at 20, 40, 65 and 85."""
     n = F.col("n")

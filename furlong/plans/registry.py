@@ -526,3 +526,45 @@ def impute_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = racing.runners(spark, sf_dir)
     middle = rows.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in _NUMERIC]).first()  # one row
     return tidy(rows.select("runner_id", *[x for c in _NUMERIC for x in (F.coalesce(F.col(c).cast("double"), F.lit(middle[c])).alias(c), F.col(c).isNull().cast("int").alias(f"{c}__isnan"))]))
+
+
+def _part(x: str, test: str) -> str:
+    return f"round(count(*) filter ({x} {test})::double / nullif(count({x}), 0), 9)"
+
+
+@query(f"""with {RUNNERS_SQL},
+s as (select runner_id, horse_id, race_ts, race_id, """ + ", ".join(f"case when field_size > 1 then (field_size - {e})::double / (field_size - 1) end as {n}" for n, e in (("p3", "(1 + (draw * 3 + 3) % field_size)"), ("p2", "(1 + (draw * 3 + 2) % field_size)"), ("p1", "(1 + (draw * 3 + 1) % field_size)"), ("pf", "finishing_position"))) + f""" from runners),
+h as (select r.runner_id, s.race_id, s.p3, s.p2 - s.p3 as a, s.p1 - s.p2 as b, s.p1 - s.p3 as t, s.pf - s.p1 as l from s r left join s on s.horse_id = r.horse_id and s.race_ts < r.race_ts)
+select runner_id, (count(race_id) >= 2)::bigint as pace_features_available, round(avg(p3), 9) as avg_early_position_percentile, case when count(p3) >= 2 then round(stddev_pop(p3), 9) end as early_position_consistency,
+  {_part("p3", ">= 0.85")} as prob_competing_for_lead, {_part("p3", "<= 0.3")} as slow_start_frequency, {_part("p3", ">= 0.7")} as fast_start_frequency,
+  round(avg(a), 9) as transition_change_3f_to_2f, round(avg(b), 9) as transition_change_2f_to_1f, round(avg(t), 9) as avg_transition_gain,
+  {_part("t", "> 0.02")} as pct_gaining_in_transition, {_part("t", "< -0.02")} as pct_losing_in_transition, round(avg(l), 9) as late_position_change_1f_to_finish,
+  {_part("l", "< -0.02")} as late_fade_frequency, {_part("l", "> 0.02")} as late_gain_frequency from h group by 1""")
+def pace_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(history.pace(racing.with_positions(racing.runners(spark, sf_dir))))
+
+
+@query(f"""with {RUNNERS_SQL}, {_EDGES}, t as (select won from edged qualify row_number() over (partition by race_id order by p_win desc, runner_id) = 1)
+select count(*) as races, sum(won)::bigint as wins, round(avg(won), 9) as strike_rate from t""")
+def top_pick_strike_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(evaluation.top_pick(_valued(spark, sf_dir), "p_win", "won"))
+
+
+_CLIP = "least(greatest({0}, 1e-6::double), 1 - 1e-6::double)"
+
+
+@query(f"""with {RUNNERS_SQL}, {_MARKET}, b as (select coalesce((finishing_position = 1)::int, 0) as y, p_market as q, round(greatest(model_score, 1e-6::double) / sum(greatest(model_score, 1e-6::double)) over (partition by race_id), 9) as p from market),
+m as (select count(*) as n, round(avg((p - y) ** 2), 9) as brier_model, round(avg((q - y) ** 2), 9) as brier_market,
+  round(avg(-(y * ln({_CLIP.format("p")}) + (1 - y) * ln(1 - {_CLIP.format("p")}))), 9) as log_loss_model, round(avg(-(y * ln({_CLIP.format("q")}) + (1 - y) * ln(1 - {_CLIP.format("q")}))), 9) as log_loss_market from b where q is not null)
+select *, brier_model < brier_market as beats_brier, log_loss_model < log_loss_market as beats_log_loss from m""")
+def market_vs_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = field.market_normalised(field.win_normalised(racing.runners(spark, sf_dir))).withColumn("won", F.coalesce((F.col("finishing_position") == 1).cast("int"), F.lit(0)))
+    return tidy(evaluation.against_market(rows, "p_win", "p_market", "won"))
+
+
+@query(f"""with {RACES_SQL}
+select coalesce(race_class::varchar, 'none') as race_class, flat_jumps, count(*) as races, count(distinct course) as courses, round(100.0::double * count(*) filter (going is null) / count(*), 9) as going_missing_pct, round(avg(distance_f), 9) as mean_distance from races group by 1, 2""")
+def class_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = racing.races(spark, sf_dir)
+    out = rows.groupBy(F.coalesce(F.col("race_class").cast("string"), F.lit("none")).alias("race_class"), "flat_jumps")
+    return tidy(out.agg(F.count(F.lit(1)).alias("races"), F.countDistinct("course").alias("courses"), (100.0 * F.count_if(F.col("going").isNull()) / F.count(F.lit(1))).alias("going_missing_pct"), F.avg("distance_f").alias("mean_distance")))

@@ -77,6 +77,11 @@ def runners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries(spark, sf_dir).join(races(spark, sf_dir), "race_id")
 
 
+def with_positions(runners: DataFrame) -> DataFrame:
+    """In-running positions at three, two and one furlongs out: permutations of the draw."""
+    return runners.withColumns({f"position_{k}f": (F.lit(1) + (F.col("draw") * 3 + k) % F.col("field_size")).cast("int") for k in (3, 2, 1)})
+
+
 def odds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price ticks: the event's user is the runner, its type the bookmaker; a day's off is at 18:00, purchases are starting prices."""
     return table(spark, sf_dir, "events").select(
