@@ -36,7 +36,7 @@ _CHUNK = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
-def _byte_alphabet() -> dict[str, int]:
+def byte_alphabet() -> dict[str, int]:
     """The printable stand-ins of the byte-level alphabet, each with its byte."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     rest = (b for b in range(256) if b not in set(plain))
@@ -53,7 +53,7 @@ class ByteBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        alphabet = _byte_alphabet()
+        alphabet = byte_alphabet()
         to_bytes = lambda token: bytes(alphabet[c] for c in token)
         model = spec["model"]
         self.vocab = {to_bytes(t): i for t, i in model["vocab"].items()}

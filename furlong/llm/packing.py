@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from furlong.llm.bpe import byte_alphabet
 from furlong.llm._shared import claim, small_batches, stored
 
 CAPACITY = 2048
@@ -35,13 +36,46 @@ PER_TASK = 20_000
 MEMO = 800_000
 _CHUNK = re.compile(r"[^ \t-\r]+")
 #: Letters of Latin-1 with ASCII punctuation after them: two pieces, the first of which is lower-cased.
+_ODD_SPACE = [chr(c) for c in (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
+#: The byte-level alphabet's sign of each byte.
+_SHOWN = {b: c for c, b in byte_alphabet().items()}
+
+
+class _Known(dict):
+    """Ids by chunk; what isn't there is encoded and kept."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.piece = tokenizer, tokenizer.model.tokenize
+        self.words: dict[str, bytes] = {"": b""}
+
+    def _word(self, piece: str) -> bytes:
+        """A piece that the tokenizer neither changes nor splits: its model alone gives the ids."""
+        found = self.words.get(piece)
+        if found is None:
+            if len(self.words) > MEMO:
+                self.words.clear()
+                self.words[""] = b""
+            shown = piece if piece.isascii() else "".join(map(_SHOWN.__getitem__, piece.encode()))
+            found = self.words[piece] = array("I", [t.id for t in self.piece(shown)]).tobytes()
+        return found
+
+    def __missing__(self, chunk: str) -> bytes:
+        m = _PLAIN.fullmatch(chunk)
+        if m:
+            found = self._word(m[1].lower()) + self._word(m[2])
+        else:
+            found = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        self[chunk] = found
+        return found
+
 
 class ChunkIds:
     """Ids of texts, by encoding the distinct parts of chunks between ASCII white space once.
 
-    For lower-casing tokenizers that drop white space and keep letters and punctuation apart:
+    For lower-casing byte-level tokenizers that drop white space and keep letters and punctuation apart:
     no piece spans white space and none depends on its neighbours.
     """
 
@@ -51,35 +85,15 @@ class ChunkIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""}
+        self.memo = _Known(self.tokenizer)
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        chunked = [_CHUNK.findall(t) for t in texts]
-        memo, words = self.memo, self.words
-        unknown = {c for row in chunked for c in row if c not in memo}
-        if len(memo) + len(unknown) > MEMO:
-            memo.clear()
-            unknown = {c for row in chunked for c in row}
-        split = {}
-        for c in unknown:
-            m = _PLAIN.fullmatch(c)
-            split[c] = (m[1].lower(), m[2]) if m else (c,)
-        needed = {w for parts in split.values() for w in parts if w not in words}
-        if len(words) + len(needed) > MEMO:
-            words.clear()
-            words[""] = b""
-            needed = {w for parts in split.values() for w in parts}
-        todo = list(needed)
-        for at in range(0, len(todo), 4096):
-            part = todo[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                words[w] = array("I", e.ids).tobytes()
-        for c, parts in split.items():
-            memo[c] = words[parts[0]] + words[parts[1]] if len(parts) == 2 else words[parts[0]]
-        get = memo.__getitem__
-        for row in chunked:
-            yield b"".join(map(get, row))
+        for t in texts:
+            if len(self.memo) > MEMO:
+                self.memo.clear()
+            # str.split() knows more white space than the tokenizer drops
+            chunks = _CHUNK.findall(t) if any(map(t.__contains__, _ODD_SPACE)) else t.split()
+            yield b"".join(map(self.memo.__getitem__, chunks))
 
 
 _LOADED: dict[str, ChunkIds] = {}
