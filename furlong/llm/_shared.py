@@ -9,12 +9,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _OWN.setdefault("dir", "") or tempfile.mkdtemp(prefix="spark-shared-")
+        _OWN["dir"] = found
     return found.rstrip("/")
 
 
