@@ -3,8 +3,10 @@
 Vectors are dealt to shards of at most about ``SHARD_ROWS`` by a hash of their
 id, at least ``MIN_SHARDS``; each shard builds its own graph.  Every vector is
 a query to every shard, in blocks.  A search holds a beam; the beam's width
-starts at ``BEAM`` and doubles until an audit of ``AUDIT`` queries against the
-whole shard finds at least ``RECALL`` of their links.  A query whose beam is full of
+starts at ``BEAM`` and doubles until at least ``RECALL`` of the links of ``PLANTED``
+queries made for the shard are found.  ``AUDIT`` queries spread over each block are then compared
+with the whole shard; where the links found fall below ``RECALL`` the beam doubles again, and
+a shard that had searched with a narrower beam is searched once more.  A query whose beam is full of
 links may have more of them than the beam holds: it is compared with the whole shard
 instead, so there is no cap on partners.  Every link's cosine is computed in double precision
 from the original vectors.  A task sends on link counts and a spanning forest of its links,
@@ -29,6 +31,7 @@ LINKS = 12
 BUILD_BEAM = 40
 BEAM = 24
 AUDIT = 64
+PLANTED = 256
 RECALL = 0.99
 QUERY_ROWS = 1024
 THRESHOLD = 0.9
@@ -203,10 +206,27 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class _Shard:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, threshold: float):
+    """A shard's graph, its beam and what the audits have found; ``widened`` tells that earlier queries had a narrower beam."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, threshold: float, beam: int = 0):
         self.ids, self.vectors, self.threshold = ids, vectors, threshold
         self.unit = vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
-        self.graph, self.beam = Hnsw(self.unit), 0
+        self.graph, self.beam = Hnsw(self.unit), beam or BEAM
+        self.want = self.got = 0  # links of the queries audited at this beam, and those found
+        self.searched = self.widened = False
+        self._audit(self._planted(), None)
+        self.want = self.got = 0
+
+    def _planted(self) -> np.ndarray:
+        """Queries with a link each: vectors of the shard turned as far as the threshold allows, so that links are there however few the table has."""
+        rng = np.random.default_rng(11)
+        x = self.unit[rng.choice(len(self.unit), min(PLANTED, len(self.unit)), replace=False)]
+        away = rng.standard_normal(x.shape)
+        away -= np.einsum("ij,ij->i", away, x)[:, None] * x
+        away /= np.maximum(np.sqrt(np.einsum("ij,ij->i", away, away)), 1e-9)[:, None]
+        t = min(1.0, max(self.threshold, 0.0) + 1e-6)
+        turned = t * x + np.sqrt(1 - t * t) * away
+        return turned / np.sqrt(np.einsum("ij,ij->i", turned, turned))[:, None]
 
     def _whole(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, place) near the threshold or above it, from the whole shard."""
@@ -217,30 +237,41 @@ class _Shard:
             p.append(b + at)
         return np.concatenate(q), np.concatenate(p)
 
-    def _found(self, unit: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids, sims = self.graph.search(unit, beam)
+    def _found(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, sims = self.graph.search(unit, self.beam)
         near = (ids >= 0) & (sims >= self.threshold - 1e-4)
         q, k = np.nonzero(near)
-        return q, ids[q, k], np.flatnonzero(near.all(1)) if beam < len(self.ids) else np.zeros(0, np.int64)
+        return q, ids[q, k], np.flatnonzero(near.all(1))
+
+    def _audit(self, unit: np.ndarray, ids: np.ndarray | None) -> None:
+        """Widens the beam until ``RECALL`` of the links audited at it, these queries' among them, are found; a vector's hit on itself is no link."""
+        n = len(self.ids)
+        if self.beam >= n:
+            return
+        q, p = self._whole(unit)
+        if ids is not None:
+            other = ids[q] != self.ids[p]
+            q, p = q[other], p[other]
+        while len(q) and self.beam < n:
+            fq, fp, full = self._found(unit)
+            got = int((np.isin(q * n + p, fq * n + fp) | np.isin(q, full)).sum())
+            if self.got + got >= RECALL * (self.want + len(q)):
+                self.want, self.got = self.want + len(q), self.got + got
+                return
+            self.beam *= 2
+            self.want = self.got = 0
+            self.widened = self.widened or self.searched
 
     def links(self, ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, place) of all links found, verified."""
         unit = vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
-        while not self.beam or self.beam < len(self.ids):
-            if self.beam and getattr(self, "audited", 0) >= AUDIT:
-                break
-            # widen until the audit passes
-            self.beam = self.beam or BEAM
-            audit = unit[:AUDIT]
-            want = set(zip(*map(np.ndarray.tolist, self._whole(audit)), strict=True))
-            q, p, full = self._found(audit, self.beam)
-            got = set(zip(q.tolist(), p.tolist(), strict=True)) | {x for x in want if x[0] in set(full.tolist())}
-            if len(want & got) >= RECALL * len(want):
-                self.audited = getattr(self, "audited", 0) + len(audit)
-                break
-            self.beam *= 2
-            self.audited = 0
-        q, p, full = self._found(unit, self.beam)
+        spread = np.unique(np.linspace(0, len(ids) - 1, AUDIT).astype(int))
+        self._audit(unit[spread], ids[spread])
+        self.searched = True
+        if self.beam < len(self.ids):
+            q, p, full = self._found(unit)
+        else:  # a search this wide costs more than the comparison
+            q, p, full = np.zeros(0, np.int64), np.zeros(0, np.int64), np.arange(len(ids))
         if len(full):
             inside = ~np.isin(q, full)
             for at in range(0, len(full), 256):
@@ -252,14 +283,27 @@ class _Shard:
         return q[true & other], p[true & other]
 
 
-def _searcher(dimension: int, threshold: float):
+FOUND = "a long, b long, n long, shard int, beam int"
+
+
+def _result(shard: int, a: list, b: list, n: list, beam: int | None = None) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((a, b, n, [shard] * len(a), [beam] * len(a)), kinds, strict=True)], names=["a", "b", "n", "shard", "beam"])
+
+
+def _searcher(dimension: int, threshold: float, beams: dict[int, int]):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows by shard and part: the shard's vectors (kind 0), then query blocks (kind 1)."""
+        """Rows by shard and part: the shard's vectors (kind 0), then query blocks (kind 1).
+
+        Out come links, and for a shard whose beam was widened after its first search a row with the last beam.
+        """
         at, shard, held = None, None, []
         for batch in batches:
             for i in range(batch.num_rows):
                 key = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
                 if key != at:
+                    if shard is not None and shard.widened:
+                        yield _result(at[0], [None], [None], [None], shard.beam)
                     at, shard, held = key, None, []
                 ids = np.frombuffer(batch.column(3)[i].as_buffer(), np.int64)
                 vectors = np.frombuffer(batch.column(4)[i].as_buffer(), np.float64).reshape(len(ids), dimension)
@@ -269,7 +313,7 @@ def _searcher(dimension: int, threshold: float):
                 if shard is None:
                     if not held:
                         continue
-                    shard = _Shard(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), threshold)
+                    shard = _Shard(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), threshold, beams.get(key[0], 0))
                     held = []
                 q, p = shard.links(ids, vectors)
                 n = np.bincount(q, minlength=len(ids))
@@ -277,14 +321,9 @@ def _searcher(dimension: int, threshold: float):
                 forest = _Forest()
                 edges = [(a, b) for a, b in zip(ids[q].tolist(), shard.ids[p].tolist(), strict=True) if forest.join(a, b)]
                 total = len(linked) + len(edges)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[linked].tolist() + [e[0] for e in edges], pa.int64()),
-                        pa.array([None] * len(linked) + [e[1] for e in edges], pa.int64()),
-                        pa.array(n[linked].tolist() + [None] * (total - len(linked)), pa.int64()),
-                    ],
-                    names=["a", "b", "n"],
-                )
+                yield _result(key[0], ids[linked].tolist() + [e[0] for e in edges], [None] * len(linked) + [e[1] for e in edges], n[linked].tolist() + [None] * (total - len(linked)))
+        if shard is not None and shard.widened:
+            yield _result(at[0], [None], [None], [None], shard.beam)
 
     return search
 
@@ -339,7 +378,16 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     base = blocks.select("shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), "ids", "vectors")
     asks = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "ids", "vectors")
     met = base.unionByName(asks).repartitionByRange(shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "kind", F.xxhash64("ids"))
-    found = stored(met.mapInArrow(_searcher(d, threshold), "a long, b long, n long"), "found")
+    found, beams = None, {}
+    while True:
+        run = stored(met.mapInArrow(_searcher(d, threshold, beams), FOUND), "found")
+        wider = {r["shard"]: r["beam"] for r in run.filter("beam is not null").groupBy("shard").agg(F.max("beam").alias("beam")).collect()}  # a row a shard at most
+        settled = run.filter("beam is null").filter(~F.col("shard").isin(list(wider)))
+        found = settled if found is None else found.unionByName(settled)
+        if not wider:
+            break
+        beams = beams | wider
+        met = met.filter(F.col("shard").isin(list(wider)))
     counts = found.filter("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
     roots = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("node", "id")
     out = rows.join(counts, "id", "left").join(stored(roots, "roots"), "id", "left")

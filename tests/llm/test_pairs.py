@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from furlong.llm import ann, hnsw
 from furlong.llm.near_copies import one_of_each_class
@@ -129,6 +130,50 @@ def test_embedding_classes_equal_brute_force(spark):
     assert hnsw.near_duplicate_vectors(df.filter("false")).count() == 0
 
 
+def sparse_links(rnd, n, asked, d=64):
+    """Isotropic vectors and queries of which the last twentieth have a link each, and the true pairs."""
+    x, q = rnd.standard_normal((n, d)), rnd.standard_normal((asked, d))
+    for i in range(asked - asked // 20, asked):
+        v = x[rnd.integers(n)]
+        q[i] = v / np.linalg.norm(v) + 0.46 * q[i] / np.linalg.norm(q[i])
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    return x, q, set(zip(*map(np.ndarray.tolist, np.nonzero(unit(q) @ unit(x).T >= 0.9)), strict=True))
+
+
+def recall(shard, q, true):
+    links = set(zip(*map(np.ndarray.tolist, shard.links(np.arange(len(q)) + 10**6, q)), strict=True))
+    assert links <= true
+    return len(links) / len(true)
+
+
+def test_sparse_links_are_audited(monkeypatch):
+    """A beam that is too narrow is widened though the first rows of a block have no link."""
+    monkeypatch.setattr(hnsw, "BEAM", 1)
+    x, q, true = sparse_links(np.random.default_rng(5), 4000, 1024)
+    shard = hnsw._Shard(np.arange(len(x)), x, 0.9)
+    assert recall(shard, q, true) >= 0.97 and shard.beam > 1
+
+
+def test_later_blocks_are_audited_and_earlier_ones_searched_again(spark, monkeypatch):
+    """With no planted audit, what later blocks show widens the beam; the whole table then comes out as by brute force."""
+    monkeypatch.setattr(hnsw._Shard, "_planted", lambda self: self.unit[:0])
+    monkeypatch.setattr(hnsw, "BEAM", 1)
+    x, q, true = sparse_links(np.random.default_rng(6), 4000, 1024)
+    shard = hnsw._Shard(np.arange(len(x)), x, 0.9)
+    shard.links(np.arange(900) + 10**6, q[:900])
+    assert shard.beam == 1 and not shard.widened
+    for _ in range(3):
+        shard.links(np.arange(50) + 10**6, q[-50:])
+    assert shard.beam > 1 and shard.widened
+    batch = lambda kind, ids, v: pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([kind], pa.int32()), pa.array([ids.astype(np.int64).tobytes()]), pa.array([v.tobytes()])], names=["shard", "part", "kind", "ids", "vectors"])
+    blocks = [batch(0, np.arange(len(x)), x), batch(1, np.arange(900) + 10**6, q[:900]), batch(1, np.arange(900, 1024) + 10**6, q[900:])]
+    search = lambda beams: [r for out in hnsw._searcher(64, 0.9, beams)(iter(blocks)) for r in out.to_pylist()]
+    wider = [r["beam"] for r in search({}) if r["beam"]]
+    assert wider and wider[0] > 1
+    assert not [r for r in search({0: 4000}) if r["beam"]]
+    assert sum(r["n"] or 0 for r in search({0: 4000})) == len(true)
+
+
 def test_graph_recall():
     x = np.random.default_rng(2).standard_normal((6000, 16))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
