@@ -107,6 +107,22 @@ def test_cross_entropy_difference_equals_brute_force(docs_of):
     assert lm_scoring.cross_entropy_difference(docs_of([]), docs_of([])).count() == 0
 
 
+def test_rare_words_and_single_pairs_are_in_the_models(docs_of):
+    """More distinct words than the broadcast table holds, pairs counted once, and a background that isn't the documents."""
+    rnd = random.Random(9)
+    rare = [f"r{i}" for i in range(36_000)]
+    background = [" ".join(rare[i : i + 600] * 2) for i in range(0, 36_000, 600)] + ["a b a c"]
+    target = [" ".join(rnd.choice(rare[:2000] + [f"t{i}" for i in range(500)]) for _ in range(40)) for _ in range(30)]
+    docs = [*target[:2], background[3], "t1 unseen r5 r6", "r35990 t2 t3"]
+    got = lm_scoring.cross_entropy_difference(docs_of(list(enumerate(docs))), docs_of(list(enumerate(target))), docs_of(list(enumerate(background)))).collect()
+    want = [reference_score(t, target, background, 1, lm_scoring.KAPPA) for t in docs]
+    assert np.allclose([(r.n_words, r.score) for r in sorted(got, key=lambda r: r.doc_id)], want, atol=1e-7)
+    both = [*background, *docs]
+    got = {r.doc_id: r.score for r in lm_scoring.cross_entropy_difference(docs_of(list(enumerate(both))).repartition(3), docs_of(list(enumerate(target)))).collect()}
+    for i in (0, 61, 63, 64, 65):
+        assert abs(got[i] - reference_score(both[i], target, both, 1, lm_scoring.KAPPA)[1]) < 1e-7
+
+
 LATIN = {"aa": "ka ke ki ko", "bb": "mun min men man", "cc": "xo xe xu xy"}
 
 
