@@ -52,6 +52,8 @@ TITLES = {
 _ONE_NAME = "[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+"
 _NAME = f"{_ONE_NAME}(?:-{_ONE_NAME})?"
 _TITLE = "|".join(t for many in TITLES.values() for t in many)
+#: What a secret follows, in any case; a suffix may come after it, as in secret_key.
+_KEYWORD = "password|passwd|pwd|secret|token|api[_-]?key"
 #: Entities by type; the group named like the type is what is replaced.
 _PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9_][\w.+%-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
@@ -61,10 +63,10 @@ _PATTERN = re.compile(
     r"|(?P<phone>(?<![\w.+-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-]|\.\d))"
     r"|(?P<ssn>(?<![\w.+-])\d{3}-\d{2}-\d{4}(?![\w-]|\.\d))"
     r"|(?P<ip>(?<![\w.+-])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w-]|\.\d))"
-    r"|(?:(?:password|passwd|pwd|secret|token|api[_-]?key)\"?\s*[=:]\s*\"?(?P<secret>[A-Za-z0-9+/_-]{8,}))",
+    rf"|(?:(?i:{_KEYWORD})(?:[_-][A-Za-z0-9]+)*\"?\s*[=:]\s*\"?(?P<secret>[A-Za-z0-9+/_-]{{8,}}))",
 )
 _BY_TITLE = re.compile(rf"\b(?:{_TITLE})\.? (?P<name>{_NAME}(?: {_NAME})?)")
-_QUICK = re.compile(r"[0-9@]|password|passwd|pwd|secret|token|api[_-]?key")
+_QUICK = re.compile(rf"[0-9@]|(?i:{_KEYWORD})")
 _TITLE_OF = {t: g for g, many in TITLES.items() for t in many}
 
 

@@ -228,6 +228,16 @@ def test_surrogates_keep_type_format_and_identity(docs_of):
     assert pii.replace_entities(docs_of([]), b"key").count() == 0
 
 
+def test_secrets_of_any_case_and_suffix(docs_of):
+    value = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    texts = [f'TOKEN = "{value}"!!', f"Password: {value}", f"API_KEY={value}", f"secret_key={value}", f"Api-Key-Id: {value}", f"SECRET_ACCESS_KEY = {value}"]
+    out = {r.doc_id: r for r in pii.replace_entities(docs_of(list(enumerate(texts))), b"key").collect()}
+    for i, text in enumerate(texts):
+        assert out[i].n_entities == 1 and value not in out[i].text
+        assert out[i].text.startswith(text[: text.index(value)])
+    assert not pii.entities("the token of love: and PASSWORDS are long, secret_ = no")
+
+
 def test_taken_surrogates_draw_again(spark, monkeypatch):
     """With surrogates of few values, distinct entities still get distinct ones, none of them an entity."""
     values = [f"v{i}" for i in range(12)] + ["s1", "s2"]
