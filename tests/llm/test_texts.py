@@ -238,6 +238,14 @@ def test_secrets_of_any_case_and_suffix(docs_of):
     assert not pii.entities("the token of love: and PASSWORDS are long, secret_ = no")
 
 
+def test_long_texts_are_searched_like_short_ones():
+    text = "password:\nhunter2xyz1\n" + PRIVATE + "\n"
+    want = [e[2:] for e in pii.entities(text)]
+    assert want[0] == ("secret", "hunter2xyz1")
+    for filler in ("words of no interest\n" * 400, "x " * 4000):
+        assert [e[2:] for e in pii.entities(filler + text + filler)] == want
+
+
 def test_taken_surrogates_draw_again(spark, monkeypatch):
     """With surrogates of few values, distinct entities still get distinct ones, none of them an entity."""
     values = [f"v{i}" for i in range(12)] + ["s1", "s2"]
