@@ -1,21 +1,25 @@
-"""Helpers that the operators share: shared-folder tables and column guards."""
+"""Helpers that the operators share: shared-folder tables and what Python workers keep."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset (tests)."""
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset and the session is local (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = _OWN.setdefault("dir", "") or tempfile.mkdtemp(prefix="spark-shared-")
         _OWN["dir"] = found
     return found.rstrip("/")
@@ -57,3 +61,30 @@ def claim(name: str, release: Callable[[], None] | None = None) -> None:
         _CACHES.pop(other)()
     if release is not None:
         _CACHES[name] = release
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker outlives its task, and what it keeps is missing to the others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(name: str, release: Callable[[], None] | None = None):
+    """Decorates a function over Arrow batches: claims the worker's memory at the start, gives back what is free at the end."""
+
+    def decorate(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+        @functools.wraps(work)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            claim(name, release)
+            give_back()
+            try:
+                yield from work(batches)
+            finally:
+                give_back()
+
+        return run
+
+    return decorate

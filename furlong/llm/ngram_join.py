@@ -9,40 +9,49 @@ pairs; no link between different texts is lost.
    size, ``ORDER_BUCKETS`` counters.  The counters only give the global order:
    rare shingles first, ties by hash.  Any order is right; a good one is fast.
 2. Texts that link share a shingle among the first ``n - ceil(0.8 n) + 1`` of
-   either's order.  A second pass posts these, once for each key and task;
-   postings whose shingle no second key has vanish where they meet.  Shingles
-   whose counter is high are salted over several tasks.
+   either's order.  A second pass posts these in blobs by bucket, once for each
+   key and task; postings whose shingle no second key has vanish where they
+   meet.  A shingle whose counter is ``HOT_SHARE`` times the mean and more than
+   ``HOT`` is spread over several buckets.  Counters are shared, so this is an
+   upper bound of a shingle's own count; as the mean grows with the corpus, at
+   most one counter in ``HOT_SHARE`` can be that high, at any size.
 3. In each group of shingle and size band, every key is joined to a centre, one
    such edge for each key and turn.  Those edges are verified; most members of a
    large group of near copies fall into one component here, at linear cost.
 4. Pairs that still lie in different components, share a prefix shingle and
    pass the length and position bounds are all verified.  None is dropped.
 
-Verification inserts the members of a probe's block into a radix trie by the
-global order reversed (frequent first), descends it with the probe, keeps the
-overlap of a shared prefix for everything below it, and prunes a subtree when
-the overlap so far plus what can remain is too little for its shortest set.
-A block is emptied every ``BLOCK`` members, so memory doesn't follow the group.
+Verification stores the members of a block (a centre's members, or those of a
+component) in a radix trie by the global order reversed (frequent first).  All probes
+of the block descend that one trie; each keeps the overlap of a shared prefix for
+everything below it, and prunes a subtree when the overlap so far plus what can remain
+is too little for its shortest set.  A block is dealt out in parts of about ``BLOCK``
+members or ``BLOCK_ITEMS`` shingles, so memory doesn't follow the group.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from furlong.llm import _bloom
 from furlong.llm._graph import components
-from furlong.llm._shared import claim, dropped, small_batches, stored
+from furlong.llm._shared import dropped, lean, small_batches, stored
 from furlong.llm._text import mix, shingle_sets
 
 ORDER_BUCKETS = 1 << 20
 _SLICE = 1 << 14
-BLOCK = 256
+BLOCK = 64
+BLOCK_ITEMS = 1 << 20
+BLOCK_PROBES = 1 << 14
 HOT = 1 << 12
-BLOOM_BITS = 1 << 23
+HOT_SHARE = 8
+POST_ROWS = 1 << 20
 
 
 def needed(x: int, y: int) -> int:
@@ -66,11 +75,12 @@ def prefix_length(n: int) -> int:
 # --- passes over the texts -------------------------------------------------
 
 
+@lean("ngram_join")
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row's id, set size, key) of each text, then this task's counters in slices."""
-    claim("ngram_join")
-    counts = np.zeros(ORDER_BUCKETS, np.int64)
+    counts = np.zeros(ORDER_BUCKETS, np.uint32)
     names = ["id", "n", "key", "slice", "counts"]
+    id_type = pa.int64()
     for batch in batches:
         n, keys = [], []
         for s in shingle_sets(batch.column(1)):
@@ -81,17 +91,17 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
     used = [k for k in range(ORDER_BUCKETS // _SLICE) if counts[k * _SLICE : (k + 1) * _SLICE].any()]
     if used:
-        blobs = [counts[k * _SLICE : (k + 1) * _SLICE].tobytes() for k in used]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), batch.column(0).type), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=names)
+        blobs = [zlib.compress(counts[k * _SLICE : (k + 1) * _SLICE].tobytes(), 1) for k in used]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), id_type), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
 
 def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of counters by slice; a task holds one array for each slice it owns."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for k, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            x = np.frombuffer(blob.as_buffer(), np.int64)
-            sums[k] = sums[k] + x if k in sums else x.copy()
+        for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x = np.frombuffer(zlib.decompress(blob), np.uint32).astype(np.int64)
+            sums[k] = sums[k] + x if k in sums else x
     if sums:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "counts"])
 
@@ -101,81 +111,144 @@ def _ordered(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return s[np.argsort(counts[_bucket(s)], kind="stable")]
 
 
-def _poster(shared):
+def hot_from(counts: np.ndarray) -> int:
+    """The counter from which shingles are spread over several buckets."""
+    return int(max(HOT, HOT_SHARE * counts.sum() / len(counts)))
+
+
+_POSTS = "bucket int, keys binary, sizes binary, reps binary, tokens binary, places binary, spread binary"
+
+
+def _poster(shared, buckets: int):
+    @lean("ngram_join")
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = shared.value, set()
+        """Prefix shingles in blobs by bucket: keys with their sizes and numbers of shingles, then the shingles' low 48 bits, places and whether they are spread."""
+        counts = shared.value
+        hot, seen = hot_from(counts), set()
+        held: list[tuple[np.ndarray, int, int]] = []
+        n = 0
+
+        def out() -> pa.RecordBatch:
+            token = np.concatenate([t for t, _, _ in held])
+            sizes = [len(t) for t, _, _ in held]
+            row = np.repeat(np.arange(len(held)), sizes)
+            key, size = np.array([k for _, k, _ in held], np.int64), np.array([m for _, _, m in held], np.uint32)
+            place = np.concatenate([np.arange(m, dtype=np.uint32) for m in sizes])
+            share = (counts[_bucket(token)] // hot + 1).astype(np.uint64)
+            salt = mix(key.view(np.uint64))[row] % share
+            bucket = (mix(token + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")  # within a bucket by row
+            token, row, place, spread, bucket = token[order], row[order], place[order], share[order] > 1, bucket[order]
+            cut = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
+            columns: list[list] = [[] for _ in range(7)]
+            for x in range(buckets):
+                i, j = cut[x], cut[x + 1]
+                if i < j:
+                    rows, reps = np.unique(row[i:j], return_counts=True)
+                    low = np.ascontiguousarray(token[i:j].view(np.uint8).reshape(-1, 8)[:, :6])
+                    for column, value in zip(columns, (x, key[rows].tobytes(), size[rows].tobytes(), reps.astype(np.uint32).tobytes(), low.tobytes(), place[i:j].tobytes(), np.packbits(spread[i:j]).tobytes()), strict=True):
+                        column.append(value)
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["bucket", "keys", "sizes", "reps", "tokens", "places", "spread"])
+
         for batch in batches:
-            token, salt, key, size, place, salted = [], [], [], [], [], []
             for s in shingle_sets(batch.column(0)):
                 if not len(s) or (k := set_key(s)) in seen:
                     continue
                 seen.add(k)
-                if len(seen) > 1 << 20:
+                if len(seen) > 1 << 18:
                     seen.clear()
                 first = _ordered(s, counts)[: prefix_length(len(s))]
-                share = counts[_bucket(first)] // HOT + 1
-                token.append(first.view(np.int64))
-                salt.append((np.uint64(k & 0x7FFFFFFFFFFFFFFF) % share.astype(np.uint64)).astype(np.int32))
-                key.append(np.full(len(first), k, np.int64))
-                size.append(np.full(len(first), len(s), np.int64))
-                place.append(np.arange(len(first), dtype=np.int64))
-                salted.append(share > 1)
-            if token:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, salt, key, size, place, salted)], names=["token", "salt", "key", "n", "place", "salted"])
+                held.append((first, k, len(s)))
+                n += len(first)
+                if n >= POST_ROWS:
+                    yield out()
+                    held, n = [], 0
+        if held:
+            yield out()
 
     return post
 
 
+@lean("ngram_join")
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token, salt and key, those whose token has another key next to them; equal rows once.
+    """Of a bucket's postings, those whose shingle another key has; equal ones once.  A bucket holds about ``POST_ROWS`` of them.
 
-    One row and a flag are carried from batch to batch: a group is never held.
-    A salted token is kept whole, for its other keys may be in another task.
+    A spread shingle is kept whole, for its other keys may be in another bucket.
+    Shingles are told apart by 48 bits here; a mix-up only adds pairs to verify.
     """
-    held = None
+    names = ["token", "key", "n", "place"]
+
+    def out(held: list[dict]) -> Iterator[pa.RecordBatch]:
+        reps = [np.frombuffer(r["reps"], np.uint32) for r in held]
+        low = np.frombuffer(b"".join(r["tokens"] for r in held), np.uint8).reshape(-1, 6)
+        token = np.zeros((len(low), 8), np.uint8)
+        token[:, :6] = low
+        token = token.view(np.int64).ravel()
+        key = np.concatenate([np.repeat(np.frombuffer(r["keys"], np.int64), c) for r, c in zip(held, reps, strict=True)])
+        size = np.concatenate([np.repeat(np.frombuffer(r["sizes"], np.uint32), c) for r, c in zip(held, reps, strict=True)])
+        place = np.frombuffer(b"".join(r["places"] for r in held), np.uint32)
+        spread = np.concatenate([np.unpackbits(np.frombuffer(r["spread"], np.uint8), count=int(c.sum())) for r, c in zip(held, reps, strict=True)]).astype(bool)
+        order = np.lexsort((key, token))
+        t, k = token[order], key[order]
+        fresh = np.ones(len(t), bool)
+        fresh[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
+        order = order[fresh]
+        t = t[fresh]
+        same = t[1:] == t[:-1]
+        met = spread[order]
+        met[1:] |= same
+        met[:-1] |= same
+        order = order[met]
+        for at in range(0, len(order), 1 << 16):
+            i = order[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(token[i]), pa.array(key[i]), pa.array(size[i].astype(np.int32)), pa.array(place[i].astype(np.int32))], names=names)
+
+    at, held = None, []
     for batch in batches:
-        rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-        t, s, k = (rows.column(i).to_numpy() for i in range(3))
-        same_token = (t[1:] == t[:-1]) & (s[1:] == s[:-1])
-        fresh = np.concatenate(([True], ~(same_token & (k[1:] == k[:-1]))))
-        keep = np.flatnonzero(fresh)
-        rows = rows.take(pa.array(keep))
-        t, s, k = t[keep], s[keep], k[keep]
-        linked = (t[1:] == t[:-1]) & (s[1:] == s[:-1])
-        met = np.zeros(len(t), bool)
-        met[1:] |= linked
-        met[:-1] |= linked
-        if held is not None and was_met:
-            met[0] = True
-        met |= rows.column("salted").to_numpy()
-        was_met = bool(met[-1])
-        held = rows.slice(len(t) - 1, 1).to_batches()[0]
-        out = rows.slice(0, len(t) - 1).filter(pa.array(met[:-1])).select(["token", "key", "n", "place"])
-        yield from out.to_batches()
-    if held is not None and was_met:
-        yield pa.Table.from_batches([held]).select(["token", "key", "n", "place"]).to_batches()[0]
-
-
-def _slot(key: int, row_id: int | None) -> int:
-    """The Bloom bit of a key and the id that stands for it."""
-    return (key * 0x9E3779B1 + (row_id if row_id is not None else -1) * 0x85EBCA77) % BLOOM_BITS
+        for r in batch.to_pylist():
+            if r["bucket"] != at:
+                if held:
+                    yield from out(held)
+                at, held = r["bucket"], []
+            held.append(r)
+    if held:
+        yield from out(held)
+
+
+def _stamp(ids: pa.Array) -> np.ndarray:
+    return ids.fill_null(-1).to_numpy()
 
 
 def _sets_of(shared, wanted):
+    @lean("ngram_join")
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ordered sets of rows that the Bloom filter passes, frequent shingles first; equal rows of a task once."""
         counts, bits = shared.value, wanted.value
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            keys, blobs, held = [], [], 0
-            for row_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
-                if len(s) and bits[_slot(k := set_key(s), row_id)]:
-                    keys.append(k)
-                    blobs.append(_ordered(s, counts)[::-1].tobytes())
-                    held += len(blobs[-1])
-                if held > 1 << 24:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], names=["key", "items"])
-                    keys, blobs, held = [], [], 0
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], names=["key", "items"])
+            ids = _stamp(batch.column(0))
+            found, blobs, held = [], [], 0
+
+            def out() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([i for _, i in found], pa.int64()), pa.array(blobs, pa.binary())], names=["key", "id", "items"])
+
+            for row, s in enumerate(shingle_sets(batch.column(1))):
+                if not len(s):
+                    continue
+                k, i = set_key(s), int(ids[row])
+                if (k, i) in seen or not _bloom.may_hold(bits, np.array([k]), np.array([i]))[0]:
+                    continue
+                if len(seen) > 1 << 18:
+                    seen.clear()
+                seen.add((k, i))
+                found.append((k, i))
+                blobs.append(_ordered(s, counts)[::-1].tobytes())
+                held += len(blobs[-1])
+                if held > 1 << 23:
+                    yield out()
+                    found, blobs, held = [], [], 0
+            if found:
+                yield out()
 
     return sets
 
@@ -248,74 +321,65 @@ class SetTrie:
         return found
 
 
+@lean("ngram_join")
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each block; rows come as (probe, salt, member, items), the probe's own set first (member null)."""
-    probe_id = probe = at = None
-    trie, held = SetTrie(), 0
-    a, b = [], []
-
-    def flush():
-        nonlocal trie, held
-        if held and probe is not None:
-            hits = trie.within(probe)
-            a.extend([probe_id] * len(hits))
-            b.extend(hits)
-        trie, held = SetTrie(), 0
+    """Links of each part of a block; rows come as (block, salt, turn, probe, key, items), the members first (probe false): they fill the trie that all probes descend."""
+    at, trie, last = None, SetTrie(), None
+    a: list[int] = []
+    b: list[int] = []
+
+    def out() -> pa.RecordBatch:
+        rows = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        a.clear()
+        b.clear()
+        return rows
 
     for batch in batches:
-        for c, salt, member, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-            if (c, salt) != at:
-                flush()
-                at, probe_id, probe = (c, salt), c, None
+        for block, salt, turn, probe, key, items in zip(*[batch.column(c).to_pylist() for c in range(5)], batch.column(5), strict=True):
+            if (block, salt, turn) != at:
+                at, trie, last = (block, salt, turn), SetTrie(), None
             values = np.frombuffer(items.as_buffer(), np.uint64)
-            if member is None:
-                probe = values.copy()
+            if (probe, key) == last:
                 continue
-            trie.add(member, values.copy())
-            held += 1
-            if held >= BLOCK:
-                flush()
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-            a.clear()
-            b.clear()
-    flush()
+            last = (probe, key)
+            if not probe:
+                trie.add(key, values.copy())
+            else:
+                hits = [x for x in trie.within(values) if x != key]
+                a.extend([key] * len(hits))
+                b.extend(hits)
+                if len(a) >= 1 << 16:
+                    yield out()
     if a:
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def _links(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """The verified pairs of ``edges`` (probe, member), both keys of ``sets``.
-
-    A probe's members are dealt to as many tasks as they fill blocks, and the probe's set goes along to each.
-    """
-    counts = stored(edges.groupBy("probe").agg(F.count(F.lit(1)).alias("members")), "counts")
-    share = F.floor(F.col("members") / F.lit(BLOCK // 4)) + 1
-    dealt = stored(edges.join(counts, "probe").select("probe", "member", share.alias("share")).select("probe", "member", F.pmod(F.xxhash64("member"), "share").alias("salt")), "dealt")
-    members = dealt.join(sets.withColumnRenamed("key", "member"), "member").select("probe", "salt", "member", "items")
-    probes = dealt.select("probe", "salt").distinct().join(sets.withColumnRenamed("key", "probe"), "probe").select("probe", "salt", F.lit(None).cast("long").alias("member"), "items")
-    blocks = probes.unionByName(members).repartition("probe", "salt").sortWithinPartitions("probe", "salt", F.col("member").asc_nulls_first())
-    found = stored(blocks.mapInArrow(_verify, "a long, b long"), "links")
-    dropped(counts, dealt)
+        yield out()
+
+
+def _links(pairs: DataFrame, sets: DataFrame, stands: DataFrame) -> DataFrame:
+    """The verified pairs of ``pairs`` (block, probe, member, n): members of a block are dealt to parts of about ``BLOCK`` of them (n shingles
+    each), and a probe goes to the parts that hold members of its pairs; a part's probes are dealt out, too, if they are many."""
+    members = pairs.select("block", "member", "n").distinct()
+    size = members.groupBy("block").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_ITEMS)).alias("share"))
+    part = F.pmod(F.xxhash64("member"), "share").alias("salt")
+    dealt = stored(pairs.join(size, "block").select("block", part, "probe", "member"), "dealt")
+    turns = dealt.groupBy("block", "salt").agg(F.ceil(F.count(F.lit(1)) / BLOCK_PROBES).alias("turns"))
+    turned = stored(dealt.join(turns, ["block", "salt"]).select("block", "salt", "probe", "member", "turns", F.pmod(F.xxhash64("probe", F.lit(1)), "turns").alias("turn")), "turned")
+    inside = turned.select("block", "salt", "member", "turns").distinct().select("block", "salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), F.lit(False).alias("probe"), F.col("member").alias("key"))
+    asking = turned.select("block", "salt", "turn", F.lit(True).alias("probe"), F.col("probe").alias("key")).distinct()
+    rows = inside.unionByName(asking).join(stands, "key").join(sets, ["key", "id"]).select("block", "salt", "turn", "probe", "key", "items")
+    met = rows.repartition("block", "salt", "turn").sortWithinPartitions("block", "salt", "turn", "probe", "key")
+    found = stored(met.mapInArrow(_verify, "a long, b long"), "links")
+    dropped(dealt, turned)
     return found
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The Bloom bits of a task's keys."""
-    bits = np.zeros(BLOOM_BITS, bool)
-    for batch in batches:
-        bits[[_slot(k, i) for k, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]] = True
-    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
-
+def _fetch(texts: DataFrame, rows: DataFrame, keys: DataFrame, order) -> tuple[DataFrame, DataFrame]:
+    """The ordered sets of ``keys`` (key, id, items), hashed anew from the one row that stands for each key, and those rows (key, id).
 
-def _fetch(texts: DataFrame, rows: DataFrame, keys: DataFrame, order) -> DataFrame:
-    """The ordered sets of ``keys``, hashed anew from the one row that stands for each key (a Bloom filter of fixed size finds them)."""
-    stands = rows.join(keys, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
-    bits = np.zeros(BLOOM_BITS, bool)
-    for row in stands.coalesce(8).mapInArrow(_bits, "bits binary").toLocalIterator():  # eight filters of BLOOM_BITS at most
-        bits |= np.unpackbits(np.frombuffer(row["bits"], np.uint8)).astype(bool)
-    wanted = texts.sparkSession.sparkContext.broadcast(bits)
-    return stored(texts.mapInArrow(_sets_of(order, wanted), "key long, items binary"), "sets")
+    A Bloom filter of (key, id) finds the rows; what it lets through by chance is left out by the exact join on both.
+    """
+    stands = stored(rows.join(keys, "key", "left_semi").groupBy("key").agg(F.coalesce(F.min("id"), F.lit(-1).cast("long")).alias("id")), "stands")
+    wanted = texts.sparkSession.sparkContext.broadcast(_bloom.bloom(stands, stands.count()))
+    return stored(texts.mapInArrow(_sets_of(order, wanted), "key long, id long, items binary"), "sets"), stands
 
 
 _PREFIX = "(n - floor((4 * n + 4) / 5) + 1)"
@@ -326,23 +390,28 @@ def _reaches(nx: str, px: str, ny: str, py: str) -> str:
     return f"5 * least({nx}, {ny}) >= 4 * greatest({nx}, {ny}) and 9 * (least({px}, {py}) + least({nx} - {px}, {ny} - {py})) >= 4 * ({nx} + {ny})"
 
 
+def _band(share: float = 0.0) -> Column:
+    """The size band of a key: a factor of 1.25 each."""
+    return F.floor(F.log("n") / F.lit(float(np.log(1.25))) + F.lit(share)).cast("int")
+
+
 def _star(met: DataFrame) -> DataFrame:
-    """For each key one edge to a centre, the one that it shares most shingles with.
+    """(block, probe, member, n): for each key one edge to a centre, the one that it shares most shingles with; the block is the centre.
 
     A group's centre is the key that has the fewest shingles rarer than the group's: it is
-    near the middle of its copies.  This only saves work: what it leaves open is left to the exhaustive step.
+    near the middle of its copies.  Keys in the last quarter of their size band join the next band's group, too,
+    so that copies astride two bands come together.  This only saves work: what it leaves open is left to the exhaustive step.
     """
-    # sizes within a ratio of 0.8 are in the same band or in adjacent ones, so they share one of the bands band and band + 1
-    band = F.floor(F.log("n") / F.lit(float(np.log(1.25)))).cast("int")
-    banded = met.select("token", "key", F.col("n").cast("int").alias("n"), F.col("place").cast("int").alias("place"), F.explode(F.array(band, band + 1)).alias("band"))
+    banded = met.select("token", "key", "n", "place", F.explode(F.array_distinct(F.array(_band(), _band(0.25)))).alias("band"))
     centre = banded.groupBy("token", "band").agg(F.min_by(F.struct("key", "n", "place"), F.struct("place", "key")).alias("c"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
     linked = banded.join(centre, ["token", "band"]).filter("key <> c.key").filter(_reaches("n", "place", "c.n", "c.place"))
     shared = linked.groupBy(F.col("key").alias("member"), F.col("c.key").alias("probe"), "band", "n").agg(F.count(F.lit(1)).alias("shared")).filter(f"4 * shared >= {_PREFIX}")
-    return stored(shared.groupBy("member").agg(F.max_by("probe", F.struct("shared", "probe")).alias("probe")).select("probe", "member"), "star")
+    best = shared.groupBy("member").agg(F.max_by(F.struct("probe", "n"), F.struct("shared", "probe")).alias("e"))
+    return stored(best.select(F.col("e.probe").alias("block"), F.col("e.probe").alias("probe"), "member", F.col("e.n").alias("n")), "star")
 
 
 def _open_pairs(tagged: DataFrame) -> DataFrame:
-    """(probe, member): keys of different components that may link, judged at the first shingle that they share.
+    """(block, probe, member, n): keys of different components that may link, judged at the first shingle that they share; the block is the member's component.
 
     From that shingle on, x can have ``n - place`` shingles in common with y.  If x's prefix ends before
     y's, those of its prefix that y's component doesn't post can't be among them (``rest``);
@@ -354,7 +423,7 @@ def _open_pairs(tagged: DataFrame) -> DataFrame:
     x, y = t.alias("x"), t.alias("y")
     common = "greatest(least(x.rest, y.n - y.place), least(x.n - x.place, y.rest))"
     met = x.join(y, F.expr(f"x.token = y.token and x.key < y.key and x.root <> y.root and 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) and 9 * {common} >= 4 * (x.n + y.n)"))
-    return met.select(F.col("x.key").alias("probe"), F.col("y.key").alias("member")).distinct()
+    return met.select(F.col("y.root").alias("block"), F.col("x.key").alias("probe"), F.col("y.key").alias("member"), F.col("y.n").alias("n")).distinct()
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -380,27 +449,35 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     order = spark.sparkContext.broadcast(counts)
 
     rows = measured.filter("slice is null").select("id", "n", "key")
-    posted = texts.select("text").mapInArrow(_poster(order), "token long, salt int, key long, n long, place long, salted boolean")
-    posted = posted.repartition("token", "salt").sortWithinPartitions("token", "salt", "key")
-    met = stored(posted.mapInArrow(_met, "token long, key long, n long, place long"), "met")
+    buckets = 64 * (1 + int(counts.sum()) // (5 * 64 * POST_ROWS))  # a fifth of the shingles is posted
+    posted = texts.select("text").mapInArrow(_poster(order, buckets), _POSTS).repartition("bucket").sortWithinPartitions("bucket")
+    met = stored(posted.mapInArrow(_met, "token long, key long, n int, place int"), "met")
 
     edges = _star(met)
-    sets = _fetch(texts, rows, edges.select(F.explode(F.array("probe", "member")).alias("key")), order)
-    links = _links(edges, sets)
-    dropped(sets)
+    sets, stands = _fetch(texts, rows, edges.select(F.explode(F.array("probe", "member")).alias("key")), order)
+    links = _links(edges, sets, stands)
+    dropped(sets, stands, edges)
     parts = stored(components(links), "part").withColumnRenamed("node", "key")
     marked = stored(met.join(parts, "key", "left").select("token", "key", "n", "place", F.coalesce("root", "key").alias("root")), "marked")
+    dropped(met)
     open_tokens = stored(marked.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token"), "open")
     tagged = stored(marked.join(open_tokens, "token", "left_semi"), "tagged")
-    dropped(met, marked, open_tokens)
+    dropped(marked, open_tokens, parts)
     pairs = stored(_open_pairs(tagged), "pairs")
-    sets = _fetch(texts, rows, pairs.select(F.explode(F.array("probe", "member")).alias("key")), order)
-    links = links.unionByName(_links(pairs, sets))
-    parts = stored(components(links), "parts").withColumnRenamed("node", "key")
+    dropped(tagged)
+    sets, stands = _fetch(texts, rows, pairs.select(F.explode(F.array("probe", "member")).alias("key")), order)
+    more = _links(pairs, sets, stands)
+    dropped(sets, stands, pairs)
+    every = stored(links.unionByName(more), "every")
+    dropped(links, more)
+    parts = stored(components(every), "parts").withColumnRenamed("node", "key")
+    dropped(every)
 
     named = stored(rows.filter("key is not null").join(parts, "key", "left").select("id", "n", F.coalesce("root", "key").alias("root")), "named")
-    lowest = stored(named.groupBy("root").agg(F.min("id").alias("component_id")), "lowest")
+    dropped(parts)
+    lowest = named.groupBy("root").agg(F.min("id").alias("component_id"))
     linked = named.join(lowest, "root").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     alone = rows.filter("key is null").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    dropped(sets, tagged, pairs)
-    return linked.unionByName(alone)
+    out = stored(linked.unionByName(alone), "classes")
+    dropped(named, measured)
+    return out
