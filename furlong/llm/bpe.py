@@ -2,14 +2,19 @@
 
 A task splits its texts into chunks (an optional blank and a run without white
 space, or white space), inserts the distinct pieces of chunks it hasn't met into a
-trie, and walks the trie depth-first.  At each node stands the last token of
+trie, and walks the trie depth-first.  The trie is path-compressed: words stand in byte order,
+each with the length of the prefix that it shares with the word before it, which is
+the depth at which it branches off.  At each node stands the last token of
 the encoding of the prefix that the node spells: the longest vocabulary token
 ``t`` that ends there such that (last token of the rest, ``t``) is an adjacent pair that
 merging leaves alone.  The encoding of a shared prefix is thus worked out once;
-a word's ids come from walking the last tokens back.
+a word's ids come from walking the last tokens back.  Which tokens end at a node is known
+from an automaton over the vocabulary, whose moves are worked out when first made.
 
 Whether merging leaves a pair alone is worked out once for each pair.  Chunks' ids are kept in a dictionary of at
-most ``MEMO`` entries, which is emptied when full.
+most ``MEMO_BYTES`` bytes, which is emptied when full.  Texts are taken in segments of
+about ``SEGMENT`` characters, cut at blanks; a run without white space costs about forty
+bytes of memory for each of its bytes.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import struct
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,11 +31,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furlong.llm._shared import claim, small_batches
+from furlong.llm._shared import lean, small_batches
 
-MEMO = 800_000
+MEMO_BYTES = 96 << 20
+_ENTRY = 160  # bytes of an entry's objects, besides its text and ids
+_PAIRS = 400_000
+SEGMENT = 1 << 19
+LONG = 1 << 14
 #: White_Space of Unicode, as the tokenizer's pattern has it.
 _SPACE = r"\t-\r \x85\xa0  -     　"
+_CUT = re.compile(rf"(?<=[^{_SPACE}]) (?=[^{_SPACE}])")
 _CHUNK = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: The byte-level pre-tokenizer's pattern (a fixed value).
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -69,14 +79,52 @@ class ByteBpe:
                 self.made[both], self.halves[both] = r, half
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = {i: t for t, i in self.vocab.items()} | {i: s.encode() for s, i in self.special.items()}
-        ends: dict[bytes, set[int]] = {}
-        for t in self.vocab:
-            ends.setdefault(t[-3:], set()).add(len(t))
-        #: By a token's last three bytes, the lengths of such tokens, longest first; then two and one.
-        self.lengths = {k: (*sorted(v, reverse=True), 2, 1) for k, v in ends.items() if len(k) == 3}
+        self.four = {i: i.to_bytes(4, "little") for i in self.vocab.values()}
+        self._automaton()
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._apart: dict[tuple[int, int], bool] = {}
+        self._apart: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
+        self._held = 0
+
+    def _automaton(self) -> None:
+        """States are the prefixes of tokens; a state's ends are the tokens that are its suffixes, longest first, with their lengths."""
+        depth, parent_of, byte_of, root_child = [0], [0], [0], {}
+        self.goto: dict[int, int] = root_child  # state << 8 | byte -> state
+        own: list[int] = [-1]
+        for word, token in self.vocab.items():
+            at = 0
+            for c in word:
+                k = at << 8 | c
+                to = self.goto.get(k)
+                if to is None:
+                    to = self.goto[k] = len(depth)
+                    depth.append(depth[at] + 1)
+                    parent_of.append(at)
+                    byte_of.append(c)
+                    own.append(-1)
+                at = to
+            own[at] = token
+        self.fail = [0] * len(depth)
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(depth)
+        self.tree = dict(self.goto)
+        for state in sorted(range(1, len(depth)), key=depth.__getitem__):
+            if depth[state] > 1:
+                back = self.fail[parent_of[state]]
+                while (to := self.tree.get(back << 8 | byte_of[state])) is None and back:
+                    back = self.fail[back]
+                self.fail[state] = to or 0
+            rest = self.ends[self.fail[state]]
+            self.ends[state] = ((own[state], depth[state]), *rest) if own[state] >= 0 else rest
+
+    def _move(self, state: int, c: int) -> int:
+        """The state after a byte; the move is kept."""
+        back = state
+        while (to := self.tree.get(back << 8 | c)) is None and back:
+            back = self.fail[back]
+        if len(self.goto) > len(self.tree) + _PAIRS:
+            self.goto = dict(self.tree)
+        self.goto[state << 8 | c] = to or 0
+        return to or 0
 
     # -- encoding
 
@@ -102,84 +150,128 @@ class ByteBpe:
                 x, x_ends = self.halves[x][1], x_made
             else:
                 y, y_ends = self.halves[y][0], y_made
-        if len(self._apart) > MEMO:
+        if len(self._apart) > _PAIRS:
             self._apart.clear()
-        self._apart[a, b] = found
+        self._apart[a << 32 | b] = found
         return found
 
-    def encode_words(self, words: set[bytes]) -> dict[bytes, list[int]]:
-        """The ids of distinct words, by one depth-first walk of their trie."""
-        root: dict = {}
-        for w in words:
-            node = root
-            for c in w:
-                node = node.setdefault(c, {})
-            node[-1] = w
-        out: dict[bytes, list[int]] = {}
-        vocab, lengths, apart, stay = self.vocab, self.lengths, self._apart, self._stay_apart
-        path = bytearray()
-        last: list[int] = []  # by depth, the last token of that prefix and its length
-        size: list[int] = []
-        stack = [(0, c, child) for c, child in root.items() if c >= 0]
-        while stack:
-            depth, c, node = stack.pop()
-            del path[depth:], last[depth:], size[depth:]
-            path.append(c)
-            depth += 1
-            for n in lengths.get(bytes(path[-3:]), (2, 1)):
-                if n > depth or (token := vocab.get(bytes(path[depth - n :]))) is None:
-                    continue
-                if n == depth:
-                    break
-                before = last[depth - n - 1]
-                ok = apart.get((before, token))
-                if stay(before, token) if ok is None else ok:
-                    break
-            last.append(token)
-            size.append(n)
-            for k, child in node.items():
-                if k >= 0:
-                    stack.append((depth, k, child))
-                else:
-                    ids, at = [], depth
-                    while at:
-                        ids.append(last[at - 1])
-                        at -= size[at - 1]
-                    ids.reverse()
-                    out[child] = ids
+    def encode_words(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of distinct words as little-endian 32-bit bytes, by one depth-first walk of their trie."""
+        out: dict[bytes, bytes] = {}
+        ends, stay, four = self.ends, self._stay_apart, self.four
+        # by depth, one more than it: the automaton's state, the last token of that prefix and its length
+        states, last, size = [0], [-1], [0]
+        before = b""
+        for word in sorted(words):
+            n = len(word)
+            if n > LONG and isinstance(last, list):
+                states, last, size = array("i", states), array("i", last), array("i", size)
+            elif n <= LONG and not isinstance(last, list):
+                states, last, size, before = [0], [-1], [0], b""
+            shared = 0
+            if before:
+                most = min(n, len(before))
+                if word[:most] == before[:most]:
+                    shared = most
+                else:  # the branching depth, by halves
+                    low, high = 0, most
+                    while high - low > 1:
+                        middle = (low + high) // 2
+                        if word[low:middle] == before[low:middle]:
+                            low = middle
+                        else:
+                            high = middle
+                    shared = low
+            del states[shared + 1 :], last[shared + 1 :], size[shared + 1 :]
+            before, state = word, states[shared]
+            goto, apart = self.goto, self._apart
+            for depth in range(shared, n):
+                c = word[depth]
+                to = goto.get(state << 8 | c)
+                if to is None:
+                    to = self._move(state, c)
+                    goto = self.goto
+                state = to
+                for token, length in ends[state]:
+                    at = last[depth + 1 - length]
+                    if at < 0:
+                        break
+                    ok = apart.get(at << 32 | token)
+                    if stay(at, token) if ok is None else ok:
+                        break
+                states.append(state)
+                last.append(token)
+                size.append(length)
+            ids, at = [], n
+            while at:
+                ids.append(four[last[at]])
+                at -= size[at]
+            ids.reverse()
+            out[word] = b"".join(ids)
         return out
 
     def _learn(self, chunks: set[str]) -> None:
         """Adds the ids of chunks to the memo, as little-endian 32-bit bytes."""
-        if len(self.memo) + len(chunks) > MEMO:
+        plain = {c: c.encode() for c in chunks if c.isalpha() or c[:1] == " " and c[1:].isalpha()}
+        others = {c: [p.encode() for p in _PIECE.findall(c)] for c in chunks if c not in plain}
+        words = set(plain.values())
+        for many in others.values():
+            words.update(many)
+        ids = self.encode_words(words)
+        memo = self.memo
+        for c, w in plain.items():
+            memo[c] = ids[w]
+        for c, many in others.items():
+            memo[c] = b"".join([ids[w] for w in many])
+        self._held += sum(map(len, ids.values())) + sum(map(len, chunks)) + _ENTRY * len(chunks)
+
+    def _segments(self, text: str) -> Iterator[str | bytes]:
+        """Stretches of text that end where a chunk does, and special tokens as their ids."""
+        run = self._special.split(text) if self._special and any(s in text for s in self.special) else [text]
+        for k, part in enumerate(run):
+            if k % 2:
+                yield self.special[part].to_bytes(4, "little")
+                continue
+            at = 0
+            while len(part) - at > SEGMENT:
+                cut = _CUT.search(part, at + SEGMENT)
+                if cut is None:
+                    break
+                yield part[at : cut.start()]
+                at = cut.start()
+            yield part[at:] if at else part
+
+    def _settle(self, parts: list[tuple[int, str | bytes]], done: list[list[bytes]]) -> None:
+        """Adds the ids of (row, stretch) to the rows of ``done``."""
+        cut = [(row, x if isinstance(x, bytes) else _CHUNK.findall(x)) for row, x in parts]
+        every: set[str] = set()
+        for _, x in cut:
+            if not isinstance(x, bytes):
+                every.update(x)
+        if self._held > MEMO_BYTES:
             self.memo.clear()
-        pieces = {c: [c] if c.isalpha() or c[:1] == " " and c[1:].isalpha() else _PIECE.findall(c) for c in chunks}
-        ids = self.encode_words({p.encode() for many in pieces.values() for p in many})
-        packed = {w: struct.pack(f"<{len(x)}I", *x) for w, x in ids.items()}
-        for c, many in pieces.items():
-            self.memo[c] = b"".join([packed[p.encode()] for p in many])
+            self._held = 0
+        memo = self.memo
+        self._learn({c for c in every if c not in memo})
+        get = memo.__getitem__
+        for row, x in cut:
+            done[row].append(x if isinstance(x, bytes) else b"".join(map(get, x)))
 
     def encode_texts(self, texts: list[str]) -> Iterator[bytes]:
         """Of each text, its ids as little-endian 32-bit bytes."""
-        parts: list[list[str | bytes]] = []
-        get, unknown = self.memo.get, set()
-        for t in texts:
-            run = self._special.split(t) if self._special and any(s in t for s in self.special) else [t]
-            row: list = []
-            for k, part in enumerate(run):
-                if k % 2:
-                    row.append(np.array([self.special[part]], "<u4").tobytes())
-                else:
-                    chunks = _CHUNK.findall(part)
-                    unknown.update([c for c in chunks if c not in self.memo])
-                    row.append(chunks)
-            parts.append(row)
-        if unknown:
-            held = {c for row in parts for x in row if isinstance(x, list) for c in x} if len(self.memo) + len(unknown) > MEMO else unknown
-            self._learn(held)
-            get = self.memo.__getitem__
-        for row in parts:
-            yield b"".join([x if isinstance(x, bytes) else b"".join(map(get, x)) for x in row])
+        done: list[list[bytes]] = [[] for _ in texts]
+        parts: list[tuple[int, str | bytes]] = []
+        held = 0
+        for row, text in enumerate(texts):
+            for part in self._segments(text):
+                parts.append((row, part))
+                held += len(part)
+                if held > 4 * SEGMENT:
+                    self._settle(parts, done)
+                    parts, held = [], 0
+        self._settle(parts, done)
+        for row in done:
+            yield b"".join(row)
 
     # -- decoding
 
@@ -199,8 +291,8 @@ def tokenizer(path: str) -> ByteBpe:
 
 
 def _coder(path: str, view: Callable[[ByteBpe, bytes], dict], fields: list[pa.Field]):
+    @lean("bpe", _LOADED.clear)
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("bpe", _LOADED.clear)
         bpe = tokenizer(path)
         for batch in batches:
             at, n = 0, batch.num_rows
