@@ -2,17 +2,22 @@
 
 Detected entities (e-mail addresses, telephone numbers, IPv4 addresses, payment
 cards, IBANs, US social security numbers, access keys, password and token
-values, and names after a title) are replaced by keyed surrogates of their
+values, and names) are replaced by keyed surrogates of their
 type.  A surrogate keeps length, punctuation, case and script: a digit becomes a
 digit, a letter a letter of its alphabet; octets stay octets, card numbers and
-IBANs keep valid check digits, names come from lists of the title's
-gender and the name's script.  It is a function of the key, the type and the entity's
+IBANs keep valid check digits, names come from lists of the name's
+gender and script.  It is a function of the key, the type and the entity's
 canonical form alone, so all mentions in all documents change alike without
 any exchange between tasks.
 
+A name is what follows a title, or a known first name with a surname.  Where a document has one full name
+of a surname, the surname alone, with or without a title, is that person, and so is the full name
+without a title.  A name of neither known gender draws from the lists of both.
+
 Distinctness is checked over the whole corpus: distinct entities are gathered
 once (combined before the shuffle), and where two share a surrogate, or a surrogate is
 itself an entity of the corpus, all but the smallest get further attempts until none is left.
+Later attempts draw from ever larger domains (one more surname or character), so this ends.
 Only these exceptions, with the documents that mention them, form a table that joins the documents;
 Spark broadcasts it while it is small.
 """
@@ -29,9 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furlong.llm._shared import claim, dropped, small_batches, stored
+from furlong.llm._shared import dropped, lean, small_batches, stored
 
-MAX_ATTEMPTS = 20
+#: From this attempt on a surrogate is longer than its entity, by one character more each time.
+SAME_LENGTH_ATTEMPTS = 8
 
 # First names by gender and script, surnames by script, and titles by gender.
 NAMES = {
@@ -47,6 +53,12 @@ SURNAMES = {
 TITLES = {
     "m": ["Mr", "Sir", "Herr", "Monsieur", "Señor", "Don", "Господин"],
     "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Señora", "Señorita", "Doña", "Госпожа"],
+    "n": ["Dr", "Prof", "Professor", "Doctor", "Doktor", "Docteur", "Доктор", "Профессор"],
+}
+#: More first names by gender, to know persons without a title by (fixed values).
+FIRST_NAMES = {
+    "m": ["Alexander", "Andrew", "Anthony", "Antonio", "Benjamin", "Carlos", "Charles", "Christopher", "Daniel", "David", "Edward", "Francisco", "Frank", "George", "Hans", "Henry", "Jacques", "James", "Javier", "Jean", "Johann", "John", "Jonathan", "Jorge", "Joseph", "Juan", "Jürgen", "Karl", "Kevin", "Klaus", "Luis", "Manuel", "Matthew", "Michael", "Miguel", "Nicholas", "Pablo", "Paul", "Pedro", "Peter", "Philippe", "Pierre", "Richard", "Robert", "Samuel", "Steven", "Thomas", "Timothy", "William", "Wolfgang"],
+    "f": ["Alice", "Amanda", "Andrea", "Angela", "Anna", "Anne", "Barbara", "Carmen", "Caroline", "Catherine", "Charlotte", "Christine", "Claudia", "Dorothy", "Elisabeth", "Elizabeth", "Emily", "Emma", "Françoise", "Hannah", "Ingrid", "Isabel", "Jane", "Jennifer", "Jessica", "Karen", "Laura", "Linda", "Lucia", "Margaret", "Maria", "Marie", "Mary", "Michelle", "Monika", "Nancy", "Nathalie", "Pilar", "Rebecca", "Sabine", "Sandra", "Sarah", "Sophie", "Susan", "Sylvie", "Ann", "Teresa", "Ursula", "Valerie", "Victoria"],
 }
 
 _ONE_NAME = "[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+"
@@ -65,9 +77,12 @@ _PATTERN = re.compile(
     r"|(?P<ip>(?<![\w.+-])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w-]|\.\d))"
     rf"|(?:(?i:{_KEYWORD})(?:[_-][A-Za-z0-9]+)*\"?\s*[=:]\s*\"?(?P<secret>[A-Za-z0-9+/_-]{{8,}}))",
 )
-_BY_TITLE = re.compile(rf"\b(?:{_TITLE})\.? (?P<name>{_NAME}(?: {_NAME})?)")
 _QUICK = re.compile(rf"[0-9@]|(?i:{_KEYWORD})")
 _TITLE_OF = {t: g for g, many in TITLES.items() for t in many}
+_FIRST = {n: g for (g, _), many in NAMES.items() for n in many} | {n: g for g, many in FIRST_NAMES.items() for n in many}
+_BY_TITLE = re.compile(rf"\b(?P<title>{_TITLE})\.? (?P<name>{_NAME}(?: {_NAME})?)")
+_BY_NAME = re.compile(rf"\b({_ONE_NAME}) (?={_ONE_NAME})")
+_FULL = re.compile(rf"{_NAME} {_NAME}\b")
 
 
 def luhn(digits: str) -> bool:
@@ -80,8 +95,44 @@ def iban_valid(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def names(text: str) -> list[tuple[int, int, str, str]]:
+    """Mentions of persons; those of one person of a document share type and canonical form."""
+    found: dict[int, tuple[int, str, str]] = {}  # by start: end, gender, name
+    for m in _BY_TITLE.finditer(text):
+        first = m["name"].split(" ")[0]
+        gender = _TITLE_OF[m["title"]]
+        found[m.start("name")] = (m.end("name"), _FIRST.get(first, "n") if gender == "n" else gender, m["name"])
+    for m in _BY_NAME.finditer(text):
+        full = _FULL.match(text, m.start()) if m[1] in _FIRST and m.start() not in found else None
+        if full:
+            found[m.start()] = (full.end(), _FIRST[m[1]], full[0])
+    if not found:
+        return []
+    persons: dict[str, dict[str, str]] = {}  # full names and their gender by surname; a title's gender, coming first in the text, counts
+    for _, gender, name in found.values():
+        if " " in name:
+            known = persons.setdefault(name.split(" ")[-1], {})
+            known[name] = gender if known.get(name, "n") == "n" else known[name]
+    one = {surname: next(iter(known.items())) for surname, known in persons.items() if len(known) == 1}
+    bare = {name: (name, g) for known in persons.values() for name, g in known.items()} | {surname: person for surname, person in one.items()}
+    out = []
+    for start, (end, gender, name) in found.items():
+        value, g = bare.get(name, (name, gender))
+        out.append((start, end, "name_" + g, value))
+    if bare:
+        for m in re.finditer(rf"\b(?:{'|'.join(map(re.escape, sorted(bare, key=len, reverse=True)))})\b", text):
+            value, g = bare[m[0]]
+            out.append((m.start(), m.end(), "name_" + g, value))
+    return out
+
+
+def changeable(value: str) -> bool:
+    """Whether a value has anything that a surrogate can change; rules and dashes stand for no secret."""
+    return any(c.isascii() and c.isalnum() for c in value)
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, type, canonical form) of the entities of a text, in order and apart."""
+    """(start, end, type, canonical form) of the entities of a text, in order and apart; of two that overlap the first, and of equal starts the longer."""
     found = []
     if _QUICK.search(text):
         for m in _PATTERN.finditer(text):
@@ -91,10 +142,12 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                 continue
             if kind == "iban" and not iban_valid(value):
                 continue
+            if kind == "secret" and not changeable(value):
+                continue
             found.append((m.start(kind), m.end(kind), kind, canonical(kind, value)))
-    names = [(m.start("name"), m.end("name"), "name_" + _TITLE_OF[m[0].split(".")[0].split(" ")[0]], m["name"]) for m in _BY_TITLE.finditer(text)]
-    if names:
-        found = sorted(found + names)
+    persons = names(text)
+    if persons:
+        found = sorted(found + persons, key=lambda e: (e[0], -e[1]))
         apart, end = [], -1
         for e in found:
             if e[0] >= end:
@@ -160,6 +213,11 @@ class Surrogates:
 
     def _draw(self, kind: str, value: str, attempt: str) -> str:
         s = self._stream(kind, value, attempt)
+        longer = max(0, int(attempt.split(".")[0]) - SAME_LENGTH_ATTEMPTS)
+        if longer and not kind.startswith("name_"):
+            drawn = self._draw(kind, value, f"0.{attempt}")
+            more = "".join(str(self._below(s, 10)) if kind in ("ip", "card", "phone", "ssn") else chr(97 + self._below(s, 26)) for _ in range(longer))
+            return more + drawn if kind == "email" else drawn + more
         if kind == "email":
             local, _, domain = value.partition("@")
             labels = domain.split(".")
@@ -187,38 +245,40 @@ class Surrogates:
             hexes = "0123456789abcdef"
             return self._like(value, s, hexes if set(value) <= set(hexes) else "")
         gender = kind[-1]
-        parts = value.split(" ")
         script = "cyrillic" if "Ѐ" <= value[0] <= "ӿ" else "latin"
-        first, last = NAMES[gender, script], SURNAMES[script]
-        chosen = [last[self._below(s, len(last))]] if len(parts) == 1 else [first[self._below(s, len(first))], last[self._below(s, len(last))]]
+        last = SURNAMES[script]
+        first = NAMES[gender, script] if gender != "n" else NAMES["m", script] + NAMES["f", script]
+        surname = last[self._below(s, len(last))]
         if gender == "f" and script == "cyrillic":
-            chosen[-1] += "а"
-        n = int(attempt.split(".")[0])  # the lists are short: later attempts double the surname
-        return " ".join(chosen) + (f"-{last[self._below(s, len(last))]}" if n else "") + (f"-{last[self._below(s, len(last))]}" if n > 3 else "") + (f"-{last[self._below(s, len(last))]}" if n > 8 else "")
+            surname += "а"
+        n = int(attempt.split(".")[0])  # the lists are short: every second attempt has a surname more
+        surname += "".join("-" + last[self._below(s, len(last))] for _ in range((n + 1) // 2))
+        return f"{first[self._below(s, len(first))]} {surname}" if " " in value else surname
 
-    def mention(self, kind: str, mention: str, surrogate: str) -> str:
-        """A surrogate in the format of a mention: its punctuation and case."""
+    def mention(self, kind: str, mention: str, surrogate: str, value: str = "") -> str:
+        """A surrogate in the format of a mention: its punctuation and case, or the surname alone."""
         if kind == "email":
             return "".join(b.upper() if a.isupper() else b for a, b in zip(mention, surrogate, strict=True)) if len(mention) == len(surrogate) else surrogate
         if kind in ("card", "iban", "phone"):
             rest = iter(surrogate)
-            return "".join(c if not (c.isalnum() or c == "+") else next(rest) for c in mention)
+            return "".join(c if not (c.isalnum() or c == "+") else next(rest, "") for c in mention) + "".join(rest)
+        if kind.startswith("name_") and " " in value and " " not in mention:
+            return surrogate.split(" ")[-1]
         return surrogate
 
 
-def _gatherer(texts_at: int):
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, kinds, values = [], [], []
-            for i, text in zip(batch.column(0), batch.column(texts_at), strict=True):
-                if text.is_valid:
-                    for kind, value in dict.fromkeys((k, v) for _, _, k, v in entities(text.as_py())):
-                        ids.append(i.as_py())
-                        kinds.append(kind)
-                        values.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["id", "kind", "value"])
-
-    return gather
+@lean("pii")
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row's key, type, canonical form) of each text's entities, once each."""
+    for batch in batches:
+        keys, kinds, values = [], [], []
+        for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if text.is_valid:
+                for kind, value in dict.fromkeys((kind, v) for _, _, kind, v in entities(text.as_py())):
+                    keys.append(k)
+                    kinds.append(kind)
+                    values.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["k", "kind", "value"])
 
 
 def _drawer(key: bytes):
@@ -234,27 +294,40 @@ def _drawer(key: bytes):
 def exceptions(found: DataFrame, key: bytes) -> DataFrame:
     """(kind, value, surrogate) of the entities whose first surrogate is taken: by a smaller entity, or by one of the corpus.
 
-    Of those that share a surrogate the smallest value keeps it; the others, and all whose surrogate is an entity, draw again.
-    Attempts end when none is left; only a full domain could take more than ``MAX_ATTEMPTS``, and is an error.
+    Of those that share a surrogate the smallest value keeps it; the others, and all whose surrogate is an entity, draw again,
+    until none meets an entity, a surrogate drawn before, or another of its turn.  Only these are drawn anew, and each turn's domain is larger.
     """
-    drawn = stored(found.select("kind", "value").distinct().withColumn("attempt", F.lit(0)).mapInArrow(_drawer(key), "kind string, value string, attempt int, surrogate string"), "drawn")
+    ddl = "kind string, value string, attempt int, surrogate string"
+    drawn = stored(found.select("kind", "value").distinct().withColumn("attempt", F.lit(0)).mapInArrow(_drawer(key), ddl), "drawn")
     originals = drawn.select("kind", F.col("value").alias("surrogate"))
-    for attempt in range(1, MAX_ATTEMPTS + 1):
-        keeper = drawn.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "value")).alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        shared = drawn.join(keeper, ["kind", "surrogate"]).filter(F.struct("attempt", "value") != F.col("keeper")).select("kind", "value")
-        real = drawn.join(originals, ["kind", "surrogate"], "left_semi").select("kind", "value")
-        again = stored(shared.unionByName(real).distinct(), "again")
-        if not again.limit(1).count():
-            return drawn.filter("attempt > 0").select("kind", "value", "surrogate")
-        redrawn = again.withColumn("attempt", F.lit(attempt)).mapInArrow(_drawer(key), "kind string, value string, attempt int, surrogate string")
-        following = stored(drawn.join(again, ["kind", "value"], "left_anti").unionByName(redrawn), "drawn")
-        drawn = following
-    raise ValueError(f"a type of entity has too few surrogates for {MAX_ATTEMPTS} attempts")
+
+    def second(df: DataFrame) -> DataFrame:
+        """Those that aren't the smallest of their surrogate."""
+        keeper = df.groupBy("kind", "surrogate").agg(F.min("value").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        return df.join(keeper, ["kind", "surrogate"]).filter("value <> keeper").select("kind", "value")
+
+    real = lambda df: df.join(originals, ["kind", "surrogate"], "left_semi").select("kind", "value")
+    again = stored(second(drawn).unionByName(real(drawn)).distinct(), "again")
+    taken = drawn.select("kind", "surrogate")
+    settled, attempt = drawn.filter("attempt > 0"), 0
+    while again.limit(1).count():
+        attempt += 1
+        turn = stored(again.withColumn("attempt", F.lit(attempt)).mapInArrow(_drawer(key), ddl), "turn")
+        met = turn.join(taken, ["kind", "surrogate"], "left_semi").select("kind", "value")
+        following = stored(second(turn).unionByName(real(turn)).unionByName(met).distinct(), "again")
+        fresh = stored(turn.join(following, ["kind", "value"], "left_anti").select(*drawn.columns), "fresh")
+        settled = settled.unionByName(fresh)
+        taken = taken.unionByName(fresh.select("kind", "surrogate"))
+        dropped(again, turn)
+        again = following
+    out = stored(settled.select("kind", "value", "surrogate"), "special")
+    dropped(drawn, again)
+    return out
 
 
 def _replacer(key: bytes, text_at: int, special_at: int, keep: int):
+    @lean("pii")
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("pii")
         s = Surrogates(key)
         memo: dict[tuple[str, str], str] = {}
         for batch in batches:
@@ -275,10 +348,10 @@ def _replacer(key: bytes, text_at: int, special_at: int, keep: int):
                         if new is None:
                             new = memo.get((kind, value))
                             if new is None:
-                                if len(memo) > 100_000:
+                                if len(memo) > 50_000:
                                     memo.clear()
                                 new = memo[kind, value] = s.canonical(kind, value)
-                        out += [text[at:a], s.mention(kind, text[a:b], new)]
+                        out += [text[at:a], s.mention(kind, text[a:b], new, value)]
                         at = b
                     text = "".join([*out, text[at:]])
                 texts.append(text)
@@ -292,20 +365,20 @@ def _replacer(key: bytes, text_at: int, special_at: int, keep: int):
 def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with the text's entities replaced, and n_entities (their number; a column of that name is replaced).
 
-    A null text stays null with no entity.  Null and repeated ids are carried along;
-    rows of one id share their exceptions.  An empty table gives an empty one.
+    A null text stays null with no entity, an empty one stays empty.  Texts of every length are searched whole.
+    Null and repeated ids are carried along, for a row's exceptions go by its text; ``id_col`` isn't otherwise used.
+    Equal rows give equal rows.  Other columns are kept, whatever their names.  An empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c != "n_entities"]
-    docs = docs.select(*names)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = texts.schema["id"].dataType.simpleString()
-    found = stored(texts.mapInArrow(_gatherer(1), f"id {kind}, kind string, value string"), "found")
-    special = stored(exceptions(found, key), "special")
-    by_doc = found.join(special, ["kind", "value"]).groupBy(F.col("id").alias("__id")).agg(F.collect_set(F.struct("kind", "value", "surrogate")).alias("__special"))
-    by_doc = stored(by_doc, "by-doc")
-    dropped(found)
-    joined = docs.join(by_doc, docs[id_col].eqNullSafe(by_doc["__id"]), "left").select(*[docs[c] for c in names], "__special")
-    joined = joined.withColumn(text_col, F.col(text_col).cast("string"))
-    schema = T.StructType([*joined.select(*names).schema.fields, T.StructField("n_entities", T.IntegerType())])
-    return joined.mapInArrow(_replacer(key, names.index(text_col), len(names), len(names)), schema)
+    names_kept = [c for c in docs.columns if c != "n_entities"]
+    free = "special"
+    while any(c.lower().startswith(free) for c in names_kept):
+        free += "_"
+    docs = docs.select(*names_kept).withColumn(text_col, F.col(text_col).cast("string"))
+    found = stored(docs.select(F.xxhash64(text_col).alias("k"), text_col).filter(F.col(text_col).isNotNull()).mapInArrow(_gather, "k long, kind string, value string"), "found")
+    special = exceptions(found, key)
+    by_text = stored(found.join(special, ["kind", "value"]).groupBy(F.col("k").alias(f"{free}k")).agg(F.collect_set(F.struct("kind", "value", "surrogate")).alias(free)), "by-text")
+    dropped(found, special)
+    joined = docs.join(by_text, F.xxhash64(text_col) == F.col(f"{free}k"), "left").select(*names_kept, free)
+    schema = T.StructType([*docs.select(*names_kept).schema.fields, T.StructField("n_entities", T.IntegerType())])
+    return joined.mapInArrow(_replacer(key, names_kept.index(text_col), len(names_kept), len(names_kept)), schema)
