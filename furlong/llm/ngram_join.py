@@ -77,10 +77,9 @@ def prefix_length(n: int) -> int:
 
 @lean("ngram_join")
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row's id, set size, key) of each text, then this task's counters in slices."""
+    """(row's id, text's hash, set size, key) of each text, then this task's counters in slices."""
     counts = np.zeros(ORDER_BUCKETS, np.uint32)
-    names = ["id", "n", "key", "slice", "counts"]
-    id_type = pa.int64()
+    names = ["id", "h", "n", "key", "slice", "counts"]
     for batch in batches:
         n, keys = [], []
         for s in shingle_sets(batch.column(1)):
@@ -88,11 +87,11 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(set_key(s) if len(s) else None)
             np.add.at(counts, _bucket(s), 1)
         rows = len(n)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
     used = [k for k in range(ORDER_BUCKETS // _SLICE) if counts[k * _SLICE : (k + 1) * _SLICE].any()]
     if used:
         blobs = [zlib.compress(counts[k * _SLICE : (k + 1) * _SLICE].tobytes(), 1) for k in used]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), id_type), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(used), pa.int64())] * 4, pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
 
 def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,22 +432,33 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     included.  Words are lower-cased (A-Z) runs without white space; a text of
     one to four words has its whole sequence as its one shingle.  A null or
     wordless text has no shingle and links with nothing: its component is its
-    own id.  A row of null id is a node like any other, but never names a
+    own id.  Texts of any length count whole.  A row of null id is a node like any other, but never names a
     component unless no other id is there (then null).  Repeated rows come back
-    as often as they came.  Extra columns are ignored, whatever their names.
+    as often as they came; which of equally good edges is tried first changes no result.  Extra columns are ignored, whatever their names.
     An empty table gives an empty table.
     """
+    return rows_with_classes(docs, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def text_hash(id_col: str, text_col: str) -> Column:
+    """With the id, what tells rows of a table apart but for equal ones."""
+    return F.xxhash64(F.col(id_col).isNull(), F.col(text_col).cast("string"))
+
+
+def rows_with_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, n, root, component_id) of every row: h is ``text_hash``, root the class (null for a text without words)."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    measured = stored(texts.mapInArrow(_measure, "id long, n long, key long, slice int, counts binary"), "measured")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), text_hash(id_col, text_col).alias("h"))
+    measured = stored(texts.mapInArrow(_measure, "id long, h long, n long, key long, slice int, counts binary"), "measured")
     slices = measured.filter("slice is not null").select("slice", "counts").repartition("slice").mapInArrow(_add_slices, "slice int, counts binary")
     counts = np.zeros(ORDER_BUCKETS, np.int64)
     for row in slices.collect():  # ORDER_BUCKETS numbers, whatever the input
         counts[row["slice"] * _SLICE : (row["slice"] + 1) * _SLICE] = np.frombuffer(row["counts"], np.int64)
     order = spark.sparkContext.broadcast(counts)
 
-    rows = measured.filter("slice is null").select("id", "n", "key")
+    rows = measured.filter("slice is null").select("id", "h", "n", "key")
+    texts = texts.select("id", "text")
     buckets = 64 * (1 + int(counts.sum()) // (5 * 64 * POST_ROWS))  # a fifth of the shingles is posted
     posted = texts.select("text").mapInArrow(_poster(order, buckets), _POSTS).repartition("bucket").sortWithinPartitions("bucket")
     met = stored(posted.mapInArrow(_met, "token long, key long, n int, place int"), "met")
@@ -473,11 +483,11 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     parts = stored(components(every), "parts").withColumnRenamed("node", "key")
     dropped(every)
 
-    named = stored(rows.filter("key is not null").join(parts, "key", "left").select("id", "n", F.coalesce("root", "key").alias("root")), "named")
+    named = stored(rows.filter("key is not null").join(parts, "key", "left").select("id", "h", "n", F.coalesce("root", "key").alias("root")), "named")
     dropped(parts)
     lowest = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    linked = named.join(lowest, "root").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.filter("key is null").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    linked = named.join(lowest, "root").select("id", "h", "n", "root", "component_id")
+    alone = rows.filter("key is null").select("id", "h", "n", F.lit(None).cast("long").alias("root"), F.col("id").alias("component_id"))
     out = stored(linked.unionByName(alone), "classes")
     dropped(named, measured)
     return out
