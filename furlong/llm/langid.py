@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furlong.llm._shared import claim, small_batches
+from furlong.llm._shared import give_back, lean, small_batches
 from furlong.llm._text import mix, pieces
 
 TRAIN_ROWS = 1000
@@ -240,16 +240,17 @@ def train(texts: list[str], langs: list[str], labels: list[str], epochs: int = E
     return model
 
 
-def _predictor(shared):
+def _predictor(shared, spans: bool):
+    @lean("langid")
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("langid")
         model: LanguageModel = shared.value
+        kind = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int32()), ("text", pa.string())]))
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
-            lang, score = [], []
+            lang, score, parts = [], [], []
             if not model.labels:
-                lang, score = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
-            for lo, hi, emissions, first in _emitted(model, column) if model.labels else ():
+                lang, score, parts = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows, [[] for _ in range(batch.num_rows)]
+            for lo, hi, emissions, first, places in _emitted(model, column, spans) if model.labels else ():
                 post = model.posteriors(emissions, first)
                 total = np.concatenate([np.zeros((1, post.shape[1])), np.cumsum(post, 0)])
                 share = total[first[1:]] - total[first[:-1]]
@@ -262,31 +263,57 @@ def _predictor(shared):
                     else:
                         lang.append(model.labels[best[r]])
                         score.append(min(1.0, float(share[r, best[r]] / words[r])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+                if spans:
+                    parts += _runs(model.labels, post.argmax(1), first, places, [column[lo + r].as_py() for r in range(hi - lo)])
+            out = [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out, *([pa.array(parts, kind)] if spans else [])], names=[*batch.schema.names[:-1], "lang_pred", "score", *(["spans"] if spans else [])])
 
     return predict
 
 
+def _runs(labels: list[str], label: np.ndarray, first: np.ndarray, places: tuple[np.ndarray, np.ndarray], texts: list[str | None]) -> list[list[dict]]:
+    """For each text, its runs of words of one language: the language, the number of words, and the text from its first word to its last."""
+    begin, end = places
+    new = np.ones(len(label), bool)
+    new[1:] = label[1:] != label[:-1]
+    new[first[:-1][first[:-1] < len(label)]] = True
+    out = []
+    for r, text in enumerate(texts):
+        a, b = int(first[r]), int(first[r + 1])
+        starts = a + np.flatnonzero(new[a:b])
+        stops = [*starts[1:].tolist(), b]
+        data = (text or "").encode()
+        out.append([{"lang": labels[label[i]], "words": j - i, "text": data[begin[i] : end[j - 1]].decode("utf-8", "replace")} for i, j in zip(starts.tolist(), stops, strict=True)] if a < b else [])
+    return out
+
+
 def _has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def _emitted(model: LanguageModel, column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Emissions of runs of whole texts, taken a piece at a time and handed on a few megabytes at a time."""
-    lo, held, parts, firsts, rows, words = 0, 0, [], [np.zeros(1, np.int64)], 0, 0
-    for _a, b, data, offsets in pieces(column, 1 << 19):
+def _emitted(model: LanguageModel, column: pa.Array, spans: bool, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, tuple]]:
+    """Emissions of runs of whole texts, taken a piece at a time and handed on about a megabyte at a time; with spans, each word's first and last byte in its text."""
+    lo, held, parts, firsts, places, rows, words = 0, 0, [], [np.zeros(1, np.int64)], [], 0, 0
+    for _a, b, data, offsets in pieces(column, 1 << 17):
         text, starts = _canonical(data, offsets)
         chain = _words(text, starts)
         parts.append(model.emissions(text, chain))
         firsts.append(chain.first[1:] + words)
+        if spans:  # a blank stands before every text
+            own = np.repeat(starts[:-1] + 1, np.diff(chain.first))
+            places.append((chain.begin - own, chain.end - own))
         words += len(chain.begin)
         held += len(data)
         rows = b
         if held >= most:
-            yield lo, rows, np.concatenate(parts), np.concatenate(firsts)
-            lo, held, parts, firsts, words = rows, 0, [], [np.zeros(1, np.int64)], 0
+            yield lo, rows, np.concatenate(parts), np.concatenate(firsts), _joined(places)
+            lo, held, parts, firsts, places, words = rows, 0, [], [np.zeros(1, np.int64)], [], 0
     if parts:
-        yield lo, rows, np.concatenate(parts), np.concatenate(firsts)
+        yield lo, rows, np.concatenate(parts), np.concatenate(firsts), _joined(places)
+
+
+def _joined(places: list[tuple[np.ndarray, np.ndarray]]) -> tuple:
+    return tuple(map(np.concatenate, zip(*places, strict=True))) if places else ()
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> LanguageModel:
@@ -304,22 +331,26 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     # the picked ids are a bounded table
     sample = known.join(F.broadcast(picked), "id").groupBy("id").agg(F.min(F.struct("text", "lang")).alias("r")).select("id", "r.text", "r.lang")
     found = sorted(sample.collect())
-    return train([r["text"] for r in found], [r["lang"] for r in found], labels)
+    model = train([r["text"] for r in found], [r["lang"] for r in found], labels)
+    give_back()
+    return model
 
 
-def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``id_col``, lang_pred, score (the share of expected words that are of that language, 0 to 1).
+def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:
+    """One row per input row: ``id_col``, lang_pred, score (the share of expected words that are of that language, 0 to 1) and spans (runs
+    of words of one language in order: lang, words, text; left out unless ``spans``).
 
     ``und`` with score 0 stands for a null text, one without letters, and a model
-    without languages.  Ties go to the language first in order.  Null or
-    repeated ids are carried along; extra columns are ignored; an empty table
+    without languages.  Ties go to the language first in order.  Texts of any length are read whole.  Null or
+    repeated ids are carried along, each row on its own; extra columns are ignored; an empty table
     gives an empty one.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_predictor(shared), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    more = ", spans array<struct<lang: string, words: int, text: string>>" if spans else ""
+    return rows.mapInArrow(_predictor(shared, spans), f"id {kind}, lang_pred string, score double{more}").withColumnRenamed("id", id_col)
 
 
 def with_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
@@ -331,4 +362,4 @@ def with_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text"
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_predictor(shared), schema)
+    return rows.mapInArrow(_predictor(shared, False), schema)

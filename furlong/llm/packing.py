@@ -15,6 +15,7 @@ share, and only piece descriptions move, not ids.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -27,13 +28,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from furlong.llm.bpe import byte_alphabet
-from furlong.llm._shared import claim, small_batches, stored
+from furlong.llm._shared import lean, small_batches, stored
 
 CAPACITY = 2048
 SLACK = 16
 WINDOW = 1 << 15
 PER_TASK = 20_000
-MEMO = 800_000
+#: Entries of either dictionary of ids, of chunks of at most ``_KEPT`` characters: some 200 bytes each.
+MEMO = 300_000
+_KEPT = 256
 _CHUNK = re.compile(r"[^ \t-\r]+")
 #: Letters of Latin-1 with ASCII punctuation after them: two pieces, the first of which is lower-cased.
 _ODD_SPACE = [chr(c) for c in (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
@@ -59,7 +62,9 @@ class _Known(dict):
                 self.words.clear()
                 self.words[""] = b""
             shown = piece if piece.isascii() else "".join(map(_SHOWN.__getitem__, piece.encode()))
-            found = self.words[piece] = array("I", [t.id for t in self.piece(shown)]).tobytes()
+            found = array("I", [t.id for t in self.piece(shown)]).tobytes()
+            if len(piece) <= _KEPT:
+                self.words[piece] = found
         return found
 
     def __missing__(self, chunk: str) -> bytes:
@@ -68,7 +73,8 @@ class _Known(dict):
             found = self._word(m[1].lower()) + self._word(m[2])
         else:
             found = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-        self[chunk] = found
+        if len(chunk) <= _KEPT:
+            self[chunk] = found
         return found
 
 
@@ -82,6 +88,11 @@ class ChunkIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [[x["type"] for x in (spec[part] or {}).get(many, [])] for part, many in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        if steps != [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] or spec["pre_tokenizer"]["pretokenizers"][1]["use_regex"]:
+            raise ValueError(f"{path}: chunks between white space can't be encoded apart by this tokenizer's parts {steps}")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -177,8 +188,8 @@ def _schema(id_type: T.DataType) -> T.StructType:
 
 
 def _cutter(path: str, schema: pa.Schema):
+    @lean("packing", _LOADED.clear)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("packing", _LOADED.clear)
         encode, packer, since = chunk_ids(path), _Packer(), 0
         for batch in batches:
             at, n = 0, batch.num_rows

@@ -67,7 +67,7 @@ def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
-    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "offending")
 
 
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +93,7 @@ def language_model(spark: SparkSession, sf_dir: str) -> langid.LanguageModel:
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify_languages(table(spark, sf_dir, "documents"), language_model(spark, sf_dir))
-    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", F.transform("spans", lambda s: F.struct(s["lang"], s["words"])).alias("spans"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from furlong.llm import _text
-from furlong.llm._shared import claim, small_batches
+from furlong.llm._shared import give_back, lean, small_batches
 from furlong.llm._text import mix, pieces
 
 TRAIN_EACH = 2000
@@ -155,17 +155,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # the picked ids are a bounded table
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null").join(F.broadcast(picked[0].unionByName(picked[1])), "id")
     sample = sorted(texts.groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y")).collect())
-    return train([r["text"] for r in sample], [r["y"] for r in sample], ones / max(1, n))
+    model = train([r["text"] for r in sample], [r["y"] for r in sample], ones / max(1, n))
+    give_back()
+    return model
 
 
 def _scorer(shared, threshold: float, located: bool):
+    @lean("toxicity")
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("toxicity")
         model: ToxicityModel = shared.value
         kind = pa.list_(pa.struct([("sentence", pa.string()), ("score", pa.float64())]))
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
-            for lo, hi, data, offsets in pieces(column, 1 << 19):
+            for lo, hi, data, offsets in pieces(column, 1 << 18):
                 b = bags(data, offsets)
                 p = model.sentences(b)
                 total = noisy_or(p, b.text, hi - lo)
@@ -186,8 +188,8 @@ def _scorer(shared, threshold: float, located: bool):
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: ``id_col``, score (0 to 1), predicted (1 if score >= threshold), offending (its sentences with such scores, in order).
 
-    A null or wordless text has no sentence and score 0.  Null or repeated ids
-    are carried along, extra columns are ignored, an empty table gives an empty one.
+    A null or wordless text has no sentence and score 0.  Texts of any length are read whole.  A score equal to the threshold
+    counts as toxic.  Null or repeated ids are carried along, each row on its own; extra columns are ignored, an empty table gives an empty one.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
