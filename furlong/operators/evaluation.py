@@ -18,11 +18,21 @@ def log_loss(p: Column, y: Column) -> Column:
     return F.avg(-(y * F.log(q) + (1 - y) * F.log(1 - q)))
 
 
+SCORE_BUCKETS = 4096
+
+
 def roc_auc(rows: DataFrame, p: str, y: str) -> DataFrame:
-    """Rank statistic from counts by distinct score: rows of a score combine before they meet in one order."""
-    counts = rows.groupBy(p).agg(F.sum(y).alias("ones"), F.sum(1 - F.col(y)).alias("zeros"))
-    below = F.coalesce(F.sum("zeros").over(Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.select("ones", "zeros", below.alias("below"))
+    """Rank statistic from counts by distinct score: rows of a score combine before they meet in one order.
+
+    Scores are probabilities: they are put in order within each of ``SCORE_BUCKETS`` equal ranges, and the ranges'
+    totals, a table of fixed size, are put in order among themselves.
+    """
+    counts = rows.groupBy(p).agg(F.sum(y).alias("ones"), F.sum(1 - F.col(y)).alias("zeros")).withColumn("bucket", F.floor(F.col(p) * SCORE_BUCKETS))
+    up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+    ranges = counts.groupBy("bucket").agg(F.sum("zeros").alias("z")).select("bucket", F.coalesce(F.sum("z").over(up_to(Window.orderBy("bucket"))), none).alias("earlier"))
+    inside = counts.withColumn("inside", F.coalesce(F.sum("zeros").over(up_to(Window.partitionBy("bucket").orderBy(p))), none))
+    ranked = inside.join(ranges, "bucket").select("ones", "zeros", (F.col("inside") + F.col("earlier")).alias("below"))
     return ranked.agg(F.try_divide(F.sum(F.col("ones") * (F.col("below") + F.col("zeros") / 2)), (F.sum("ones") * F.sum("zeros")).cast("double")).alias("auc"))
 
 

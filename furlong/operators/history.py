@@ -16,14 +16,17 @@ from pyspark.sql import functions as F
 from furlong.functions.scalars import finishing_percentile, rate, softness
 
 Run = Callable[[Column], Column]
-_RUN = ["race_ts", "race_id", "course", "distance_f", "going", "race_class", "flat_jumps", "finishing_position", "field_size", "official_rating", "headgear", "trainer_id", "sp_decimal", "pct"]
+_RUN = ["race_ts", "race_id", "course", "distance_f", "going", "race_class", "flat_jumps", "finishing_position", "field_size", "official_rating", "headgear", "trainer_id", "sp_decimal", "pct", "pace_comment"]
 
 
 def with_history(runners: DataFrame) -> DataFrame:
     """Adds ``past``, the earlier runs of the horse as structs, latest first (ties by race)."""
     when = F.unix_micros("race_ts")
-    before = Window.partitionBy("horse_id").orderBy(when).rangeBetween(Window.unboundedPreceding, -1)
+    nameless = F.when(F.col("horse_id").isNull(), F.col("runner_id"))  # such runs have no history, and aren't one group
+    before = Window.partitionBy("horse_id", nameless).orderBy(when).rangeBetween(Window.unboundedPreceding, -1)
     rows = runners.withColumn("pct", finishing_percentile(F.col("finishing_position"), F.col("field_size")))
+    if "pace_comment" not in rows.columns:
+        rows = rows.withColumn("pace_comment", F.lit(None).cast("string"))
     past = F.collect_list(F.struct(*_RUN)).over(before)
     return rows.withColumn("past", F.sort_array(past, asc=False)).withColumn("n", F.size("past").cast("long"))
 
@@ -78,7 +81,13 @@ def record(prefix: str, test: Run) -> list[Column]:
     return [starts.alias(f"{prefix}_starts"), wins.alias(f"{prefix}_wins"), places.alias(f"{prefix}_places"), rate(wins, starts).alias(f"{prefix}_win_rate"), rate(places, starts).alias(f"{prefix}_place_rate")]
 
 
+def named(columns: list[Column], prefix: str) -> list[tuple[str, Column]]:
+    """A record's columns with their names."""
+    return list(zip([f"{prefix}_{x}" for x in ("starts", "wins", "places", "win_rate", "place_rate")], columns, strict=True))
+
+
 def course_distance_going(history: DataFrame) -> DataFrame:
+    """Records by course, distance, both, going and code; those by going are null where today's is unknown and there are earlier runs."""
     course = lambda r: r["course"] == F.col("course")
     near = lambda r: F.abs(r["distance_f"] - F.col("distance_f")) <= 1.5
     return history.select(
@@ -86,7 +95,7 @@ def course_distance_going(history: DataFrame) -> DataFrame:
         *record("course", course),
         *record("distance", near),
         *record("course_distance", lambda r: course(r) & near(r))[:3],
-        *record("going", lambda r: r["going"] == F.col("going")),
+        *[F.when((F.col("n") == 0) | F.col("going").isNotNull(), c).alias(name) for name, c in named(record("going", lambda r: r["going"] == F.col("going")), "going")],
         *record("race_type", lambda r: r["flat_jumps"] == F.col("flat_jumps")),
     )
 
@@ -163,17 +172,19 @@ def rating_history(history: DataFrame) -> DataFrame:
 
 
 def headgear_trainer(history: DataFrame) -> DataFrame:
-    geared = F.filter("past", lambda r: r["headgear"].isNotNull())
+    """Runs in today's headgear, and runs for today's trainer; null without a headgear, or without a trainer."""
+    geared = F.filter("past", lambda r: r["headgear"] == F.col("headgear"))
     own = F.filter("past", lambda r: r["trainer_id"] == F.col("trainer_id"))
     here = F.col("headgear").isNotNull() & (F.col("n") > 0)
+    trained = lambda c: F.when(F.col("trainer_id").isNotNull(), c)
     return history.select(
         "runner_id",
         F.when(here, F.size(geared).cast("long")).alias("prior_headgear_runs"),
         F.when(here, rate(count_of(geared, won), F.size(geared))).alias("prior_headgear_win_rate"),
-        F.size(own).cast("long").alias("runs_for_current_trainer"),
-        (F.size(own) == 0).cast("int").alias("first_run_for_trainer_flag"),
-        (F.size(own) == 1).cast("int").alias("second_run_for_trainer_flag"),
-        F.coalesce((F.try_element_at("past", F.lit(1))["trainer_id"] != F.col("trainer_id")).cast("int"), F.lit(0)).alias("trainer_change_flag"),
+        trained(F.size(own).cast("long")).alias("runs_for_current_trainer"),
+        trained((F.size(own) == 0).cast("int")).alias("first_run_for_trainer_flag"),
+        trained((F.size(own) == 1).cast("int")).alias("second_run_for_trainer_flag"),
+        trained(F.coalesce((F.try_element_at("past", F.lit(1))["trainer_id"] != F.col("trainer_id")).cast("int"), F.lit(0))).alias("trainer_change_flag"),
     )
 
 
@@ -223,16 +234,34 @@ def pace(runners: DataFrame) -> DataFrame:
     )
 
 
-def evidence(history: DataFrame) -> DataFrame:
-    """The sub-scores that runs alone give, and their weighted score; bands at 20, 40, 65 and 85."""
+#: Weights of the evidence sub-scores (fixed values).
+EVIDENCE = {"career_starts": 0.30, "recent_starts": 0.15, "course_distance_evidence": 0.15, "sectional_availability": 0.10, "race_comment_availability": 0.05, "rating_history": 0.15, "trainer_jockey_data": 0.10}
+
+
+def evidence(history: DataFrame, trainer_runs: str = "trainer_runs_30d", jockey_runs: str = "jockey_runs_30d", sectional: Run | None = None) -> DataFrame:
+    """How much is known of a runner: seven sub-scores and their weighted score, with a label cut at 20, 40, 65 and 85 of the unrounded score.
+
+    ``sectional`` tells of a run whether its in-running places are known (all of them unless given).
+    """
     n = F.col("n")
     year = count_of(F.col("past"), lambda r: r["race_ts"] >= F.col("race_ts") - F.expr("interval 365 days"))
     cd = count_of(F.col("past"), lambda r: (r["course"] == F.col("course")) & (F.abs(r["distance_f"] - F.col("distance_f")) <= 1.5))
-    rated = F.coalesce(F.try_divide(count_of(latest(5), lambda r: r["official_rating"].isNotNull()).cast("double"), F.size(latest(5)).cast("double")), F.lit(0.0))
-    out = history.select("runner_id", (F.least(n, F.lit(15)) / 15).alias("career"), (F.least(year, F.lit(6)) / 6).alias("recent"), (F.least(cd, F.lit(3)) / 3).alias("course_distance"), rated.alias("rating"))
-    score = out.withColumn("score", 100 * (0.30 * F.col("career") + 0.15 * F.col("recent") + 0.15 * F.col("course_distance") + 0.15 * F.col("rating")) / 0.75)
-    label = F.when(F.col("score") < 20, "VERY_LOW").when(F.col("score") < 40, "LOW").when(F.col("score") < 65, "MEDIUM").when(F.col("score") < 85, "HIGH").otherwise("VERY_HIGH")
-    return score.withColumn("label", label)
+    share = lambda test: F.coalesce(F.try_divide(count_of(latest(5), test).cast("double"), F.size(latest(5)).cast("double")), F.lit(0.0))
+    enough = lambda c: F.least(F.coalesce(F.col(c), F.lit(0)) / 5, F.lit(1.0))
+    sub = {
+        "career_starts": F.least(n, F.lit(15)) / 15,
+        "recent_starts": F.least(year, F.lit(6)) / 6,
+        "course_distance_evidence": F.least(cd, F.lit(3)) / 3,
+        "sectional_availability": share(sectional or (lambda r: r["race_ts"].isNotNull())),
+        "race_comment_availability": share(lambda r: r["pace_comment"].isNotNull()),
+        "rating_history": share(lambda r: r["official_rating"].isNotNull()),
+        "trainer_jockey_data": F.least(enough(trainer_runs), enough(jockey_runs)),
+    }
+    out = history.select("runner_id", *[c.alias(k) for k, c in sub.items()])
+    score = sum((F.lit(w) * F.col(k) for k, w in EVIDENCE.items()), F.lit(0.0)) * 100
+    cut = F.round(score, 9)  # sums of fractions that should be whole are
+    label = F.when(cut < 20, "VERY_LOW").when(cut < 40, "LOW").when(cut < 65, "MODERATE").when(cut < 85, "HIGH").otherwise("VERY_HIGH")
+    return out.select("runner_id", F.round(cut, 2).alias("evidence_density_score_100"), F.round(cut / 100, 4).alias("evidence_density_score"), label.alias("evidence_density_label"), *[F.round(k, 4).alias(f"evidence_subscore_{k}") for k in sub])
 
 
 def leakage(history: DataFrame) -> DataFrame:

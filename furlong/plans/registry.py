@@ -42,6 +42,7 @@ runners as (
     case when dnf = 0 then row_number() over (partition by l_orderkey order by dnf, l_extendedprice desc, l_partkey) end as finishing_position,
     l_returnflag = 'N' and l_linenumber = 6 as non_runner, 2 + l_partkey % 9 as age,
     case when l_linenumber % 4 <> 0 then 'h' || (l_linenumber % 4) end as headgear,
+    case when l_linenumber % 3 <> 0 then 'c' || (l_linenumber % 3) end as pace_comment,
     (51.0::double - l_quantity) / 51.0::double as model_score,
     count(*) over (partition by l_orderkey) as field_size
   from drawn join races on race_id = l_orderkey)"""
@@ -49,7 +50,7 @@ HISTORY_SQL = RUNNERS_SQL + """,
 pct as (select *, case when field_size > 1 then (field_size - finishing_position)::double / (field_size - 1) end as pct from runners),
 past as (
   select r.runner_id, h.*, row_number() over (partition by r.runner_id order by h.race_ts desc, h.race_id desc) as rn, r.race_ts as own_ts,
-    r.course as own_course, r.distance_f as own_distance, r.going as own_going, r.flat_jumps as own_code, r.race_class as own_class, r.official_rating as own_rating, r.trainer_id as own_trainer
+    r.course as own_course, r.distance_f as own_distance, r.going as own_going, r.flat_jumps as own_code, r.race_class as own_class, r.official_rating as own_rating, r.trainer_id as own_trainer, r.headgear as own_headgear
   from runners r join (select * exclude (runner_id) from pct) h on h.horse_id = r.horse_id and h.race_ts < r.race_ts)"""
 SOFT_SQL = "coalesce(map {'Firm': 0.0, 'Good to Firm': 0.2, 'Standard': 0.3, 'Good': 0.4, 'Standard to Slow': 0.55, 'Good to Soft': 0.6, 'Slow': 0.7, 'Soft': 0.85, 'Heavy': 1.0}[%s], 0.5)::double"
 ODDS_SQL = "odds as (select user_id as runner_id, event_type as bookmaker, ts as tick_ts, 1.0 + value as price, date_trunc('day', ts) + interval 18 hour as off_ts, event_type = 'purchase' as is_sp, event_id from events)"
@@ -76,18 +77,26 @@ def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _record_sql(prefix: str, test: str, rates: bool = True) -> str:
-    n, w, p = (f"count(h.runner_id) filter ({test}{x})" for x in ("", " and finishing_position = 1", " and finishing_position <= 3"))
+    n, w, p = (f"count(h.runner_id) filter ({test}{x})" for x in ("", " and h.finishing_position = 1", " and h.finishing_position <= 3"))
     out = f"{n} as {prefix}_starts, {w} as {prefix}_wins, {p} as {prefix}_places"
     return out + (f", round({w}::double / nullif({n}, 0), 9) as {prefix}_win_rate, round({p}::double / nullif({n}, 0), 9) as {prefix}_place_rate" if rates else "")
 
 
-_NEAR = "abs(distance_f - own_distance) <= 1.5"
+_NEAR = "abs(h.distance_f - own_distance) <= 1.5"
+
+
+def _known_going_sql() -> str:
+    """Null where today's going is unknown and there are earlier runs."""
+    n, w, p = (f"count(h.runner_id) filter (h.going = own_going{x})" for x in ("", " and h.finishing_position = 1", " and h.finishing_position <= 3"))
+    known = "count(h.runner_id) = 0 or any_value(r.going) is not null"
+    values = {"starts": n, "wins": w, "places": p, "win_rate": f"round({w}::double / nullif({n}, 0), 9)", "place_rate": f"round({p}::double / nullif({n}, 0), 9)"}
+    return ", ".join(f"case when {known} then {v} end as going_{k}" for k, v in values.items())
 
 
 @query(f"""with {HISTORY_SQL}
-select r.runner_id, {_record_sql("course", "course = own_course")}, {_record_sql("distance", _NEAR)}, {_record_sql("course_distance", f"course = own_course and {_NEAR}", False)},
-  {_record_sql("going", "going = own_going")}, {_record_sql("race_type", "flat_jumps = own_code")}
-from (select runner_id from runners) r left join past h on h.runner_id = r.runner_id group by r.runner_id""")
+select r.runner_id, {_record_sql("course", "h.course = own_course")}, {_record_sql("distance", _NEAR)}, {_record_sql("course_distance", f"h.course = own_course and {_NEAR}", False)},
+  {_known_going_sql()}, {_record_sql("race_type", "h.flat_jumps = own_code")}
+from runners r left join past h on h.runner_id = r.runner_id group by r.runner_id""")
 def course_distance_going(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(history.course_distance_going(_history(spark, sf_dir)))
 
@@ -178,11 +187,16 @@ def draw_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(field.draw_position(racing.runners(spark, sf_dir)))
 
 
+_THIRD = "case when {0} <= 1.0::double / 3 then 0 when {0} <= 2 * (1.0::double / 3) then 1 else 2 end"
+
+
 @query(f"""with {RUNNERS_SQL},
-b as (select *, epoch_us(race_ts) as t, least(2, floor(3 * (draw - 1) / field_size::double)) as third, case when field_size <= 8 then 'SMALL' when field_size <= 14 then 'MEDIUM' else 'LARGE' end as size_band, round_even(distance_f / 2, 0) * 2 as distance_band from runners),
-s as (select *, count(*) over w as sample_size from b window w as (partition by course, distance_band, size_band order by t range between unbounded preceding and 1 preceding)),
-o as (select *, count(*) over w as own, coalesce(sum((finishing_position = 1)::int) over w, 0) as own_wins from s window w as (partition by course, distance_band, size_band, third order by t range between unbounded preceding and 1 preceding))
-select runner_id, sample_size, case when sample_size >= 30 and own >= 10 then round(own_wins::double / own, 9) end as draw_bias_win_rate, (sample_size >= 30 and own >= 10)::bigint as draw_bias_available from o""")
+b as (select *, epoch_us(race_ts) as t, {_THIRD.format("(draw / field_size::double)")} as third, case when field_size > 1 then {_THIRD.format("((draw - 0.5::double) / field_size::double)")} else 0 end as own_third,
+  case when field_size <= 8 then 'SMALL' when field_size <= 14 then 'MEDIUM' else 'LARGE' end as size_band, round_even(distance_f / 2, 0) * 2 as distance_band from runners),
+o as (select *, count(*) over w as sample_size, {", ".join(f"count(*) filter (third = {x}) over w as n{x}, count(*) filter (third = {x} and finishing_position = 1) over w as w{x}" for x in range(3))} from b
+  window w as (partition by course, distance_band, size_band order by t range between unbounded preceding and 1 preceding)),
+k as (select runner_id, sample_size, case own_third when 0 then n0 when 1 then n1 else n2 end as own, case own_third when 0 then w0 when 1 then w1 else w2 end as own_wins from o)
+select runner_id, sample_size, case when sample_size >= 30 and own >= 10 then round(own_wins::double / own, 9) end as draw_bias_win_rate, (sample_size >= 30 and own >= 10)::bigint as draw_bias_available from k""")
 def draw_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(rolling.draw_bias(racing.runners(spark, sf_dir)))
 
@@ -219,8 +233,8 @@ def combo_course_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {HISTORY_SQL}
-select r.runner_id, case when any_value(r.headgear) is not null and count(h.runner_id) > 0 then count(h.headgear) end as prior_headgear_runs,
-  case when any_value(r.headgear) is not null and count(h.runner_id) > 0 then round(count(*) filter (h.headgear is not null and h.finishing_position = 1)::double / nullif(count(h.headgear), 0), 9) end as prior_headgear_win_rate,
+select r.runner_id, case when any_value(r.headgear) is not null and count(h.runner_id) > 0 then count(*) filter (h.headgear = own_headgear) end as prior_headgear_runs,
+  case when any_value(r.headgear) is not null and count(h.runner_id) > 0 then round(count(*) filter (h.headgear = own_headgear and h.finishing_position = 1)::double / nullif(count(*) filter (h.headgear = own_headgear), 0), 9) end as prior_headgear_win_rate,
   count(*) filter (h.trainer_id = own_trainer) as runs_for_current_trainer, (count(*) filter (h.trainer_id = own_trainer) = 0)::bigint as first_run_for_trainer_flag,
   (count(*) filter (h.trainer_id = own_trainer) = 1)::bigint as second_run_for_trainer_flag, coalesce(max((h.trainer_id <> own_trainer)::bigint) filter (rn = 1), 0) as trainer_change_flag
 from runners r left join past h on h.runner_id = r.runner_id group by r.runner_id""")
@@ -238,15 +252,34 @@ def age_experience(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(history.age_experience(_history(spark, sf_dir)))
 
 
+def _runs_sql(key: str) -> str:
+    return f"count(*) over (partition by {key} order by epoch_us(race_ts) range between {30 * 86_400_000_000} preceding and 1 preceding)"
+
+
+_SUB = {"career_starts": "least(coalesce(n, 0), 15) / 15.0::double", "recent_starts": "least(coalesce(y, 0), 6) / 6.0::double", "course_distance_evidence": "least(coalesce(cd, 0), 3) / 3.0::double", "sectional_availability": "coalesce(sectional, 0.0::double)", "race_comment_availability": "coalesce(commented, 0.0::double)", "rating_history": "coalesce(rated, 0.0::double)", "trainer_jockey_data": "least(least(t30 / 5.0::double, 1.0::double), least(j30 / 5.0::double, 1.0::double))"}
+
+
 @query(f"""with {HISTORY_SQL},
-n as (select runner_id, count(*) as n, count(*) filter (race_ts >= own_ts - interval 365 day) as y, count(*) filter (course = own_course and {_NEAR}) as cd,
-  count(official_rating) filter (rn <= 5)::double / count(*) filter (rn <= 5) as rated from past group by 1),
-a as (select r.runner_id, least(coalesce(n, 0), 15) / 15::double as career, least(coalesce(y, 0), 6) / 6::double as recent, least(coalesce(cd, 0), 3) / 3::double as course_distance, coalesce(rated, 0) as rating from runners r left join n using (runner_id)),
-s as (select *, 100 * (0.30::double * career + 0.15::double * recent + 0.15::double * course_distance + 0.15::double * rating) / 0.75::double as score from a)
-select runner_id, round(career, 9) as career, round(recent, 9) as recent, round(course_distance, 9) as course_distance, round(rating, 9) as rating, round(score, 9) as score,
-  case when round(score, 9) < 20 then 'VERY_LOW' when round(score, 9) < 40 then 'LOW' when round(score, 9) < 65 then 'MEDIUM' when round(score, 9) < 85 then 'HIGH' else 'VERY_HIGH' end as label from s""")
+n as (select runner_id, count(*) as n, count(*) filter (race_ts >= own_ts - interval 365 day) as y, count(*) filter (h.course = own_course and {_NEAR}) as cd,
+  count(*) filter (rn <= 5)::double / count(*) filter (rn <= 5) as sectional, count(pace_comment) filter (rn <= 5)::double / count(*) filter (rn <= 5) as commented,
+  count(official_rating) filter (rn <= 5)::double / count(*) filter (rn <= 5) as rated from past h group by 1),
+b as (select runner_id, {_runs_sql("trainer_id")} as t30, {_runs_sql("jockey_id")} as j30 from runners),
+a as (select runner_id, {", ".join(f"{v} as {k}" for k, v in _SUB.items())} from b left join n using (runner_id)),
+s as (select *, round(100 * ({" + ".join(f"{w}::double * {k}" for k, w in history.EVIDENCE.items())}), 9) as score from a)
+select runner_id, round(score, 2) as evidence_density_score_100, round(score / 100, 4) as evidence_density_score,
+  case when score < 20 then 'VERY_LOW' when score < 40 then 'LOW' when score < 65 then 'MODERATE' when score < 85 then 'HIGH' else 'VERY_HIGH' end as evidence_density_label,
+  {", ".join(f"round({k}, 4) as evidence_subscore_{k}" for k in _SUB)} from s""")
 def evidence_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(history.evidence(_history(spark, sf_dir)))
+    return history.evidence(with_recent_runs(spark, sf_dir))
+
+
+def with_recent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histories, with the runs of trainer and jockey in the 30 days before."""
+    runs = rolling.counts()["runs"]
+    rows = racing.runners(spark, sf_dir)
+    for who in ("trainer", "jockey"):
+        rows = rows.withColumn(f"{who}_runs_30d", rolling.within(runs, [f"{who}_id"], 30))
+    return history.with_history(rows)
 
 
 @query(f"""with {RUNNERS_SQL},
@@ -477,14 +510,28 @@ def settlement_each_way(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _badges() -> Column:
-    rules = [("HIGH_VALUE", F.col("edge") >= 0.05), ("OUTSIDER", F.col("sp_decimal") > 10), ("DRAW_RISK", F.col("draw") > 10), ("UNRATED", F.col("official_rating").isNull())]
+    """The five flags of a runner, in their order; the pressure of the race stands for its risk of collapse."""
+    place = (F.col("draw") - 1) / (F.col("field_size") - 1)
+    rules = [
+        ("HIGH_VALUE", F.col("edge") > 0.05),
+        ("LOW_CONFIDENCE", F.col("confidence") < 0.4),
+        ("HIGH_EVIDENCE", F.col("evidence_density_score") > 0.7),
+        ("PACE_RISK", F.col("collapse_risk") > 0.4),
+        ("DRAW_RISK", (F.col("field_size") >= 8) & ((place <= 0.15) | (place >= 1 - 0.15))),
+    ]
     return F.array_compact(F.array(*[F.when(test, name) for name, test in rules]))
 
 
-@query(f"""with {RUNNERS_SQL}, {_EDGES}
-select runner_id, concat_ws(',', case when edge >= 0.05 then 'HIGH_VALUE' end, case when sp_decimal > 10 then 'OUTSIDER' end, case when draw > 10 then 'DRAW_RISK' end, case when official_rating is null then 'UNRATED' end) as badges from edged""")
+@query(f"""with e as ({{evidence}}), s as ({{shape}}), v as (with {RUNNERS_SQL}, {_EDGES} select runner_id, edge, p_win, draw, field_size, (draw - 1)::double / nullif(field_size - 1, 0) as place from edged)
+select runner_id, concat_ws(',', case when edge > 0.05::double then 'HIGH_VALUE' end, case when round(2 * p_win, 9) < 0.4::double then 'LOW_CONFIDENCE' end, case when evidence_density_score > 0.7::double then 'HIGH_EVIDENCE' end,
+  case when collapse_risk > 0.4::double then 'PACE_RISK' end, case when field_size >= 8 and (place <= 0.15::double or place >= 1 - 0.15::double) then 'DRAW_RISK' end) as badges
+from v join e using (runner_id) join s using (runner_id)""".format(evidence=ORACLE_SQL["evidence_density"], shape=ORACLE_SQL["race_shape"]))
 def badges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _valued(spark, sf_dir).select("runner_id", F.array_join(_badges(), ",").alias("badges"))
+    """Twice the win probability stands for the confidence until a model gives one."""
+    shape = field.race_shape(racing.runners(spark, sf_dir)).select("runner_id", F.round("collapse_risk", 9).alias("collapse_risk"))
+    known = evidence_density(spark, sf_dir).select("runner_id", "evidence_density_score")
+    rows = _valued(spark, sf_dir).withColumn("confidence", F.round(2 * F.col("p_win"), 9)).join(shape, "runner_id").join(known, "runner_id")
+    return rows.select("runner_id", F.array_join(_badges(), ",").alias("badges"))
 
 
 @query(f"with {RUNNERS_SQL}, {_EDGES} select runner_id, edge, p_win from edged where edge is not null order by edge desc, runner_id limit 10")

@@ -67,6 +67,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("l_returnflag") == "N") & (F.col("l_linenumber") == 6)).alias("non_runner"),
         (F.lit(2) + F.col("l_partkey") % 9).cast("int").alias("age"),
         F.when(F.col("l_linenumber") % 4 != 0, F.concat(F.lit("h"), (F.col("l_linenumber") % 4).cast("string"))).alias("headgear"),
+        F.when(F.col("l_linenumber") % 3 != 0, F.concat(F.lit("c"), (F.col("l_linenumber") % 3).cast("string"))).alias("pace_comment"),
         ((F.lit(51.0) - F.col("l_quantity")) / 51.0).alias("model_score"),
         F.count(F.lit(1)).over(race).cast("int").alias("field_size"),
     )
