@@ -517,14 +517,14 @@ def _badges() -> Column:
         ("LOW_CONFIDENCE", F.col("confidence") < 0.4),
         ("HIGH_EVIDENCE", F.col("evidence_density_score") > 0.7),
         ("PACE_RISK", F.col("collapse_risk") > 0.4),
-        ("DRAW_RISK", (F.col("field_size") >= 8) & ((place <= 0.15) | (place >= 1 - 0.15))),
+        ("DRAW_RISK", (F.col("field_size") >= 12) & ((place <= 0.15) | (place >= 1 - 0.15))),
     ]
     return F.array_compact(F.array(*[F.when(test, name) for name, test in rules]))
 
 
 @query(f"""with e as ({{evidence}}), s as ({{shape}}), v as (with {RUNNERS_SQL}, {_EDGES} select runner_id, edge, p_win, draw, field_size, (draw - 1)::double / nullif(field_size - 1, 0) as place from edged)
 select runner_id, concat_ws(',', case when edge > 0.05::double then 'HIGH_VALUE' end, case when round(2 * p_win, 9) < 0.4::double then 'LOW_CONFIDENCE' end, case when evidence_density_score > 0.7::double then 'HIGH_EVIDENCE' end,
-  case when collapse_risk > 0.4::double then 'PACE_RISK' end, case when field_size >= 8 and (place <= 0.15::double or place >= 1 - 0.15::double) then 'DRAW_RISK' end) as badges
+  case when collapse_risk > 0.4::double then 'PACE_RISK' end, case when field_size >= 12 and (place <= 0.15::double or place >= 1 - 0.15::double) then 'DRAW_RISK' end) as badges
 from v join e using (runner_id) join s using (runner_id)""".format(evidence=ORACLE_SQL["evidence_density"], shape=ORACLE_SQL["race_shape"]))
 def badges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twice the win probability stands for the confidence until a model gives one."""
@@ -615,3 +615,6 @@ def class_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = racing.races(spark, sf_dir)
     out = rows.groupBy(F.coalesce(F.col("race_class").cast("string"), F.lit("none")).alias("race_class"), "flat_jumps")
     return tidy(out.agg(F.count(F.lit(1)).alias("races"), F.countDistinct("course").alias("courses"), (100.0 * F.count_if(F.col("going").isNull()) / F.count(F.lit(1))).alias("going_missing_pct"), F.avg("distance_f").alias("mean_distance")))
+
+
+from furlong.plans import betting  # noqa: E402,F401  registers its queries, too
