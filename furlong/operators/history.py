@@ -19,15 +19,15 @@ Run = Callable[[Column], Column]
 _RUN = ["race_ts", "race_id", "course", "distance_f", "going", "race_class", "flat_jumps", "finishing_position", "field_size", "official_rating", "headgear", "trainer_id", "sp_decimal", "pct", "pace_comment"]
 
 
-def with_history(runners: DataFrame) -> DataFrame:
-    """Adds ``past``, the earlier runs of the horse as structs, latest first (ties by race)."""
+def with_history(runners: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``past``, the earlier runs of the horse as structs, latest first (ties by race); ``more`` names further columns of a run."""
     when = F.unix_micros("race_ts")
     nameless = F.when(F.col("horse_id").isNull(), F.col("runner_id"))  # such runs have no history, and aren't one group
     before = Window.partitionBy("horse_id", nameless).orderBy(when).rangeBetween(Window.unboundedPreceding, -1)
     rows = runners.withColumn("pct", finishing_percentile(F.col("finishing_position"), F.col("field_size")))
     if "pace_comment" not in rows.columns:
         rows = rows.withColumn("pace_comment", F.lit(None).cast("string"))
-    past = F.collect_list(F.struct(*_RUN)).over(before)
+    past = F.collect_list(F.struct(*_RUN, *more)).over(before)
     return rows.withColumn("past", F.sort_array(past, asc=False)).withColumn("n", F.size("past").cast("long"))
 
 
@@ -238,7 +238,7 @@ def pace(runners: DataFrame) -> DataFrame:
 EVIDENCE = {"career_starts": 0.30, "recent_starts": 0.15, "course_distance_evidence": 0.15, "sectional_availability": 0.10, "race_comment_availability": 0.05, "rating_history": 0.15, "trainer_jockey_data": 0.10}
 
 
-def evidence(history: DataFrame, trainer_runs: str = "trainer_runs_30d", jockey_runs: str = "jockey_runs_30d", sectional: Run | None = None) -> DataFrame:
+def evidence_columns(trainer_runs: str = "trainer_runs_30d", jockey_runs: str = "jockey_runs_30d", sectional: Run | None = None) -> dict[str, Column]:
     """How much is known of a runner: seven sub-scores and their weighted score, with a label cut at 20, 40, 65 and 85 of the unrounded score.
 
     ``sectional`` tells of a run whether its in-running places are known (all of them unless given).
@@ -257,11 +257,14 @@ def evidence(history: DataFrame, trainer_runs: str = "trainer_runs_30d", jockey_
         "rating_history": share(lambda r: r["official_rating"].isNotNull()),
         "trainer_jockey_data": F.least(enough(trainer_runs), enough(jockey_runs)),
     }
-    out = history.select("runner_id", *[c.alias(k) for k, c in sub.items()])
-    score = sum((F.lit(w) * F.col(k) for k, w in EVIDENCE.items()), F.lit(0.0)) * 100
+    score = sum((F.lit(w) * sub[k] for k, w in EVIDENCE.items()), F.lit(0.0)) * 100
     cut = F.round(score, 9)  # sums of fractions that should be whole are
     label = F.when(cut < 20, "VERY_LOW").when(cut < 40, "LOW").when(cut < 65, "MODERATE").when(cut < 85, "HIGH").otherwise("VERY_HIGH")
-    return out.select("runner_id", F.round(cut, 2).alias("evidence_density_score_100"), F.round(cut / 100, 4).alias("evidence_density_score"), label.alias("evidence_density_label"), *[F.round(k, 4).alias(f"evidence_subscore_{k}") for k in sub])
+    return {"evidence_density_score_100": F.round(cut, 2), "evidence_density_score": F.round(cut / 100, 4), "evidence_density_label": label} | {f"evidence_subscore_{k}": F.round(v, 4) for k, v in sub.items()}
+
+
+def evidence(history: DataFrame) -> DataFrame:
+    return history.select("runner_id", *[c.alias(k) for k, c in evidence_columns().items()])
 
 
 def leakage(history: DataFrame) -> DataFrame:

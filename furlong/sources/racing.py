@@ -83,6 +83,20 @@ def with_positions(runners: DataFrame) -> DataFrame:
     return runners.withColumns({f"position_{k}f": (F.lit(1) + (F.col("draw") * 3 + k) % F.col("field_size")).cast("int") for k in (3, 2, 1)})
 
 
+def with_form(runners: DataFrame) -> DataFrame:
+    """With in-running positions, lengths beaten, finishing speed, the jockey's claim and the projected role (by the draw's quarter of the field)."""
+    from furlong.operators.field import percentile_in_field
+
+    pct, claim = percentile_in_field("draw"), F.col("jockey_id") % 4
+    role = F.when(pct <= 0.25, "LEADER").when(pct <= 0.5, "PRONOUNCED_PACE").when(pct <= 0.75, "MIDDIVISION").otherwise("HOLD_UP")
+    return with_positions(runners).withColumns({
+        "beaten": (F.col("finishing_position") - 1) * F.lit(1.25),
+        "speed": (F.lit(90) + (F.col("draw") * 7 + F.col("horse_id")) % 20).cast("double"),
+        "claim": F.when(claim == 0, 5).when(claim == 1, 3),
+        "role": role,
+    })
+
+
 def odds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price ticks: the event's user is the runner, its type the bookmaker; a day's off is at 18:00, purchases are starting prices."""
     return table(spark, sf_dir, "events").select(
