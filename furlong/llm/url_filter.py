@@ -73,17 +73,20 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     """
     listed = rules.filter("rule is not null and action is not null").groupBy("rule").agg(F.max(F.col("action") == "block").alias("block_it")).select("rule", F.when(F.col("block_it"), "block").otherwise("allow").alias("action"))
     slash = F.instr("rule", "/")
-    shape = listed.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(slash > 0, F.length("rule") - slash + 1).otherwise(0)).alias("lengths")).first()
+    host = F.when(slash > 0, F.substring(F.col("rule"), F.lit(1), slash - 1)).otherwise(F.col("rule"))
+    shape = listed.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(slash > 0, F.length("rule") - slash + 1).otherwise(0)).alias("lengths"), F.coalesce(F.max(F.size(F.split(host, r"\."))), F.lit(0)).alias("labels")).first()
     lengths = sorted(shape["lengths"])  # as many as a path has characters
     blocks = max(1, shape["n"] * BITS_PER_RULE // BLOCK_BITS)
 
     parsed = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # a suffix of more labels than any rule's host has can't be listed, so a host of many dots costs no more than others
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(max(1, shape["labels"])))), lambda i: F.array_join(F.slice(labels, -i, i), "."))
     fitting = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path"))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(fitting, lambda n: F.concat(s, F.substring(F.col("path"), F.lit(1), n)))))
     possible = parsed.select("host", "path").filter("host <> ''").distinct().select("host", "path", F.explode(keys).alias("rule")).withColumn("block", _block(F.col("rule"), blocks))
     hits = possible.join(blocked_bloom(listed, "rule", blocks), "block").filter(may_hold(F.col("rule"))).join(listed, "rule")
     best = hits.groupBy("host", "path").agg(F.min_by(F.struct("rule", "action"), F.struct(-F.length("rule"), F.col("rule"))).alias("best"))
-    judged = parsed.join(best, ["host", "path"], "left")
-    return judged.select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    judged = parsed.filter("host <> ''").join(best, ["host", "path"], "left").select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    # URLs without a host are one key that no rule fits: they stay out of the join
+    return judged.unionByName(parsed.filter("host = ''").select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))
