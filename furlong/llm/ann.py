@@ -164,7 +164,7 @@ def _reranker(k: int):
                     cand = near[r]
                     if m < len(xi):  # ties with the last one kept take part
                         last = rough[r, cand].max()
-                        cand = np.flatnonzero(rough[r] <= last + 1e-9 * (1 + abs(last)))
+                        cand = np.flatnonzero(rough[r] <= last + 1e-9 * (1 + xx.max() + float(matrix[r] @ matrix[r])))  # the product's error goes with the norms
                     i = np.concatenate([best_id.get(q, np.zeros(0, np.int64)), xi[cand]])
                     d = np.concatenate([best_d.get(q, np.zeros(0)), distances(matrix[r], x[cand])])
                     other = i != q
@@ -210,13 +210,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     ``search`` is the share of the filed vectors that a query looks through (over all trees, at least ``LEAST`` sample rows).
     Vectors and queries of null id, or that are null, empty or zero or hold null or
     non-finite components, take no part, nor do those of another length than
-    the first query's.  Repeated ids are one vector, the first in order.  Extra
+    the queries' most usual one (of equally usual ones the least).  Repeated ids are one vector, the first in order.  Extra
     columns are ignored; empty tables give an empty result.
     """
     spark = vectors.sparkSession
     good = lambda df: valid_vectors(df, id_col, vector_col).filter("id is not null").groupBy("id").agg(F.min("v").alias("v"))
     asked = stored(good(queries), "queries")
-    one = asked.orderBy("id").select(F.size("v").alias("d")).first()
+    one = asked.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if one is None:
         return spark.range(0).select(F.col("id").alias("query_id"), F.col("id").cast("int").alias("rank"), F.col("id").alias("vec_id"), F.col("id").cast("double").alias("score"))
     filed = stored(good(vectors).filter(F.size("v") == one["d"]), "vectors")
