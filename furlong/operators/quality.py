@@ -37,6 +37,13 @@ def resolve(names: DataFrame, id_col: str, name_col: str) -> DataFrame:
     return rows.join(found, "normalized").select(id_col, "normalized", "canonical_id", "candidates", status.alias("status"))
 
 
+def aliases(names: DataFrame, held: DataFrame) -> DataFrame:
+    """(entity_type, raw_name, canonical_id, created) once for each spelling: names without a table of their own go by their normalized text; ``created`` tells spellings that aren't held."""
+    known = held.select("entity_type", "raw_name").distinct().withColumn("created", F.lit(False))
+    out = names.filter("raw_name is not null").select("entity_type", "raw_name").distinct().join(known, ["entity_type", "raw_name"], "left")
+    return out.select("entity_type", "raw_name", normalize_name(F.col("raw_name")).alias("canonical_id"), F.coalesce("created", F.lit(True)).alias("created"))
+
+
 def missing_days(races: DataFrame) -> DataFrame:
     """Days between the first and the last race without a race."""
     days = races.select(F.to_date("race_ts").alias("day")).distinct()

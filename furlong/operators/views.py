@@ -116,3 +116,11 @@ def completeness(missing: list[Column]) -> Column:
     """100 less the mean of the missing shares that are known."""
     known = F.filter(F.array(*missing), lambda x: x.isNotNull())
     return 100 - F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), F.size(known))
+
+
+def horse_pages(runners: DataFrame, latest: int = 5) -> DataFrame:
+    """A row per horse: runs, wins, places, courses, first and last day, and its latest runs as race:position, newest first."""
+    newest = Window.partitionBy("horse_id").orderBy(F.desc("race_ts"), F.desc("race_id"), F.desc("runner_id"))
+    last = runners.withColumn("n", F.row_number().over(newest)).filter(F.col("n") <= latest).groupBy("horse_id").agg(F.array_sort(F.collect_list(F.struct("n", F.concat_ws(":", "race_id", F.coalesce(F.col("finishing_position").cast("string"), F.lit("-"))).alias("run")))).alias("last"))
+    record = runners.groupBy("horse_id").agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("finishing_position") == 1).alias("wins"), F.count_if(F.col("finishing_position") <= 3).alias("places"), F.countDistinct("course").alias("courses"), F.min("race_ts").alias("first_day"), F.max("race_ts").alias("last_day"))
+    return record.join(last, record["horse_id"].eqNullSafe(last["horse_id"])).select(record["*"], F.array_join(F.transform("last", lambda x: x["run"]), " ").alias("latest"))

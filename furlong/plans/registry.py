@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from furlong.functions.scalars import is_placed, place_odds, rounded, settle_each_way, settle_win
-from furlong.operators import asof, evaluation, field, history, quality, rolling
+from furlong.operators import asof, evaluation, field, history, models, quality, rolling
+from furlong.operators.quantiles import quantile_values
 from furlong.sources import racing
 from furlong.streaming.odds import windowed_prices
 
@@ -562,17 +563,15 @@ _NUMERIC = ["official_rating", "sp_decimal", "weight_lbs"]
 def ood_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of a runner's numbers outside the 5 to 95 percent band of all runners."""
     rows = racing.runners(spark, sf_dir)
-    bands = rows.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(0.05), F.lit(0.95))).alias(c) for c in _NUMERIC]).first()  # one row
-    outside = sum((F.coalesce(((F.col(c) < bands[c][0]) | (F.col(c) > bands[c][1])).cast("int"), F.lit(0)) for c in _NUMERIC), F.lit(0))
-    return tidy(rows.select("runner_id", (outside / F.lit(float(len(_NUMERIC)))).alias("extreme_fraction")))
+    return tidy(rows.select("runner_id", models.extreme_fraction(_NUMERIC, models.training_bands(rows, _NUMERIC)).alias("extreme_fraction")))
 
 
 @query(f"with {RUNNERS_SQL}, m as (select " + ", ".join(f"median({c}::double) as {c}_m" for c in _NUMERIC) + " from runners) select runner_id, " + ", ".join(f"round(coalesce({c}, {c}_m)::double, 9) as {c}, ({c} is null)::bigint as {c}__isnan" for c in _NUMERIC) + " from runners, m")
 def impute_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact medians for missing numbers, and indicators of where they were missing."""
     rows = racing.runners(spark, sf_dir)
-    middle = rows.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in _NUMERIC]).first()  # one row
-    return tidy(rows.select("runner_id", *[x for c in _NUMERIC for x in (F.coalesce(F.col(c).cast("double"), F.lit(middle[c])).alias(c), F.col(c).isNull().cast("int").alias(f"{c}__isnan"))]))
+    middle = quantile_values(rows, _NUMERIC, [0.5])
+    return tidy(rows.select("runner_id", *[x for c in _NUMERIC for x in (F.coalesce(F.col(c).cast("double"), F.lit(middle.get((c, 0.5)))).alias(c), F.col(c).isNull().cast("int").alias(f"{c}__isnan"))]))
 
 
 def _part(x: str, test: str) -> str:
@@ -617,4 +616,4 @@ def class_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(out.agg(F.count(F.lit(1)).alias("races"), F.countDistinct("course").alias("courses"), (100.0 * F.count_if(F.col("going").isNull()) / F.count(F.lit(1))).alias("going_missing_pct"), F.avg("distance_f").alias("mean_distance")))
 
 
-from furlong.plans import betting, imports, modelling, training, views  # noqa: E402,F401  register their queries, too
+from furlong.plans import betting, imports, modelling, sources, training, views  # noqa: E402,F401  register their queries, too
