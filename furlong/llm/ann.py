@@ -29,9 +29,8 @@ from furlong.llm.hnsw import valid_vectors
 
 SAMPLE_ROWS = 65_536
 TREES = 6
-LEAF = 256
-SEARCH = 1.2
-LEAST = 12_000
+LEAVES, LEAST_LEAF = 256, 16
+SEARCH = 1.5
 LEAF_ROWS = 4096
 
 
@@ -57,7 +56,7 @@ class Tree:
             at[i] = np.where(side, self.right[at[i]], self.left[at[i]])
 
 
-def plant(sample: np.ndarray, rng: np.random.Generator, leaf: int = LEAF) -> Tree:
+def plant(sample: np.ndarray, rng: np.random.Generator, leaf: int) -> Tree:
     """A tree of median splits along the difference of two random points."""
     normals, offsets, left, right, size = [], [], [], [], []
 
@@ -93,10 +92,14 @@ def plant(sample: np.ndarray, rng: np.random.Generator, leaf: int = LEAF) -> Tre
 
 
 class Forest:
-    """Trees whose leaves are numbered through all of them."""
+    """Trees of about ``leaves`` leaves each, of no fewer than ``LEAST_LEAF`` sample rows, numbered through all trees.
 
-    def __init__(self, sample: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 5):
+    So trees of a small table part it as finely as those of a large one, and a share of the vectors means the same for both.
+    """
+
+    def __init__(self, sample: np.ndarray, trees: int = TREES, leaves: int = LEAVES, seed: int = 5):
         rng = np.random.default_rng(seed)
+        leaf = max(LEAST_LEAF, -(-len(sample) // leaves))
         self.trees = [plant(sample, rng, leaf) for _ in range(trees)]
         self.base = np.cumsum([0] + [len(t.left) for t in self.trees])
         self.rows = len(sample)
@@ -207,7 +210,7 @@ def _reranker(k: int):
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", search: float = SEARCH) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): the k nearest vectors found for each query, the query's own id left out; ties to the smaller id.
 
-    ``search`` is the share of the filed vectors that a query looks through (over all trees, at least ``LEAST`` sample rows).
+    ``search`` is the share of the filed vectors that a query looks through, counted over all trees; a table of any size is searched alike.
     Vectors and queries of null id, or that are null, empty or zero or hold null or
     non-finite components, take no part, nor do those of another length than
     the queries' most usual one (of equally usual ones the least).  Repeated ids are one vector, the first in order.  Extra
@@ -224,7 +227,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     rows = filed.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toPandas()
     sample = np.stack(rows["v"].to_numpy()) if len(rows) else np.zeros((0, one["d"]))
     shared = spark.sparkContext.broadcast(Forest(sample))
-    want = max(LEAST, search * len(sample)) * 1.0
+    want = search * len(sample)
 
     leaves = stored(filed.mapInArrow(_filer(shared, None), "id long, v array<double>, leaves array<int>"), "filed")
     seeks = stored(asked.mapInArrow(_filer(shared, want), "id long, v array<double>, leaves array<int>"), "seeks")

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from furlong.llm import ann, hnsw
 from furlong.llm.near_copies import one_of_each_class
@@ -188,7 +189,7 @@ def test_nearest_equal_brute_force(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, v) for i, v in enumerate(BAD)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {}
-    for r in ann.nearest(df, df.filter("vec_id % 50 = 0"), k=10).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(df, df.filter("vec_id % 50 = 0"), k=10, search=ann.TREES).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     for q in range(0, 400, 50):
         d = np.sqrt(((x[q] - x) ** 2).sum(1))
@@ -211,3 +212,28 @@ def test_forest_recall():
         true = np.argsort(((x[q] - x) ** 2).sum(1))[1:11]
         hit += found[true].sum()
     assert hit / 600 >= 0.9
+
+
+def clusters(rng, n, d):
+    """A third of the vectors in one tight cluster, the others in forty."""
+    at = np.where(rng.random(n) < 1 / 3, 0, rng.integers(1, 41, n))
+    return rng.standard_normal((41, d))[at] * 3 + rng.standard_normal((n, d)) * np.where(at == 0, 0.05, 1.0)[:, None]
+
+
+@pytest.mark.parametrize("kind", ["even", "clustered"])
+def test_recall_of_the_whole_search(spark, kind, monkeypatch):
+    """By the search's own share, with leaves that are split over several tasks."""
+    monkeypatch.setattr(ann, "LEAF_ROWS", 100)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((6000, 64)) if kind == "even" else clusters(rng, 6000, 64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, df.filter("vec_id % 100 = 0"), k=10).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    hit = 0
+    for q in range(0, 6000, 100):
+        d = ((x[q] - x) ** 2).sum(1)
+        d[q] = np.inf
+        assert sorted(got[q]) == list(range(1, 11))
+        hit += len(set(got[q].values()) & set(np.argsort(d)[:10].tolist()))
+    assert hit >= 0.9 * 600
