@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm import ann, bpe, hnsw, langid, lm_scoring, packing, pii, toxicity, url_filter
+from furlong.llm import ann, bpe, conversation, hnsw, langid, lm_scoring, packing, pii, quality, spelling, toxicity, url_filter
 from furlong.llm.ngram_join import near_duplicate_classes
 
 
@@ -100,6 +100,28 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    key = F.concat_ws(":", *(F.coalesce(F.col(x).cast("string"), F.lit(" ")) for x in ("conv_id", "turn")))
+    turns = conversation.damaged(rows, F.crc32(key.cast("binary")) % 20)
+    return conversation.repaired_digests(turns, conversation.audits(turns, rows))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.vocabulary(table(spark, sf_dir, "documents"), spelling.misspelt()))
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.QualityModel:
+    """Learned from the labelled documents outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 5) != 0)
+    return quality.fit(table(spark, sf_dir, "documents"), labels)
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "bad_lines")
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_url_filter": op2_url_filter,
@@ -111,6 +133,9 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_language_id": op9_language_id,
     "op10_bpe": op10_bpe,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL}
