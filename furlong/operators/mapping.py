@@ -9,41 +9,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # For each role the column names that mean it, the parts of names that suggest it, and abbreviations that may stand for it.
-_ROLES = """
-race_id: race_id raceid event_id / race_id / rid
-race_date: race_date date meeting_date / race_date off_date /
-race_time: race_time off_time / race_time off_time / off
-course: course track venue / course track venue /
-country: country region / country /
-race_name: race_name / race_name /
-race_type: race_type type / race_type /
-race_class: race_class class / race_class / rclass
-distance: distance distance_f distance_furlongs distance_yards distance_m / distance dist_ / dist
-going: going ground / going /
-flat_jumps: flat_jumps discipline code / flat_jumps /
-field_size: field_size number_of_runners num_runners / field_size num_runners / nr
-horse_name: horse_name horse runner_name runner / horse /
-horse_id: horse_id horseid / horse_id /
-draw: draw stall_number / draw / stall
-weight: weight weight_lbs / weight / lbs wgt
-age: age / age /
-sex: sex gender / sex /
-official_rating: official_rating rating / official_rating rating / or ofr
-jockey: jockey jockey_name / jockey /
-trainer: trainer trainer_name / trainer /
-sire: sire sire_name / sire /
-dam: dam dam_name / dam /
-damsire: damsire / damsire /
-headgear: headgear equipment / headgear / hg
-finishing_position: finishing_position finish_position position / finish_pos finishing_position / pos place
-beaten_distance: beaten_distance distance_beaten / beaten_distance beaten / btn
-starting_price: starting_price starting_price_decimal sp_decimal / starting_price / sp odds price
-bsp: bsp betfair_sp / bsp /
-comment: comment comments / comment / note
-sectional: sectional sectionals sectional_times / sectional / split
-non_runner: non_runner withdrawn / non_runner / nr_flag
-"""
-ROLES: dict[str, list[list[str]]] = {name: [part.split() for part in rest.split("/")] for name, rest in (line.split(":") for line in _ROLES.strip().splitlines())}
+# fmt: off
+ROLES: dict[str, tuple[list[str], list[str], list[str]]] = {
+    "race_id": (["race_id", "raceid", "event_id"], ["race_id"], ["rid"]),
+    "race_date": (["race_date", "date", "meeting_date"], ["race_date", "off_date"], []),
+    "race_time": (["race_time", "off_time"], ["race_time", "off_time"], ["off"]),
+    "course": (["course", "track", "venue"], ["course", "track", "venue"], []),
+    "country": (["country", "region"], ["country"], []),
+    "race_name": (["race_name"], ["race_name"], []),
+    "race_type": (["race_type", "type"], ["race_type"], []),
+    "race_class": (["race_class", "class"], ["race_class"], ["rclass"]),
+    "distance": (["distance", "distance_f", "distance_furlongs", "distance_yards", "distance_m"], ["distance", "dist_"], ["dist"]),
+    "going": (["going", "ground"], ["going"], []),
+    "flat_jumps": (["flat_jumps", "discipline", "code"], ["flat_jumps"], []),
+    "field_size": (["field_size", "number_of_runners", "num_runners"], ["field_size", "num_runners"], ["nr"]),
+    "horse_name": (["horse_name", "horse", "runner_name", "runner"], ["horse"], []),
+    "horse_id": (["horse_id", "horseid"], ["horse_id"], []),
+    "draw": (["draw", "stall_number"], ["draw"], ["stall"]),
+    "weight": (["weight", "weight_lbs"], ["weight"], ["lbs", "wgt"]),
+    "age": (["age"], ["age"], []),
+    "sex": (["sex", "gender"], ["sex"], []),
+    "official_rating": (["official_rating", "rating"], ["official_rating", "rating"], ["or", "ofr"]),
+    "jockey": (["jockey", "jockey_name"], ["jockey"], []),
+    "trainer": (["trainer", "trainer_name"], ["trainer"], []),
+    "sire": (["sire", "sire_name"], ["sire"], []),
+    "dam": (["dam", "dam_name"], ["dam"], []),
+    "damsire": (["damsire"], ["damsire"], []),
+    "headgear": (["headgear", "equipment"], ["headgear"], ["hg"]),
+    "finishing_position": (["finishing_position", "finish_position", "position"], ["finish_pos", "finishing_position"], ["pos", "place"]),
+    "beaten_distance": (["beaten_distance", "distance_beaten"], ["beaten_distance", "beaten"], ["btn"]),
+    "starting_price": (["starting_price", "starting_price_decimal", "sp_decimal"], ["starting_price"], ["sp", "odds", "price"]),
+    "bsp": (["bsp", "betfair_sp"], ["bsp"], []),
+    "comment": (["comment", "comments"], ["comment"], ["note"]),
+    "sectional": (["sectional", "sectionals", "sectional_times"], ["sectional"], ["split"]),
+    "non_runner": (["non_runner", "withdrawn"], ["non_runner"], ["nr_flag"]),
+}
+# fmt: on
 DATE_COLUMNS = ["race_date", "date", "off_date", "meeting_date", "event_dt"]
 OF_RACES, OF_RUNNERS = {"course", "race_date", "race_name"}, {"horse_name", "jockey", "trainer", "finishing_position"}
 REQUIRED = ["race_date", "course", "horse_name"]

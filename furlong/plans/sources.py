@@ -1,11 +1,11 @@
-"""Queries of unknown tables, simulated races, names and typed cells."""
+"""Queries of unknown tables, names and typed cells."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.operators import cells, mapping, quality, simulate, views
+from furlong.operators import cells, mapping, quality, views
 from furlong.plans.imports import _RAW_SQL, _raw_card
 from furlong.plans.registry import RUNNERS_SQL, query, tidy
 from furlong.sources import racing
@@ -40,71 +40,6 @@ def mapped_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.mapped(rows.filter("racecourse is not null"), agreed).select("race_id", "race_date", "horse_name", "course", "weight")
 
 
-def _u(salt: str, key: str) -> str:
-    return f"((('0x' || substr(md5('{salt}|' || {key}), 1, 13))::bigint::double + 0.5::double) / 4503599627370496.0::double)"
-
-
-def _z(salt: str, key: str) -> str:
-    return f"(sqrt(-2 * ln({_u(salt + '.r', key)})) * cos(2 * pi() * {_u(salt + '.a', key)}))"
-
-
-_STYLES = ["LEADER", "PRONOUNCED_PACE", "MIDDIVISION", "HOLD_UP"]
-_BASE_SQL = "case horse_id % 4 when 0 then 0.08::double when 1 then 0.3::double when 2 then 0.55::double else 0.85::double end"
-
-
-def _styled(df: DataFrame) -> DataFrame:
-    return df.withColumn("style", F.element_at(F.array(*[F.lit(s) for s in _STYLES]), (F.col("horse_id") % 4 + 1).cast("int")))
-
-
-def _band_sql(i: int) -> str:
-    flat, jumps = [[100, 90, 80, 70, 60, 50, 40], [140, 108, 97, 87, 77, 67, 57]][i], [[140, 125, 110, 95, 80, 65], [170, 146, 131, 116, 101, 91]][i]
-    return f"case when flat_jumps = 'FLAT' then coalesce({flat}[race_class], {flat[-1]}) else coalesce({jumps}[race_class], {jumps[-1]}) end::bigint"
-
-
-_JITTER = lambda k: f"floor({_u(f'position{k}', 'runner_id')} * 3) - 1"
-
-
-@query(f"""with {RUNNERS_SQL},
-s as (select *, coalesce(official_rating, 60)::double / 12 as strength, {_BASE_SQL} as base from runners),
-o as (select *, row_number() over (partition by race_id order by strength - ln(-ln({_u("finish", "runner_id")})) desc, runner_id) as pos from s),
-g as (select *, first_value(strength) over (partition by race_id order by pos) - strength as gap from o),
-l as (select *, case when pos = 1 then 0.0::double else greatest(greatest(gap, 0.01::double) * 6 + 0.4::double * {_z("finish.lengths", "runner_id")}, 0.1::double) end as step from g),
-a as (select *, sum(step) over (partition by race_id order by pos rows unbounded preceding) as behind, least(greatest(greatest(1, round_even(base * field_size, 0)) + {_JITTER(3)}, 1), field_size)::bigint as p3 from l),
-b as (select *, least(greatest(round_even((p3 + pos)::double / 2, 0) + {_JITTER(2)}, 1), field_size)::bigint as p2 from a),
-c as (select *, least(greatest(round_even((p2 + pos)::double / 2, 0) + {_JITTER(1)}, 1), field_size)::bigint as p1 from b)
-select runner_id, pos::bigint as position, round(behind, 2) as lengths, p3 as position_3f, p2 as position_2f, p1 as position_1f,
-  round(100 + (case horse_id % 4 when 0 then -2.0::double when 1 then -0.5::double when 2 then 0.5::double else 2.0::double end) - (pos - 1) * 0.35::double + 1.5::double * {_z("speed", "runner_id")}, 2) as finishing_speed,
-  case when p3::double / field_size <= 0.2::double then case when p1 <= p3 then 'Led' else 'Prominent, faded' end when p3::double / field_size <= 0.45::double then 'Prominent' when p1 < p3 - 1 then 'Held up, strong late progress' else 'Held up' end as pace_label,
-  {_band_sql(0)} as band_low, {_band_sql(1)} as band_high from c""")
-def simulated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every race run again by chance: order, lengths, in-running positions, finishing speed, and the class's rating band."""
-    rows = _styled(racing.runners(spark, sf_dir)).withColumn("strength", F.coalesce(F.col("official_rating"), F.lit(60)).cast("double") / 12)
-    out = simulate.running_positions(simulate.finishing_order(rows, "strength"))
-    low, high = simulate.rating_band(F.col("flat_jumps"), F.col("race_class"))
-    return tidy(out.select("runner_id", "position", "lengths", "position_3f", "position_2f", "position_1f", "finishing_speed", "pace_label", low.alias("band_low"), high.alias("band_high")))
-
-
-_PROFILE_SQL = {
-    "usual_early_position": ("base", 0.06, 0.02, 0.98), "breaks_quickly_rate": ("1 - base", 0.1, 0, 1), "slow_start_rate": ("base * 0.4::double", 0.05, 0, 1), "energy_index": ("1 - base", 0.1, 0, 1),
-    "transition_gain": ("(base - 0.3::double) * 0.6::double", 0.1, -1, 1), "transition_gain_2": ("(base - 0.3::double) * 0.4::double", 0.1, -1, 1), "accel_index": ("0.5::double + (base - 0.5::double) * 0.3::double", 0.1, 0, 1),
-    "finishing_speed_index": ("base * 0.7::double", 0.1, 0, 1), "final_furlong_change": ("(base - 0.4::double) * 0.5::double", 0.1, -1, 1), "weakens_late_rate": ("(1 - base) * 0.35::double", 0.05, 0, 1), "stays_on_rate": ("base * 0.55::double", 0.08, 0, 1),
-}
-_EVEN_SQL = {"competition_for_lead": (0.2, 0.6), "pace_pressure": (0.2, 0.6), "pace_collapse_prob": (0.1, 0.4)}
-
-
-@query(
-    f"with {RUNNERS_SQL}, h as (select distinct horse_id, {_BASE_SQL} as base from runners) select horse_id, "
-    + ", ".join(f"round(least(greatest({mean} + {dev}::double * {_z(n, 'horse_id')}, {a}::double), {b}::double), 9) as {n}" for n, (mean, dev, a, b) in _PROFILE_SQL.items())
-    + ", "
-    + ", ".join(f"round({a}::double + {w}::double * {_u(n, 'horse_id')}, 9) as {n}" for n, (a, w) in _EVEN_SQL.items())
-    + " from h"
-)
-def simulated_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fourteen pace figures for each horse by its style."""
-    horses = _styled(racing.entries(spark, sf_dir).select("horse_id").distinct())
-    return tidy(simulate.pace_profiles(horses).drop("style"))
-
-
 _NAMES_SQL = """n as (select 'JOCKEY' as entity_type, case when c_custkey % 3 = 0 then upper(c_name) || '.' else c_name end as raw_name, c_custkey % 2 = 0 as held from customer
   union all select 'TRAINER', case when s_suppkey % 3 = 0 then '  ' || s_name else s_name end, s_suppkey % 2 = 0 from supplier union all select 'COURSE', n_name, false from nation union all select 'COURSE', lower(n_name), true from nation)"""
 

@@ -1,4 +1,4 @@
-"""Quantiles, mappings, simulated races, typed cells and streamed names on small rows."""
+"""Quantiles, mappings, typed cells and streamed names on small rows."""
 
 import json
 import math
@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from furlong.operators import cells, mapping, simulate
+from furlong.operators import cells, mapping
 from furlong.operators.quantiles import quantile_values, quantiles
 from furlong.sources import files
 from furlong.streaming.names import named_prices
@@ -50,14 +50,6 @@ def test_mappings_are_checked(spark):
     assert got["racecourse"] == (2, 50.0, ["York"], "course") and got["a.b"][2:] == (["1.5"], None)
 
 
-def test_simulated_winners_follow_softmax(spark):
-    rows = spark.range(20_000).select((F.col("id") / 2).cast("long").alias("race_id"), F.col("id").alias("runner_id"), F.when(F.col("id") % 2 == 0, 1.0).otherwise(0.0).alias("s"), F.lit(2).alias("field_size"), F.lit("LEADER").alias("style"))
-    out = simulate.running_positions(simulate.finishing_order(rows, "s")).cache()
-    won = out.filter("position = 1").agg(F.avg("s")).first()[0]
-    assert abs(won - 1 / (1 + math.exp(-1))) < 0.02
-    assert out.filter("position = 1 and lengths <> 0 or position = 2 and lengths < 0.1 or position_1f not between 1 and 2").count() == 0
-
-
 def test_cells_of_another_type_are_refused(spark):
     rows = spark.createDataFrame([("a", "NUMERIC", "2"), ("a", "TEXT", "2"), ("b", "BOOLEAN", "maybe"), ("b", "BOOLEAN", None), (None, "TEXT", "x"), ("c", "CATEGORY", "x")], "key string, kind string, text string")
     got = cells.typed_cells(rows, {"a": "NUMERIC", "b": "BOOLEAN", "c": "CATEGORY"}).withColumn("value", cells.read_cell()).collect()
