@@ -428,7 +428,8 @@ def global_runs(races: DataFrame, runners: DataFrame, results: DataFrame) -> Dat
 class RacingData:
     """The tables of a racing database, each read from SQLite once, when it is first asked for, and from Parquet in ``folder`` after that.
 
-    A folder that another session has filled is used as it is; ``refresh`` forgets a table.
+    ``database`` may be a folder that has a folder of databases for each table. A folder that another session has filled is used as it is;
+    ``refresh`` forgets a table.
     """
 
     spark: SparkSession
@@ -441,11 +442,16 @@ class RacingData:
         if name not in self._held:
             path = f"{self.folder}/{name}"
             if not Files(self.spark, self.folder).exists(f"{name}/_SUCCESS"):
-                whole = global_runs(self.table("races"), self.table("runners"), self.table("results")) if name == "global_runs" else scan(self.spark, self.database, TABLES[name], partitions=self.partitions)
+                whole = global_runs(self.table("races"), self.table("runners"), self.table("results")) if name == "global_runs" else scan(self.spark, self._place(name), TABLES[name], partitions=self.partitions)
                 whole.write.mode("overwrite").parquet(path)
             self._held[name] = self.spark.read.parquet(path)
         return self._held[name]
 
+    def _place(self, name: str) -> str:
+        """The database, or the folder of a table of its own as ``save`` writes it."""
+        own = f"{self.database}/{TABLES[name]}"
+        return own if os.path.isdir(local_path(own)) else self.database
+
     def refresh(self, name: str) -> None:
         self._held.pop(name, None)
         Files(self.spark, self.folder).delete(name)
