@@ -1,11 +1,11 @@
-"""Queries over tables that are written first: databases, merged results, provenance logs, joined tables of a dataset."""
+"""Queries over tables that are written first (databases, merged results, provenance logs) and of joined, filled and aligned ones."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from furlong.operators import merge, provenance, results, wide_rows
+from furlong.operators import frames, provenance, results, sectionals, wide_rows
 from furlong.plans.registry import RACES_SQL, RUNNERS_SQL, query, tidy
 from furlong.sources import racing, sqlite
 from furlong.sources.shared import fresh_path
@@ -136,3 +136,48 @@ def joined_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     right = rows.filter("race_id % 11 <> 0 or race_id % 121 = 0").select("runner_id", F.col("jockey_id").alias("code"), F.concat(F.lit("E"), "race_id").alias("event_ref"), F.col("horse_id").alias("horse"), F.col("trainer_id").alias("trainer"))
     out = wide_rows.wide_rows({"meetings": left, "entries": right})
     return out.select("event_ref", "runner_id", "horse", "course", "race_class", F.col("code_race").alias("code_race"), "code_runner")
+
+
+_POINTS_SQL = f"""{RUNNERS_SQL}, p as (select runner_id, s.range as seg, 1 + s.range % 2 as d, 12.0::double + ((runner_id + s.range * 3) % 10)::double / 4 as t, c.range as copy from runners, range(7) s, range(2) c
+  where (runner_id * 7 + s.range * 3) % 5 <> 0 and (c.range = 0 or runner_id % 11 = 0)),
+q as (select runner_id, seg, d, case when copy = 1 then t + 1 else t end as t, case when runner_id % 2 = 0 then 20.0::double * (seg + 1) end as clock, copy from p),
+one as (select * from q qualify row_number() over (partition by runner_id, seg order by copy desc) = 1),
+n as (select *, lead(seg) over w as nseg, lead(t) over w as nt, lead(d) over w as nd, lead(clock) over w as nclock from one window w as (partition by runner_id order by seg)),
+g as (select runner_id, i.range as seg, d, case when nclock - nt - clock > 0 then (nclock - nt - clock) / (nseg - seg - 1) else (t / d + (i.range - seg)::double / (nseg - seg) * (nt / nd - t / d)) * d end as t from n, range(7) i where i.range > seg and i.range < nseg)"""
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to seven segments of each runner, some missing, some said twice, a clock for every other runner."""
+    r, s = F.col("runner_id"), F.col("segment_index")
+    rows = racing.runners(spark, sf_dir).select("runner_id", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("segment_index")).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(1))))
+    rows = rows.filter(((r * 7 + s * 3) % 5 != 0) & ((F.col("copy") == 0) | (r % 11 == 0)))
+    seconds = F.lit(12.0) + ((r + s * 3) % 10).cast("double") / 4
+    return rows.select("runner_id", "segment_index", (1 + s % 2).cast("double").alias("distance_f"), F.when(F.col("copy") == 1, seconds + 1).otherwise(seconds).alias("seconds"), F.lit(None).cast("double").alias("speed_mps"), F.lit(None).cast("int").alias("position_in_race"),
+                       F.when(r % 2 == 0, F.lit(20.0) * (s + 1)).alias("clock"), F.concat(F.lit("gps"), "copy").alias("source"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("copy")).alias("recorded_at"))
+
+
+@query(f"with {_POINTS_SQL} select runner_id, seg as segment_index, d::double as distance_f, round(t, 9) as seconds, false as filled from one union all select runner_id, seg, d::double, round(t, 9), true from g")
+def filled_sectionals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each runner's segments without gaps: the latest point of each, missing ones from the race's clock or their neighbours' pace."""
+    return tidy(sectionals.whole_sequences(_points(spark, sf_dir)))
+
+
+@query(f"""with {_POINTS_SQL}, w as (select runner_id, seg, d, t, false as f from one union all select runner_id, seg, d, t, true from g),
+a as (select runner_id, count(*) as segments, count(*) filter (f) as filled, sum(t) as seconds, sum(d)::double as d, arg_max(t, seg) as lt, arg_max(d, seg) as ld from w group by 1)
+select runner_id, segments, filled, round(seconds, 9) as seconds, round(d * 201.168::double / seconds, 9) as mean_mps, round(100 * (ld * 201.168::double / lt) / (d * 201.168::double / seconds), 9) as finishing_speed_pct from a""")
+def sectional_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each runner's total time, mean speed and finishing speed over its filled segments."""
+    return tidy(sectionals.summaries(sectionals.whole_sequences(_points(spark, sf_dir))))
+
+
+@query("""with l as (select event_id as place, user_id % 400 as horse, event_type from events), o as (select user_id % 400 as horse, arg_min(round(1 + value, 6), event_id) as odds from events where event_type = 'click' group by 1),
+r as (select c_custkey as horse, case when c_custkey % 3 = 0 then c_nationkey end as position, case when c_custkey % 5 = 0 then c_acctbal end as sp from customer where c_custkey < 300)
+select place, l.horse as horse, odds, odds is not null as has_odds, position::bigint as position, round(sp, 6) as sp, position is not null or sp is not null as has_results, row_number() over (partition by l.horse order by place) = 1 as first from l left join o on o.horse = l.horse left join r on r.horse = l.horse""")
+def aligned_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in their order, repeats among them, with odds and results by key beside them and the first of each key marked."""
+    e, c = racing.table(spark, sf_dir, "events").withColumn("horse", F.col("user_id") % 400), F.col("c_custkey")
+    left = e.select(F.col("event_id").alias("place"), "horse")
+    odds = e.filter("event_type = 'click'").select("horse", F.col("event_id").alias("place"), F.round(1 + F.col("value"), 6).alias("odds"))
+    results_of = racing.table(spark, sf_dir, "customer").filter("c_custkey < 300").select(c.alias("horse"), c.alias("place"), F.when(c % 3 == 0, F.col("c_nationkey")).alias("position"), F.when(c % 5 == 0, F.round("c_acctbal", 6)).alias("sp"))
+    out = frames.aligned(left, "horse", {"odds": (odds, ["odds"]), "results": (results_of, ["position", "sp"])})
+    return tidy(frames.marked_first(out, "horse"))

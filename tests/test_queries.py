@@ -34,7 +34,7 @@ def rows(df):
 
 
 #: Learned models have no SQL; test_models.py holds them against brute force.
-LEARNED = {"win_models", "place_model_bands"}
+LEARNED = {"win_models", "place_model_bands", "served_predictions"}
 
 
 def test_every_query_has_sql_but_learned_models():
