@@ -19,16 +19,22 @@ Run = Callable[[Column], Column]
 _RUN = ["race_ts", "race_id", "course", "distance_f", "going", "race_class", "flat_jumps", "finishing_position", "field_size", "official_rating", "headgear", "trainer_id", "sp_decimal", "pct", "pace_comment"]
 
 
-def with_history(runners: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``past``, the earlier runs of the horse as structs, latest first (ties by race); ``more`` names further columns of a run."""
+def with_history(runners: DataFrame, more: tuple[str, ...] = (), only: list[str] | None = None) -> DataFrame:
+    """Adds ``past``, the earlier runs of the horse as structs, latest first (ties by race), and ``n``, how many there are.
+
+    ``more`` names further columns of a run; ``only`` names all that are needed, and nothing else is carried along. Runs come in no order if
+    their time isn't among them.
+    """
     when = F.unix_micros("race_ts")
     nameless = F.when(F.col("horse_id").isNull(), F.col("runner_id"))  # such runs have no history, and aren't one group
     before = Window.partitionBy("horse_id", nameless).orderBy(when).rangeBetween(Window.unboundedPreceding, -1)
     rows = runners.withColumn("pct", finishing_percentile(F.col("finishing_position"), F.col("field_size")))
     if "pace_comment" not in rows.columns:
         rows = rows.withColumn("pace_comment", F.lit(None).cast("string"))
-    past = F.collect_list(F.struct(*_RUN, *more)).over(before)
-    return rows.withColumn("past", F.sort_array(past, asc=False)).withColumn("n", F.size("past").cast("long"))
+    in_order = only is None or "race_ts" in only
+    fields = list(dict.fromkeys((_RUN if only is None else ["race_ts", "race_id"] * in_order + only) + list(more)))
+    past = F.collect_list(F.struct(*fields)).over(before)
+    return rows.withColumn("past", F.sort_array(past, asc=False) if in_order else past).withColumn("n", F.size("past").cast("long"))
 
 
 def latest(k: int) -> Column:
@@ -100,6 +106,89 @@ def course_distance_going(history: DataFrame) -> DataFrame:
     )
 
 
+LATEST_RUNS = 10
+#: Runs whose weights are added up on one scale; a double holds 2**(CHUNK / 3) with room to spare.
+CHUNK = 1500
+THIRD = 1 / 3
+
+
+def latest_runs(runners: DataFrame, k: int = LATEST_RUNS) -> DataFrame:
+    """runner_id, n (how many earlier runs the horse has), position_1 to position_k and pct_1 to pct_k (of its latest runs, latest first), weighted (the mean of
+    its pct, each weighing half of that three runs later).
+
+    All are running totals and offsets, so nothing grows with the length of a career. Weights are powers of two by a run's place in the
+    career, counted from the start of its stretch of ``CHUNK`` runs, and of another that begins half a stretch earlier: of the two the one that
+    reaches further back counts, and what it leaves out weighs less than a double can tell, unless half a stretch has no pct at all; then the
+    mean stays what it was. Runs of one time don't see each other: what the first of them sees holds for all.
+    """
+    nameless = F.when(F.col("horse_id").isNull(), F.col("runner_id")).alias("__apart")
+    pct = finishing_percentile(F.col("finishing_position"), F.col("field_size")).alias("pct")
+    rows = runners.select("runner_id", "horse_id", nameless, F.unix_micros("race_ts").alias("__at"), "race_id", "finishing_position", pct)
+    order = ["__at", "race_id", "runner_id"]
+    horse = Window.partitionBy("horse_id", "__apart").orderBy(*order)
+    rows = rows.withColumn("__n", (F.row_number().over(horse) - 1).cast("long"))
+    ratios = []
+    for shift in (0, CHUNK // 2):
+        at = F.col("__n") + shift
+        weight = F.when(F.col("pct").isNotNull(), F.pow(F.lit(2.0), (at % CHUNK) * F.lit(THIRD)))
+        stretch = Window.partitionBy("horse_id", "__apart", F.floor(at / CHUNK)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumns({f"__up{shift}": F.sum(weight * F.col("pct")).over(stretch), f"__down{shift}": F.sum(weight).over(stretch)})
+        ratios.append((at % CHUNK, F.try_divide(F.col(f"__up{shift}"), F.col(f"__down{shift}"))))
+    (into, first), (into_other, other) = ratios
+    rows = rows.withColumn("__own", F.when((F.col("__n") < CHUNK) | (into >= into_other), first).otherwise(other))
+    rows = rows.withColumn("__weighted", F.coalesce("__own", F.last("__own", ignorenulls=True).over(horse.rowsBetween(Window.unboundedPreceding, -1))))
+    rows = rows.withColumns({f"__{c}_{i}": F.lag(v, i).over(horse) for c, v in (("position", "finishing_position"), ("pct", "pct")) for i in range(1, k + 1)})
+    names = [f"__{c}_{i}" for c in ("position", "pct") for i in range(1, k + 1)]
+    same = Window.partitionBy("horse_id", "__apart", "__at").orderBy("race_id", "runner_id")
+    return rows.select("runner_id", *[F.first(c).over(same).alias(c[2:]) for c in ("__n", *names, "__weighted")])
+
+
+def recent_form(runners: DataFrame) -> DataFrame:
+    """``current_form`` of runners, from offsets and running totals in place of a whole past."""
+    n, none = F.col("n"), F.lit(0).cast("long")
+    of = lambda c, k: [F.col(f"{c}_{i}").cast("double") for i in range(1, k + 1)]
+
+    def some(c: str, k: int) -> tuple[Column, Column]:
+        """The sum and the number of the latest values."""
+        return sum((F.coalesce(x, F.lit(0.0)) for x in of(c, k)), F.lit(0.0)), sum((x.isNotNull().cast("double") for x in of(c, k)), F.lit(0.0))
+
+    average = lambda c, k: F.try_divide(*some(c, k))
+    middle = average("pct", 5)
+    spread = sum((F.coalesce((x - middle) * (x - middle), F.lit(0.0)) for x in of("pct", 5)), F.lit(0.0))
+    hit = lambda k, most: F.when(n > 0, sum((F.coalesce((x <= most).cast("long"), none) for x in of("position", k)), none))
+    return latest_runs(runners).select(
+        "runner_id",
+        n.alias("career_runs_to_date"),
+        (n == 0).cast("int").alias("first_time_out_flag"),
+        F.col("position_1").alias("form_last_run_position"),
+        average("position", 3).alias("form_avg_position_last3"),
+        average("position", 5).alias("form_avg_position_last5"),
+        F.col("weighted").alias("form_recency_weighted_percentile"),
+        average("pct", 3).alias("form_or_relative_recent"),
+        F.when(some("pct", 5)[1] >= 2, F.sqrt(F.try_divide(spread, some("pct", 5)[1]))).alias("form_consistency"),
+        *[hit(k, 1).alias(f"form_wins_last{k}") for k in (3, 5, 10)],
+        *[hit(k, 3).alias(f"form_places_last{k}") for k in (3, 5, 10)],
+    )
+
+
+def records(runners: DataFrame) -> DataFrame:
+    """``course_distance_going`` of runners: by course, going and code from running totals, by distance from the distances and places of earlier runs alone."""
+    nameless = F.when(F.col("horse_id").isNull(), F.col("runner_id"))
+    when, none = F.unix_micros("race_ts"), F.lit(0).cast("long")
+    rows = runners.select("runner_id", "horse_id", nameless.alias("__apart"), "race_ts", "course", "distance_f", "going", "flat_jumps", "finishing_position").repartition("horse_id", "__apart")
+    before = lambda *more: Window.partitionBy("horse_id", "__apart", *more).orderBy(when).rangeBetween(Window.unboundedPreceding, -1)
+    hit = {"starts": F.lit(1).cast("long"), "wins": F.coalesce((F.col("finishing_position") == 1).cast("long"), none), "places": F.coalesce((F.col("finishing_position") <= 3).cast("long"), none)}
+    rows = rows.withColumn("past", F.collect_list(F.struct("distance_f", "course", "finishing_position")).over(before())).withColumn("n", F.size("past"))
+    for prefix, column in (("course", "course"), ("going", "going"), ("race_type", "flat_jumps")):  # nothing equals an unknown one
+        rows = rows.withColumns({f"{prefix}_{k}": F.when(F.col(column).isNotNull(), F.coalesce(F.sum(v).over(before(column)), none)).otherwise(none) for k, v in hit.items()})
+    near = lambda r: F.abs(r["distance_f"] - F.col("distance_f")) <= 1.5
+    there = (F.col("n") == 0) | F.col("going").isNotNull()
+    rates = lambda p: [rate(F.col(f"{p}_wins"), F.col(f"{p}_starts")).alias(f"{p}_win_rate"), rate(F.col(f"{p}_places"), F.col(f"{p}_starts")).alias(f"{p}_place_rate")]
+    counted = lambda p: [F.col(f"{p}_{k}") for k in hit]
+    out = rows.withColumns({f"going_{k}": F.when(there, F.col(f"going_{k}")) for k in hit})
+    return out.select("runner_id", *counted("course"), *rates("course"), *record("distance", near), *record("course_distance", lambda r: (r["course"] == F.col("course")) & near(r))[:3], *counted("going"), *rates("going"), *counted("race_type"), *rates("race_type"))
+
+
 def current_form(history: DataFrame) -> DataFrame:
     position = lambda r: r["finishing_position"]
     weights = F.transform("past", lambda r, i: F.when(r["pct"].isNotNull(), F.exp(-i * F.lit(0.6931471805599453) / 3)))

@@ -73,8 +73,9 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(*[kinds[t](F.col(c)).alias(c) if t in kinds else F.col(c) for c, t in df.dtypes])
 
 
-def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.with_history(racing.runners(spark, sf_dir))
+def _history(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
+    """Runners with those columns of their earlier runs that a query needs."""
+    return history.with_history(racing.runners(spark, sf_dir), only=list(only))
 
 
 def _record_sql(prefix: str, test: str, rates: bool = True) -> str:
@@ -99,7 +100,7 @@ select r.runner_id, {_record_sql("course", "h.course = own_course")}, {_record_s
   {_known_going_sql()}, {_record_sql("race_type", "h.flat_jumps = own_code")}
 from runners r left join past h on h.runner_id = r.runner_id group by r.runner_id""")
 def course_distance_going(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(history.course_distance_going(_history(spark, sf_dir)))
+    return tidy(history.records(racing.runners(spark, sf_dir)))
 
 
 _W = "exp(-(rn - 1) * ln(2) / 3)"
@@ -115,7 +116,7 @@ select r.runner_id, count(h.runner_id) as career_runs_to_date, (count(h.runner_i
   {", ".join(f"case when count(h.runner_id) > 0 then count(h.runner_id) filter (rn <= {k} and finishing_position = 1) end as form_wins_last{k}, case when count(h.runner_id) > 0 then count(h.runner_id) filter (rn <= {k} and finishing_position <= 3) end as form_places_last{k}" for k in (3, 5, 10))}
 from (select runner_id from runners) r left join past h on h.runner_id = r.runner_id group by r.runner_id""")
 def current_form(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(history.current_form(_history(spark, sf_dir)))
+    return tidy(history.recent_form(racing.runners(spark, sf_dir)))
 
 
 @query(f"""with {HISTORY_SQL},
@@ -128,7 +129,7 @@ left join (select runner_id, case when count(*) >= 2 then regr_slope(pct, x) end
 left join (select runner_id, case when count(*) >= 2 then regr_slope(official_rating, x) end as s from o group by 1) b using (runner_id)
 left join (select runner_id, avg(gap) as m from g group by 1) c using (runner_id)""")
 def form_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(history.form_slopes(_history(spark, sf_dir)))
+    return tidy(history.form_slopes(_history(spark, sf_dir, "race_ts", "pct", "official_rating")))
 
 
 def _versus_sql(value: str) -> str:
@@ -157,7 +158,7 @@ select r.runner_id, official_rating - p1 as mark_change_since_last_run, official
   official_rating - best as or_vs_best_recent_mark, (official_rating - best <= -3)::bigint as well_in_flag
 from runners r left join m using (runner_id) left join w using (runner_id)""")
 def rating_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(history.rating_history(_history(spark, sf_dir)))
+    return tidy(history.rating_history(_history(spark, sf_dir, "race_ts", "official_rating", "finishing_position")))
 
 
 @query(f"""with {HISTORY_SQL}
@@ -168,7 +169,7 @@ select r.runner_id, any_value(r.race_class) as current_class, max(h.race_class)
   round(avg(pct) filter (h.race_class <= own_class), 9) as class_adjusted_recent_form
 from runners r left join past h on h.runner_id = r.runner_id group by r.runner_id""")
 def class_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(history.class_record(_history(spark, sf_dir)))
+    return tidy(history.class_record(_history(spark, sf_dir, "race_ts", "race_class", "finishing_position", "pct")))
 
 
 @query(f"""with {HISTORY_SQL},
@@ -177,7 +178,7 @@ select r.runner_id, round(sum((1 - abs(s - own)) * exp(-(k - 1) * ln(2) / 3)) /
   max((abs(own - s) > 0.25)::bigint) filter (k = 1) as going_change_flag
 from (select runner_id from runners) r left join g using (runner_id) group by r.runner_id""")
 def going_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(history.going_similarity(_history(spark, sf_dir)))
+    return tidy(history.going_similarity(_history(spark, sf_dir, "race_ts", "going")))
 
 
 @query(f"""with {RUNNERS_SQL},
@@ -240,7 +241,7 @@ select r.runner_id, case when any_value(r.headgear) is not null and count(h.runn
   (count(*) filter (h.trainer_id = own_trainer) = 1)::bigint as second_run_for_trainer_flag, coalesce(max((h.trainer_id <> own_trainer)::bigint) filter (rn = 1), 0) as trainer_change_flag
 from runners r left join past h on h.runner_id = r.runner_id group by r.runner_id""")
 def headgear_trainer_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(history.headgear_trainer(_history(spark, sf_dir)))
+    return tidy(history.headgear_trainer(_history(spark, sf_dir, "race_ts", "headgear", "trainer_id", "finishing_position")))
 
 
 @query(f"""with {HISTORY_SQL},
@@ -250,7 +251,7 @@ select runner_id, n as career_starts_to_date, y as starts_last_12_months, (n = 0
   (n between 4 and 9)::bigint as experience_band_moderate, (n >= 10)::bigint as experience_band_exposed, (n <= 3)::bigint as lightly_raced_flag, age as horse_age,
   case when flat_jumps = 'JUMPS' then age else 0 end as age_x_jumps, round(age * distance_f, 9) as age_x_distance from a""")
 def age_experience(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(history.age_experience(_history(spark, sf_dir)))
+    return tidy(history.age_experience(_history(spark, sf_dir, "race_ts")))
 
 
 def _runs_sql(key: str) -> str:
@@ -438,7 +439,7 @@ def chronological_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {HISTORY_SQL}, n as (select runner_id, count(*) as n from past group by 1) select course, count(*) as runners, sum(coalesce(n, 0))::bigint as visible_runs, 0::bigint as violations, 'PASSED' as status from runners left join n using (runner_id) group by course")
 def leakage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.leakage(_history(spark, sf_dir))
+    return history.leakage(_history(spark, sf_dir, "race_ts"))
 
 
 @query(f"""with {RUNNERS_SQL}, f as (select *, coalesce((sp_decimal = min(sp_decimal) over (partition by race_id))::int, 0) as fav, coalesce((finishing_position = 1)::int, 0) as won from runners)

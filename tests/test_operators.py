@@ -1,7 +1,10 @@
 """Small cases of the racing operators."""
 
 import datetime as dt
+import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from furlong.functions import scalars
@@ -121,3 +124,34 @@ def test_stream_equals_batch(spark, tmp_path):
     want = windowed_prices(batch).filter(F.col("window_start") < F.lit(DAY + dt.timedelta(hours=7)))  # the last window is still open
     key = ["window_start", "runner_id"]
     assert [tuple(r) for r in done.orderBy(key).collect()] == [tuple(r) for r in want.orderBy(key).collect()]
+
+
+def careers(spark, seed, n=400):
+    """Runs of a few horses, many on one day, one horse without a name, places and goings missing."""
+    rnd = random.Random(seed)
+    rows = [(i, i // 3, rnd.choice([None, 1, 2, 3, 4]), f"2024-{rnd.randint(1, 3):02d}-{rnd.randint(1, 28):02d}", rnd.choice([None, 1, 2, 3, 4, 7]), rnd.choice([1, 8, 9]), rnd.choice(["York", "Ayr", None]), rnd.choice([5.0, 6.5, 6.25, 8.0, None]), rnd.choice(["Good", "Soft", None]), rnd.choice(["FLAT", "JUMPS"])) for i in range(n)]
+    df = spark.createDataFrame(rows, "runner_id long, race_id long, horse_id long, day string, finishing_position int, field_size int, course string, distance_f double, going string, flat_jumps string")
+    full = df.withColumns({"race_ts": F.col("day").cast("timestamp"), **{c: F.lit(None).cast("int") for c in ("race_class", "official_rating", "trainer_id")}, "headgear": F.lit(None).cast("string"), "sp_decimal": F.lit(None).cast("double")})
+    return full.withColumn("finishing_position", F.when(F.col("finishing_position") <= F.col("field_size"), F.col("finishing_position")))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_bounded_frames_equal_the_whole_past(spark, seed):
+    rows = careers(spark, seed)
+    whole = history.with_history(rows)
+    for bounded, over_arrays in ((history.recent_form, history.current_form), (history.records, history.course_distance_going)):
+        got, want = bounded(rows).toPandas().sort_values("runner_id"), over_arrays(whole).toPandas().sort_values("runner_id")
+        assert got.columns.tolist() == want.columns.tolist() and len(got) == 400
+        for c in got.columns:
+            a, b = got[c].astype(float).to_numpy(), want[c].astype(float).to_numpy()
+            assert np.allclose(a, b, atol=1e-12, equal_nan=True), c
+
+
+def test_totals_by_day_equal_windows(spark):
+    rows = careers(spark, 3).withColumn("race_ts", F.col("race_ts") + F.make_dt_interval(F.lit(0), (F.col("runner_id") % 5).cast("int")))
+    sets = {"a": ["horse_id", "course"], "b": ["flat_jumps"]}
+    sums = {"runs": F.lit(1).cast("long"), "first": rolling.hits(F.col("finishing_position") == 1)}
+    got = {tuple(r) for r in rolling.totals(rows, sets, sums, ["runner_id", "course"]).collect()}
+    window = {f"{k}_{n}": rolling.within(c, ks, None) for k, ks in sets.items() for n, c in sums.items()}
+    want = {tuple(r) for r in rows.select("runner_id", "course", *[c.alias(k) for k, c in window.items()]).collect()}
+    assert got == want and len(got) == 400
