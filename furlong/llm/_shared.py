@@ -42,6 +42,14 @@ def dropped(*tables: DataFrame) -> None:
                 folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that a table doesn't have, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 BATCH_ROWS = 2000
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furlong.llm._shared import give_back, lean, small_batches
+from furlong.llm._shared import give_back, lean, small_batches, unused
 from furlong.llm._text import mix, pieces
 
 TRAIN_ROWS = 1000
@@ -240,16 +240,18 @@ def train(texts: list[str], langs: list[str], labels: list[str], epochs: int = E
     return model
 
 
+_SPANS = pa.struct([("lang", pa.string()), ("words", pa.int32()), ("begin", pa.int64()), ("end", pa.int64())])
+
+
 def _predictor(shared, spans: bool):
     @lean("langid")
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: LanguageModel = shared.value
-        kind = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int32()), ("text", pa.string())]))
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             lang, score, parts = [], [], []
             if not model.labels:
-                lang, score, parts = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows, [[] for _ in range(batch.num_rows)]
+                lang, score, parts = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows, [pa.array([[]] * batch.num_rows, pa.list_(_SPANS))]
             for lo, hi, emissions, first, places in _emitted(model, column, spans) if model.labels else ():
                 post = model.posteriors(emissions, first)
                 total = np.concatenate([np.zeros((1, post.shape[1])), np.cumsum(post, 0)])
@@ -264,27 +266,25 @@ def _predictor(shared, spans: bool):
                         lang.append(model.labels[best[r]])
                         score.append(min(1.0, float(share[r, best[r]] / words[r])))
                 if spans:
-                    parts += _runs(model.labels, post.argmax(1), first, places, [column[lo + r].as_py() for r in range(hi - lo)])
+                    parts.append(_runs(model.labels, post.argmax(1), first, places))
             out = [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out, *([pa.array(parts, kind)] if spans else [])], names=[*batch.schema.names[:-1], "lang_pred", "score", *(["spans"] if spans else [])])
+            more = [pa.concat_arrays(parts) if parts else pa.array([], pa.list_(_SPANS))] if spans else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out, *more], names=[*batch.schema.names[:-1], "lang_pred", "score", *(["spans"] if spans else [])])
 
     return predict
 
 
-def _runs(labels: list[str], label: np.ndarray, first: np.ndarray, places: tuple[np.ndarray, np.ndarray], texts: list[str | None]) -> list[list[dict]]:
-    """For each text, its runs of words of one language: the language, the number of words, and the text from its first word to its last."""
+def _runs(labels: list[str], label: np.ndarray, first: np.ndarray, places: tuple[np.ndarray, np.ndarray]) -> pa.ListArray:
+    """For each text, its runs of words of one language: the language, the number of words, and the bytes from the first word's begin to the last one's end."""
     begin, end = places
     new = np.ones(len(label), bool)
     new[1:] = label[1:] != label[:-1]
     new[first[:-1][first[:-1] < len(label)]] = True
-    out = []
-    for r, text in enumerate(texts):
-        a, b = int(first[r]), int(first[r + 1])
-        starts = a + np.flatnonzero(new[a:b])
-        stops = [*starts[1:].tolist(), b]
-        data = (text or "").encode()
-        out.append([{"lang": labels[label[i]], "words": j - i, "text": data[begin[i] : end[j - 1]].decode("utf-8", "replace")} for i, j in zip(starts.tolist(), stops, strict=True)] if a < b else [])
-    return out
+    starts = np.flatnonzero(new)
+    stops = np.append(starts[1:], len(label))
+    names = pa.array(labels, pa.string()).take(pa.array(label[starts], pa.int32()))
+    runs = pa.StructArray.from_arrays([names, pa.array(stops - starts, pa.int32()), pa.array(begin[starts], pa.int64()), pa.array(end[stops - 1] if len(starts) else end[:0], pa.int64())], fields=list(_SPANS))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, first), pa.int32()), runs)
 
 
 def _has_letter(text: str | None) -> bool:
@@ -338,7 +338,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:
     """One row per input row: ``id_col``, lang_pred, score (the share of expected words that are of that language, 0 to 1) and spans (runs
-    of words of one language in order: lang, words, text; left out unless ``spans``).
+    of words of one language in order: lang, words, and where the run begins and ends in the text's UTF-8 bytes; left out unless ``spans``).
 
     ``und`` with score 0 stands for a null text, one without letters, and a model
     without languages.  Ties go to the language first in order.  Texts of any length are read whole.  Null or
@@ -349,10 +349,17 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
     kind = rows.schema["id"].dataType.simpleString()
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    more = ", spans array<struct<lang: string, words: int, text: string>>" if spans else ""
+    more = ", spans array<struct<lang: string, words: int, begin: long, end: long>>" if spans else ""
     return rows.mapInArrow(_predictor(shared, spans), f"id {kind}, lang_pred string, score double{more}").withColumnRenamed("id", id_col)
 
 
+def with_span_texts(found: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``found`` (of ``identify_languages``) with the text of each span; ids must be unique."""
+    texts = docs.select(F.col(id_col), F.encode(F.col(text_col), "utf-8").alias("__bytes"))
+    cut = lambda s: F.decode(F.substring(F.col("__bytes"), s["begin"] + 1, s["end"] - s["begin"]), "utf-8")
+    return found.join(texts, id_col).withColumn("spans", F.transform("spans", lambda s: s.withField("text", cut(s)))).drop("__bytes")
+
+
 def with_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, with lang_pred and score added; a column of such a name is replaced."""
     from pyspark.sql import types as T
@@ -360,6 +367,6 @@ def with_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text"
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    rows = docs.select(*keep, F.col(text_col).cast("string").alias(unused("__text", docs.columns)))
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(_predictor(shared, False), schema)

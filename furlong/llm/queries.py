@@ -92,8 +92,8 @@ def language_model(spark: SparkSession, sf_dir: str) -> langid.LanguageModel:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = langid.identify_languages(table(spark, sf_dir, "documents"), language_model(spark, sf_dir), spans=False)
-    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    found = langid.identify_languages(table(spark, sf_dir, "documents"), language_model(spark, sf_dir))
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "spans")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

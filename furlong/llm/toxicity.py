@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from furlong.llm import _text
-from furlong.llm._shared import give_back, lean, small_batches
+from furlong.llm._shared import give_back, lean, small_batches, unused
 from furlong.llm._text import mix, pieces
 
 TRAIN_EACH = 2000
@@ -205,4 +205,4 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text",
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(_scorer(shared, threshold, False), schema)
+    return docs.select(*keep, F.col(text_col).cast("string").alias(unused("__text", docs.columns))).mapInArrow(_scorer(shared, threshold, False), schema)

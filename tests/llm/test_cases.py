@@ -104,7 +104,8 @@ def test_runs_of_languages(docs_of):
     english, german = "the house and the garden were quiet in the evening while they waited", "das Haus und der Garten waren still am Abend während sie warteten"
     model = langid.train([english, german] * 20, ["en", "de"] * 20, ["de", "en"])
     mixed = f"{english}. {german}!"
-    got = {r.doc_id: r for r in langid.identify_languages(docs_of([(1, mixed), (2, None), (3, "123"), (4, english)]), model).collect()}
+    docs = docs_of([(1, mixed), (2, None), (3, "123"), (4, english)])
+    got = {r.doc_id: r for r in langid.with_span_texts(langid.identify_languages(docs, model), docs).collect()}
     assert [s.lang for s in got[1].spans] == ["en", "de"] and got[1].spans[1].text == german and got[1].spans[0].words == 13
     assert got[2].spans == [] and got[3].spans == [] and [s.lang for s in got[4].spans] == ["en"]
     assert got[2].lang_pred == got[3].lang_pred == "und"
@@ -161,3 +162,14 @@ def test_stages_on_empty_and_odd_rows(spark):
         found = pii.entities(r.text or "")
         assert (replaced[r.doc_id].text == r.text) == (not found)
         assert not {v for _, _, k, v in found if k in ("email", "secret", "access_key")} & set((replaced[r.doc_id].text or "").split())
+
+
+def test_stages_take_any_extra_column(spark):
+    """A column of the name that a stage would use, in any case of letters, is carried along."""
+    import corpus_pipeline as cp
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(30).withColumn("__text", F.lit(7)).withColumn("__TEXT_", F.lit(8))
+    for name, stage in cp.STAGES[:2]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and {(r["__text"], r["__TEXT_"]) for r in out.collect()} == {(7, 8)}, name
