@@ -617,4 +617,4 @@ def class_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(out.agg(F.count(F.lit(1)).alias("races"), F.countDistinct("course").alias("courses"), (100.0 * F.count_if(F.col("going").isNull()) / F.count(F.lit(1))).alias("going_missing_pct"), F.avg("distance_f").alias("mean_distance")))
 
 
-from furlong.plans import betting, imports, modelling, sources, storage, training, views  # noqa: E402,F401  register their queries, too
+from furlong.plans import betting, imports, modelling, readers, sources, storage, training, views  # noqa: E402,F401  register their queries, too

@@ -6,7 +6,9 @@ never ends a job and never vanishes.
 
 from __future__ import annotations
 
+import csv
 import io
+import itertools
 import zipfile
 from collections.abc import Iterator
 
@@ -111,25 +113,56 @@ def exchange_prices(messages: DataFrame, order: str | None = None) -> DataFrame:
 SP_COLUMNS = ["EVENT_DT", "SELECTION_NAME", "BSP"]
 
 
-def starting_prices(spark: SparkSession, path: str) -> DataFrame:
-    """(day, selection, bsp) of CSV files, or of zip archives of them; rows without a day in DD-MM-YYYY, a name and a number are left out."""
+def starting_price_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(day, selection, bsp, raw, reason) of every line of CSV files, or of zip archives of them; ``reason`` says what is wrong with a line, null if nothing is.
+
+    A line of more or fewer cells than the header has, a day that isn't DD-MM-YYYY, a missing name and a price that is no number are wrong. ``raw`` is
+    the line's cells as they stand.
+    """
     if path.lower().endswith(".zip"):
         packed = spark.read.format("binaryFile").load(path).select("path", "content")
-        rows = packed.mapInPandas(_unzipped, ", ".join(f"{c} string" for c in SP_COLUMNS))
+        rows = packed.mapInPandas(_unzipped, ", ".join(f"{c} string" for c in (*SP_COLUMNS, RAW, BROKEN)))
     else:
-        rows = spark.read.csv(path, header=True)
-        missing = [c for c in SP_COLUMNS if c not in rows.columns]
+        header = spark.read.csv(path, header=True).schema
+        missing = [c for c in SP_COLUMNS if c not in header.names]
         if missing:
             raise ValueError(f"{path}: columns {missing} are missing")
+        whole = T.StructType([*[T.StructField(f.name, T.StringType()) for f in header.fields], T.StructField(BROKEN, T.StringType())])
+        rows = spark.read.csv(path, header=True, schema=whole, mode="PERMISSIVE", columnNameOfCorruptRecord=BROKEN, enforceSchema=False)
+        rows = rows.withColumn(RAW, F.coalesce(F.col(BROKEN), F.concat_ws(",", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in header.names])))
     day = F.try_to_timestamp(F.substring("EVENT_DT", 1, 10), F.lit("dd-MM-yyyy")).cast("date")
-    out = rows.select(day.alias("day"), F.nullif(F.trim("SELECTION_NAME"), F.lit("")).alias("selection"), real_number(F.col("BSP")).alias("bsp"))
-    return out.dropna()
+    out = rows.select(day.alias("day"), F.nullif(F.trim("SELECTION_NAME"), F.lit("")).alias("selection"), real_number(F.col("BSP")).alias("bsp"), RAW, BROKEN)
+    wrong = F.array_compact(F.array(F.when(F.col("day").isNull(), "day is not DD-MM-YYYY"), F.when(F.col("selection").isNull(), "name is missing"), F.when(F.col("bsp").isNull(), "price is no number")))
+    reason = F.when(F.col(BROKEN).isNotNull(), "not as many cells as the header").when(F.size(wrong) > 0, F.array_join(wrong, "; "))
+    return out.select("day", "selection", "bsp", F.col(RAW).alias("raw"), reason.alias("reason"))
+
+
+def starting_prices(spark: SparkSession, path: str) -> DataFrame:
+    """(day, selection, bsp) of the lines that nothing is wrong with."""
+    return starting_price_rows(spark, path).filter("reason is null").select("day", "selection", "bsp")
+
+
+def rejected_prices(spark: SparkSession, path: str) -> DataFrame:
+    """(raw, reason) of the other lines."""
+    return starting_price_rows(spark, path).filter("reason is not null").select("raw", "reason")
+
+
+RAW, BROKEN = "__raw", "__broken"
 
 
 def _unzipped(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The lines of all CSV files of each archive, a batch at a time; a file without the columns is one broken line."""
+    names = [*SP_COLUMNS, RAW, BROKEN]
     for part in parts:
         for content in part["content"]:
             with zipfile.ZipFile(io.BytesIO(content)) as z:
                 for name in sorted(n for n in z.namelist() if n.lower().endswith(".csv")):
-                    for chunk in pd.read_csv(z.open(name), dtype=str, chunksize=50_000, on_bad_lines="skip"):
-                        yield chunk.reindex(columns=SP_COLUMNS).astype(object).where(lambda d: d.notna(), None)
+                    lines = csv.reader(io.TextIOWrapper(z.open(name), "utf-8-sig", errors="replace", newline=""))
+                    header = [c.strip() for c in next(lines, [])]
+                    at = [header.index(c) if c in header else None for c in SP_COLUMNS]
+                    if None in at:
+                        yield pd.DataFrame([[None, None, None, f"{name}: {','.join(header)}", "header"]], columns=names, dtype=object)
+                        continue
+                    while batch := list(itertools.islice(lines, 50_000)):
+                        rows = [[*([None] * 3 if len(x) != len(header) else [x[i] for i in at]), ",".join(x), None if len(x) == len(header) else "cells"] for x in batch if x]
+                        yield pd.DataFrame(rows, columns=names, dtype=object)

@@ -84,3 +84,18 @@ def test_stream_without_repeats_into_a_repeatable_sink(spark, tmp_path):
     write = idempotent_sink(str(tmp_path / "out"))
     stream.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+
+
+def test_lines_of_starting_prices_never_vanish(spark, tmp_path):
+    """What can't be taken is told with its reason, from plain files and from archives alike."""
+    body = "EVENT_DT,SELECTION_NAME,BSP\n01-05-2024 13:00,Red,4.5\n2024-05-01,Blue,2\n01-05-2024,,3\n01-05-2024,Green,much\n01-05-2024,Grey\n01-05-2024,Pink,2,9\n02-05-2024,White,7\n"
+    (tmp_path / "p.csv").write_text(body)
+    with zipfile.ZipFile(tmp_path / "p.zip", "w") as z:
+        z.writestr("p.csv", body)
+        z.writestr("none.csv", "A,B\n1,2\n")
+    want = {("2024-05-01,Blue,2", "day is not DD-MM-YYYY"), ("01-05-2024,,3", "name is missing"), ("01-05-2024,Green,much", "price is no number"), ("01-05-2024,Grey", "not as many cells as the header"), ("01-05-2024,Pink,2,9", "not as many cells as the header")}
+    for name in ("p.csv", "p.zip"):
+        path = str(tmp_path / name)
+        assert sorted(tuple(r) for r in files.starting_prices(spark, path).collect()) == [(dt.date(2024, 5, 1), "Red", 4.5), (dt.date(2024, 5, 2), "White", 7.0)]
+        got = {tuple(r) for r in files.rejected_prices(spark, path).collect()}
+        assert got == want | ({("none.csv: A,B", "not as many cells as the header")} if name == "p.zip" else set())
