@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,12 +38,6 @@ def card_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(named.groupBy(*named.columns).agg(F.count(F.lit(1)).alias("n")))
 
 
-def _headed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each file begins with a header."""
-    yield pd.DataFrame({"value": ["EVENT_ID,EVENT_DT,SELECTION_NAME,BSP"]})
-    yield from parts
-
-
 @query("""with s as (select event_id, strftime(ts, '%d-%m-%Y') as day, strftime(ts, '%Y-%m-%d') as iso, 'S' || user_id as name, (1 + event_id % 40)::varchar as price from events)
 select event_id, case when event_id % 31 = 0 then event_id || ',' || day || ',' || name when event_id % 29 = 0 then event_id || ',' || iso || ',' || name || ',' || price when event_id % 23 = 0 then event_id || ',' || day || ',,' || price when event_id % 19 = 0 then event_id || ',' || day || ',' || name || ',none' else event_id || ',' || day || ',' || name || ',' || price end as raw,
   case when event_id % 31 = 0 then 'not as many cells as the header' when event_id % 29 = 0 then 'day is not DD-MM-YYYY' when event_id % 23 = 0 then 'name is missing' when event_id % 19 = 0 then 'price is no number' end as reason,
@@ -58,7 +49,7 @@ def starting_price_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = lambda *cells: F.concat_ws(",", i.cast("string"), *cells)
     text = F.when(i % 31 == 0, line(day, name)).when(i % 29 == 0, line(iso, name, price)).when(i % 23 == 0, line(day, F.lit(""), price)).when(i % 19 == 0, line(day, name, F.lit("none"))).otherwise(line(day, name, price))
     path = fresh_path(spark, "prices")
-    e.select(text.alias("value")).mapInPandas(_headed, "value string").write.text(path)
+    files.headed(e.select(text.alias("value")), "EVENT_ID,EVENT_DT,SELECTION_NAME,BSP").write.text(path)
     out = files.starting_price_rows(spark, path)
     number = F.split("raw", ",")[0].cast("long")
     broken = F.col("reason") == "not as many cells as the header"

@@ -110,6 +110,17 @@ def exchange_prices(messages: DataFrame, order: str | None = None) -> DataFrame:
     return ticks.filter("price is not null").select("market", F.timestamp_millis("pt").alias("tick_ts"), F.col("c.id").alias("selection"), F.try_element_at("names", F.col("c.id")).alias("name"), "price")
 
 
+def headed(lines: DataFrame, header: str) -> DataFrame:
+    """Lines of text (one column) to be written as files that each begin with a header."""
+    name = lines.columns[0]
+
+    def with_header(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({name: [header]})
+        yield from parts
+
+    return lines.mapInPandas(with_header, lines.schema)
+
+
 SP_COLUMNS = ["EVENT_DT", "SELECTION_NAME", "BSP"]
 
 
