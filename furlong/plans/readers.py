@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from furlong.plans.imports import _RAW_SQL, _lines, _raw_card
 from furlong.plans.registry import ORACLE_SQL, RUNNERS_SQL, query, tidy
-from furlong.sources import files, racing
+from furlong.sources import files, providers, racing
 from furlong.sources.shared import fresh_path
 from furlong.streaming.names import named_prices
 from furlong.streaming.odds import idempotent_sink, once
@@ -77,3 +77,42 @@ def streamed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = rows.writeStream.foreachBatch(idempotent_sink(f"{path}/out")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return tidy(spark.read.parquet(f"{path}/out").select("event_id", "user_id", "value"))
+
+
+def _documents(rows: DataFrame) -> DataFrame:
+    """Rows as a provider's documents, one line each, some of them broken."""
+    text = F.to_json(F.struct(*[c for c in rows.columns if c != "k"]))
+    return rows.select("k", F.when(F.col("k") % 41 == 0, F.concat(F.lit("{oops "), text)).when(F.col("k") % 43 == 0, F.lit("[1, 2]")).otherwise(text).alias("value"))
+
+
+@query(f"""with {RUNNERS_SQL}, ok as (select * from runners where race_id % 41 <> 0 and race_id % 43 <> 0)
+select race_id::varchar as race_id, case when race_id % 7 <> 0 then strftime(race_ts, '%Y-%m-%dT00:00') end as off, course as racecourse, case when race_id % 2 = 0 then 'HANDICAP' else 'NON_HANDICAP' end as handicap_type, flat_jumps, case when race_id % 5 = 0 then 99 else field_size end::bigint as n_runners,
+  round(distance_f, 9) as distance, 'Horse ' || horse_id as horse, official_rating::bigint as rating, case when runner_id % 3 = 0 then null else weight_lbs end::bigint as weight, draw::bigint as draw, non_runner, case when race_id % 7 = 0 then 'off is missing' else '' end || case when race_id % 7 = 0 and runner_id % 3 = 0 then '; ' else '' end || case when runner_id % 3 = 0 then 'weight_lbs_total is no int' else '' end as errors from ok""")
+def provider_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runners out of a provider's race documents, whose fields go by several names."""
+    r, even = racing.runners(spark, sf_dir), F.col("race_id") % 2 == 0
+    runner = F.struct(F.concat(F.lit("Horse "), "horse_id").alias("horse"), F.when(even, F.col("official_rating")).alias("ofr"), F.when(~even, F.col("official_rating")).alias("rating"), F.when(F.col("runner_id") % 3 == 0, "heavy").otherwise(F.col("weight_lbs").cast("string")).alias("lbs"), F.when(even, F.col("draw")).alias("stall"), F.when(~even, F.col("draw")).alias("draw"), F.when(F.col("non_runner"), True).alias("non_runner"))
+    races = r.groupBy(F.col("race_id").alias("k"), "race_id", "race_ts", "course", "flat_jumps", "distance_f").agg(F.collect_list(runner).alias("runners"))
+    kind = F.when(F.col("flat_jumps") == "FLAT", "Flat").otherwise("National Hunt")
+    docs = races.select("k", F.when(even, F.col("race_id")).alias("race_id"), F.when(~even, F.col("race_id")).alias("id"), F.when(F.col("race_id") % 7 != 0, F.date_format("race_ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("off_time"), "course", kind.alias("type"), F.col("distance_f").alias("dist_f"), F.when(even, True).alias("is_handicap"), F.when(F.col("race_id") % 5 == 0, 99).alias("field_size"), "runners")
+    good, _ = providers.documents(_documents(docs))
+    out = providers.race_cards(good.select("document"))
+    return tidy(out.select(F.col("provider_race_id").alias("race_id"), F.date_format("off", "yyyy-MM-dd'T'HH:mm").alias("off"), "racecourse", "handicap_type", "flat_jumps", F.col("number_of_runners").alias("n_runners"), F.col("distance_furlongs").alias("distance"), F.col("horse_name").alias("horse"), F.col("official_rating").alias("rating"), F.col("weight_lbs_total").alias("weight"), "draw", "non_runner", F.array_join("errors", "; ").alias("errors")))
+
+
+@query("""select event_id, 'U' || user_id as runner, strftime(ts, '%Y-%m-%d %H:%M:%S') as tick, round(coalesce(case when event_id % 3 <> 0 then value + 1 end, case when event_id % 5 <> 0 then value + 2 end, 0), 9) as price, event_type = 'purchase' as is_sp, 'Betfair Exchange' as bookmaker
+from events where event_id % 41 <> 0 and event_id % 43 <> 0 and cast(ts as date) between date '2024-01-05' and date '2024-01-20'""")
+def provider_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of some days out of an exchange's documents: the back price, else the lay price, else none."""
+    e, i = racing.table(spark, sf_dir, "events"), F.col("event_id")
+    docs = e.select(i.alias("k"), i, F.concat(F.lit("U"), "user_id").alias("selection_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("market_time"), F.when(i % 3 != 0, F.col("value") + 1).alias("back"), F.when(i % 5 != 0, F.col("value") + 2).alias("lay"), F.when(F.col("event_type") == "purchase", "closed").otherwise("OPEN").alias("status"))
+    good, _ = providers.documents(_documents(docs))
+    out = providers.exchange_points(good.select(F.col("k").alias("event_id"), "document"), "document", "2024-01-05", "2024-01-20")
+    return tidy(out.select("event_id", "runner", F.date_format("tick_ts", "yyyy-MM-dd HH:mm:ss").alias("tick"), "price", "is_sp", "bookmaker"))
+
+
+@query("select 'line ' || event_id as line from events where event_id % 41 = 0 or event_id % 43 = 0")
+def provider_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that hold no document."""
+    e = racing.table(spark, sf_dir, "events").select(F.col("event_id").alias("k"), "event_type")
+    return providers.documents(_documents(e))[1].select(F.concat(F.lit("line "), "k").alias("line"))
