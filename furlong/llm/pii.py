@@ -168,6 +168,18 @@ def canonical(kind: str, value: str) -> str:
     return value
 
 
+GIVEN, SURNAME = "given_", "surname"
+PARTS = (GIVEN, SURNAME)
+
+
+def name_parts(kind: str, value: str) -> list[tuple[str, str]]:
+    """What of an entity gets a surrogate of its own: a person's given names and surname apart, so that a surname has one surrogate with and without them."""
+    if not kind.startswith("name_"):
+        return [(kind, value)]
+    given, _, surname = value.rpartition(" ")
+    return ([(f"{GIVEN}{kind[-1]}", given)] if given else []) + [(SURNAME, surname)]
+
+
 class Surrogates:
     """Keyed surrogates."""
 
@@ -214,7 +226,7 @@ class Surrogates:
     def _draw(self, kind: str, value: str, attempt: str) -> str:
         s = self._stream(kind, value, attempt)
         longer = max(0, int(attempt.split(".")[0]) - SAME_LENGTH_ATTEMPTS)
-        if longer and not kind.startswith("name_"):
+        if longer and not kind.startswith(("name_", *PARTS)):
             drawn = self._draw(kind, value, f"0.{attempt}")
             more = "".join(str(self._below(s, 10)) if kind in ("ip", "card", "phone", "ssn") else chr(97 + self._below(s, 26)) for _ in range(longer))
             return more + drawn if kind == "email" else drawn + more
@@ -244,6 +256,8 @@ class Surrogates:
         if kind == "secret":
             hexes = "0123456789abcdef"
             return self._like(value, s, hexes if set(value) <= set(hexes) else "")
+        if kind.startswith(PARTS):
+            return self._part(kind, value, s, int(attempt.split(".")[0]))
         gender = kind[-1]
         script = "cyrillic" if "Ѐ" <= value[0] <= "ӿ" else "latin"
         last = SURNAMES[script]
@@ -255,6 +269,16 @@ class Surrogates:
         surname += "".join("-" + last[self._below(s, len(last))] for _ in range((n + 1) // 2))
         return f"{first[self._below(s, len(first))]} {surname}" if " " in value else surname
 
+    def _part(self, kind: str, value: str, s, n: int) -> str:
+        """A given name or a surname; the lists are short, so every second attempt has a name more."""
+        script = "cyrillic" if "Ѐ" <= value[0] <= "ӿ" else "latin"
+        gender = kind[-1]
+        names = SURNAMES[script] if kind == SURNAME else NAMES[gender, script] if gender != "n" else NAMES["m", script] + NAMES["f", script]
+        out = names[self._below(s, len(names))]
+        if kind == SURNAME and script == "cyrillic" and value[-1] in "ая":
+            out += "а"
+        return out + "".join("-" + names[self._below(s, len(names))] for _ in range((n + 1) // 2))
+
     def mention(self, kind: str, mention: str, surrogate: str, value: str = "") -> str:
         """A surrogate in the format of a mention: its punctuation and case, or the surname alone."""
         if kind == "email":
@@ -274,7 +298,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, kinds, values = [], [], []
         for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if text.is_valid:
-                for kind, value in dict.fromkeys((kind, v) for _, _, kind, v in entities(text.as_py())):
+                for kind, value in dict.fromkeys(part for _, _, kind, v in entities(text.as_py()) for part in name_parts(kind, v)):
                     keys.append(k)
                     kinds.append(kind)
                     values.append(value)
@@ -344,13 +368,15 @@ def _replacer(key: bytes, text_at: int, special_at: int, keep: int):
                     own = {(x["kind"], x["value"]): x["surrogate"] for x in special.as_py() or []}
                     out, at = [], 0
                     for a, b, kind, value in found:
-                        new = own.get((kind, value))
-                        if new is None:
-                            new = memo.get((kind, value))
+                        parts = []
+                        for part in name_parts(kind, value):
+                            new = own.get(part) or memo.get(part)
                             if new is None:
                                 if len(memo) > 50_000:
                                     memo.clear()
-                                new = memo[kind, value] = s.canonical(kind, value)
+                                new = memo[part] = s.canonical(*part)
+                            parts.append(new)
+                        new = " ".join(parts)
                         out += [text[at:a], s.mention(kind, text[a:b], new, value)]
                         at = b
                     text = "".join([*out, text[at:]])

@@ -1,6 +1,7 @@
 """Cases that once went wrong, and branches that only large inputs reach."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -173,3 +174,25 @@ def test_stages_take_any_extra_column(spark):
     for name, stage in cp.STAGES[:2]:
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns and {(r["__text"], r["__TEXT_"]) for r in out.collect()} == {(7, 8)}, name
+
+
+def test_surnames_stay_distinct_when_they_stand_alone(docs_of):
+    """Persons of different surnames keep different ones in every kind of mention, over a whole corpus, and a surname keeps its surrogate with and without a given name."""
+    key = b"surrogates of the registered queries"
+    rnd = random.Random(9)
+    letters = lambda n: "".join(rnd.choice("abdeiklmnorstu") for _ in range(n))
+    surnames = sorted({letters(6).capitalize() for _ in range(70)}) + ["Smith", "Taylor"]
+    texts = ["Mr Alexander Smith met Mr Alexander Taylor. Smith left and Taylor stayed."]
+    pairs = [(rnd.choice(surnames), rnd.choice(surnames)) for _ in range(80)]
+    texts += [f"Mr Alexander {a} met Mrs Alice {b}. Then {a} left and Mr {a} wrote to {b}." for a, b in pairs if a != b]
+    out = {r.doc_id: r.text for r in pii.replace_entities(docs_of(list(enumerate(texts))), key).collect()}
+    full = {}
+    for i, text in enumerate(texts):
+        old, new = re.findall(r"[A-Za-z-]+", text), re.findall(r"[A-Za-z-]+", out[i])
+        assert len(old) == len(new)
+        for a, b in zip(old, new, strict=True):
+            if a in surnames or a in ("Alexander", "Alice"):
+                assert full.setdefault(a, b) == b != a and b not in surnames
+            else:
+                assert a == b
+    assert len(set(full.values())) == len(full)
