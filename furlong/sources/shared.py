@@ -15,7 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; one of its own only where it is unset and all runs in this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="spark-shared-"))
