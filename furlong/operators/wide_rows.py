@@ -10,8 +10,11 @@ the best pair isn't clearly best, the join is refused.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,11 +46,25 @@ def _hash(c: Column) -> Column:
     return F.xxhash64(cell_text(c))
 
 
+def _smallest(k: int):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ``k`` smallest distinct hashes of each column that a task has seen; the batch's columns are the table's."""
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for name, column in zip(batch.schema.names, batch.columns, strict=True):
+                fresh = column.drop_null().to_numpy(zero_copy_only=False)
+                held[name] = np.unique(np.concatenate([held.get(name, fresh[:0]), fresh]))[:k]
+        for name, found in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found, pa.int64())], names=["column", "h"])
+
+    return keep
+
+
 def sketches(rows: DataFrame, columns: list[str] | None = None, k: int = SKETCH) -> DataFrame:
     """(column, h): the ``k`` smallest hashes of each column's distinct values. Each task passes on ``k`` of a column at most."""
     columns = rows.columns if columns is None else columns
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.when(cell_text(F.col(f"`{c}`")).isNotNull(), _hash(F.col(f"`{c}`"))).alias("h")) for c in columns])
-    long = rows.select(F.inline(cells)).filter("h is not null").distinct()
+    hashed = rows.select(*[F.when(cell_text(F.col(f"`{c}`")).isNotNull(), _hash(F.col(f"`{c}`"))).alias(c) for c in columns])
+    long = hashed.mapInArrow(_smallest(k), "column string, h long").distinct()
     return long.withColumn("n", F.row_number().over(Window.partitionBy("column").orderBy("h"))).filter(F.col("n") <= k).select("column", "h")
 
 
