@@ -49,7 +49,7 @@ def nodes(plan):
         yield from nodes(plan.children().apply(i))
 
 
-@pytest.mark.parametrize("name", ["runner_explained", "course_distance_going", "badges", "model_confidence", "evidence_density", "pace_history"])
+@pytest.mark.parametrize("name", ["runner_explained", "course_distance_going", "badges", "model_confidence", "evidence_density", "pace_history", "training_dataset"])
 def test_no_pasts_are_sorted_or_shuffled(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan()
     moved = [n for n in nodes(plan) if n.getClass().getSimpleName() in ("SortExec", "ShuffleExchangeExec", "SortMergeJoinExec")]
@@ -62,3 +62,10 @@ def test_an_explained_runner_is_computed_from_its_lines_once(spark):
     for name in ("runner_explained", "badges", "model_confidence"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan()
         assert sum("l_linenumber" in n.toString() for n in nodes(plan) if n.children().size() == 0) == 1, name
+
+
+@pytest.mark.parametrize(("name", "most"), [("pace_history", 0), ("form_slopes", 0), ("headgear_trainer_change", 0), ("training_dataset", 30)])
+def test_few_lambdas(spark, name, most):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan()
+    found = [n.expressions().apply(i).toString() for n in nodes(plan) for i in range(n.expressions().size())]
+    assert found and sum(e.count("lambdafunction(") for e in found) <= most
