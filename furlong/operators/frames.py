@@ -69,3 +69,9 @@ def marked_first(rows: DataFrame, key: str, place: str = PLACE) -> DataFrame:
     """Adds ``first``: whether a row is the first of its key by place; of a null key every row is. Only the key's least place is looked for."""
     least = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(place).alias("__least"))
     return rows.join(least, key, "left").select(*rows.columns, F.coalesce(F.col(place) == F.col("__least"), F.lit(True)).alias("first"))
+
+
+def by_value(rows: DataFrame, column: str, made: dict[str, Column]) -> DataFrame:
+    """``rows`` with columns that follow from one column, worked out once for each of its values; null for null. ``rows`` is read twice."""
+    values = rows.select(column).filter(F.col(column).isNotNull()).distinct().withColumns(made)
+    return rows.join(values, column, "left")

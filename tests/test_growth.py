@@ -19,3 +19,56 @@ def test_cells_stop_growing_and_teach_the_same(spark):
     want, got = models.boosting(train, ["x", "z"], "y", 10), models.boosting_of_cells(one, bins, "y", 10)
     p = [models.predicted(m, train, "p").orderBy("x", "z", "y").toPandas()["p"] for m in (want, got)]
     assert np.corrcoef(*p)[0, 1] > 0.95 and np.abs(p[0] - p[1]).mean() < 0.03
+
+
+def test_what_follows_from_a_value_is_worked_out_once_for_it(spark):
+    from furlong.functions.betting import fractional
+    from furlong.operators.frames import by_value
+
+    rows = spark.createDataFrame([(1, 2.5), (2, None), (3, 2.5), (4, 4.0)], "k int, price double")
+    got = {r["k"]: r["f"] for r in by_value(rows, "price", {"f": fractional(F.col("price"))}).collect()}
+    assert got == {1: "3/2", 2: None, 3: "3/2", 4: "3/1"}
+
+
+def test_samples_of_columns_pass_once_and_are_not_shuffled_whole(spark):
+    from furlong.operators.mapping import profile
+
+    rows = spark.range(1000).selectExpr("id as k", "if(id % 3 = 0, null, concat('v', id)) as a", "cast(null as string) as b")
+    out = profile(rows, "k")
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["column_name"]: (r["rows"], r["present_pct"], r["samples"]) for r in out.collect()} == {"k": (1000, 100.0, ["0", "1", "2"]), "a": (1000, 66.6, ["v1", "v2", "v4"]), "b": (1000, 0.0, [])}
+
+
+def test_filled_points_are_dealt_out_once(spark):
+    from furlong.operators.sectionals import filled, summaries
+
+    points = spark.createDataFrame([(1, 0, 1.0, 10.0, None), (1, 3, 1.0, 13.0, None)], "runner_id int, segment_index int, distance_f double, seconds double, clock double")
+    out = filled(points)
+    assert [(r["segment_index"], r["seconds"], r["filled"]) for r in out.orderBy("segment_index").collect()] == [(0, 10.0, False), (1, 11.0, True), (2, 12.0, True), (3, 13.0, False)]
+    assert "Union" not in summaries(out)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_field_is_taken_from_a_document_in_one_pass(spark):
+    from furlong.sources import providers
+
+    good, bad = providers.documents(spark.createDataFrame([('{"selection_id": 7, "market_time": "2024-01-05T10:00:00", "back": "x"}',), ("[1]",), ("{oops",)], "value string"))
+    out = providers.exchange_points(good)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("variant_get") == 1 and bad.count() == 2
+    assert [(r["runner"], r["price"], r["errors"]) for r in out.collect()] == [("7", 0.0, ["back is no double"])]
+
+
+def test_a_merge_shuffles_once_and_keeps_what_a_null_leaves(spark):
+    from furlong.operators.merge import latest_over
+
+    held = spark.createDataFrame([(1, 1, "a", 1.0), (1, 2, "b", 2.0)], "month int, k int, x string, y double")
+    new = spark.createDataFrame([(1, 2, None, 3.0), (1, 3, "c", None), (1, 3, "d", None)], "month int, k int, x string, y double")
+    out = latest_over(held, new, ["month", "k"], ["month"], None)
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+    assert sorted(map(tuple, out.collect())) == [(1, 1, "a", 1.0), (1, 2, "b", 3.0), (1, 3, "d", None)]
+
+
+def test_lines_are_dealt_into_more_parts_as_they_grow(spark):
+    from furlong.sources import racing
+
+    few, many = (racing.parts(spark, "/root/testdata/sf0.001", each=n) for n in (10**9, 100))
+    assert few == spark.sparkContext.defaultParallelism and many > 10 * few
