@@ -53,31 +53,40 @@ EXCHANGE = "Betfair Exchange"
 POSITIONS = ["halfway_position", "position_3f", "position_2f", "position_1f", "finishing_position"]
 
 
-def first_of(document: Column, names: tuple[str, ...]) -> Column:
-    """The first named field that isn't null, as text."""
-    return F.coalesce(*[F.try_variant_get(document, f"$['{n}']", "string") for n in names])
+def texts(document: Column, fields: dict[str, Field]) -> Column:
+    """All fields of a document that any name may mean, as a struct of texts: one pass over the document."""
+    names = dict.fromkeys(n for f in fields.values() for n in f.names)
+    return F.try_variant_get(document, "$", f"struct<{', '.join(f'`{n}`: string' for n in names)}>")
 
 
-def typed(document: Column, field: Field) -> tuple[Column, Column]:
+def first_of(found: Column, names: tuple[str, ...]) -> Column:
+    """The first named field that isn't null, of a struct of texts."""
+    return F.coalesce(*[found[n] for n in names])
+
+
+def typed(found: Column, field: Field) -> tuple[Column, Column]:
     """A field's value, and whether it has one that doesn't fit."""
-    text = first_of(document, field.names)
+    text = first_of(found, field.names)
     value = {"string": lambda: text, "time": lambda: iso_time(text), "int": lambda: F.trim(text).try_cast("double").try_cast("int"), "double": lambda: F.trim(text).try_cast("double"), "boolean": lambda: F.lower(F.trim(text)).isin("true", "1", "yes")}[field.kind]()
     return (value if field.default is None else F.coalesce(value, F.lit(field.default))), text.isNotNull() & value.isNull()
 
 
 def mapped(rows: DataFrame, document: str, fields: dict[str, Field]) -> DataFrame:
     """``rows`` with the fields of a variant column as columns, and ``errors``: what is missing or doesn't fit."""
-    made = {name: typed(F.col(document), f) for name, f in fields.items()}
+    found, kept = F.col("__texts"), rows.columns
+    made = {name: typed(found, f) for name, f in fields.items()}
     wrong = [F.when(bad, f"{name} is no {fields[name].kind}") for name, (_, bad) in made.items() if fields[name].kind != "string"]
-    wrong += [F.when(first_of(F.col(document), f.names).isNull(), f"{name} is missing") for name, f in fields.items() if f.required]
-    return rows.select("*", *[v.alias(name) for name, (v, _) in made.items()], F.array_compact(F.array(*wrong)).alias("errors"))
+    wrong += [F.when(first_of(found, f.names).isNull(), f"{name} is missing") for name, f in fields.items() if f.required]
+    return rows.withColumn("__texts", texts(F.col(document), fields)).select(*[F.col(f"`{c}`") for c in kept], *[v.alias(name) for name, (v, _) in made.items()], F.array_compact(F.array(*wrong)).alias("errors"))
 
 
 def documents(lines: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
     """(lines with ``document``, lines that hold none)."""
     rows = lines.withColumn("document", F.try_parse_json(value))
     good = F.col("document").isNotNull() & F.coalesce(F.schema_of_variant("document").startswith("OBJECT"), F.lit(False))
-    return rows.filter(good), rows.filter(~good | F.col("document").isNull()).drop("document")
+    # as a generator: a filter would parse each line a second time
+    kept = rows.select(*[F.col(f"`{c}`") for c in lines.columns if c != "document"], F.explode(F.when(good, F.array("document"))).alias("document"))
+    return kept, rows.filter(~good | F.col("document").isNull()).drop("document")
 
 
 def race_cards(rows: DataFrame, document: str = "document") -> DataFrame:
