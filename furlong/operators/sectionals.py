@@ -74,10 +74,11 @@ def filled(points: DataFrame, segments: DataFrame | None = None) -> DataFrame:
     share = (F.col("i") - F.col("segment_index")) / (missing + 1)
     left = start_of_next - F.col("clock")
     straight = (own + share * (other - own)) * F.col("distance_f")
-    rows = gaps.filter(F.col("__next.segment_index") > F.col("segment_index") + 1).withColumn("i", F.explode(F.sequence(F.col("segment_index") + 1, F.col("__next.segment_index") - 1)))
-    made = rows.select("runner_id", F.col("i").alias("segment_index"), "distance_f", F.when(left > 0, left / missing).otherwise(straight).alias("seconds"), F.lit(True).alias("filled"))
-    known = points.select("runner_id", "segment_index", "distance_f", "seconds", F.lit(False).alias("filled"))
-    out = known.unionByName(made)
+    # a point and the missing ones after it come out of one pass
+    gap = F.coalesce(F.col("__next.segment_index") > F.col("segment_index") + 1, F.lit(False))
+    rows = gaps.select("*", F.posexplode(F.when(gap, F.sequence(F.col("segment_index"), F.col("__next.segment_index") - 1)).otherwise(F.array("segment_index"))).alias("__k", "i"))
+    made = F.col("__k") > 0
+    out = rows.select("runner_id", F.col("i").alias("segment_index"), "distance_f", F.when(~made, F.col("seconds")).when(left > 0, left / missing).otherwise(straight).alias("seconds"), made.alias("filled"))
     if segments is not None:
         every = segments.filter("n_segments > 0").select("runner_id", F.explode(F.sequence(F.lit(0), F.col("n_segments").cast("int") - 1)).alias("segment_index"))
         out = every.withColumn("segment_index", F.col("segment_index").cast(points.schema["segment_index"].dataType)).join(out, ["runner_id", "segment_index"], "full_outer").withColumn("filled", F.coalesce("filled", F.lit(False)))
@@ -94,6 +95,6 @@ def summaries(whole: DataFrame) -> DataFrame:
 
 
 
-def whole_sequences(points: DataFrame) -> DataFrame:
-    """Points one each, filled: what most readers want."""
-    return filled(one_each(points)[0])
+def whole_sequences(points: DataFrame, parts: int | None = None) -> DataFrame:
+    """Points one each, filled: what most readers want. They are dealt out by runner once, into ``parts`` if it is given, and put in order once."""
+    return filled(one_each(points.repartition(*([parts] if parts else []), "runner_id"))[0])

@@ -18,6 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Lines of one task where the tables are dealt out by a key.
+TASK_LINES = 200_000
+
+
+def parts(spark: SparkSession, sf_dir: str, name: str = "lineitem", each: int = TASK_LINES) -> int:
+    """Into how many parts to deal a table: more for more rows, as narrow rows that compress well fill a task's memory long before its share of bytes is reached. The rows are counted from the files' footers."""
+    return max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, name).count() // each))
+
+
 def races(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per race: its time, course, conditions. ``field_size`` is a column of the runners."""
     places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -45,7 +54,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     All windows are within a race, so the lines are dealt out by race once.
     """
-    lines = table(spark, sf_dir, "lineitem").repartition("l_orderkey")
+    lines = table(spark, sf_dir, "lineitem").repartition(parts(spark, sf_dir), "l_orderkey")
     first = F.row_number().over(Window.partitionBy("l_orderkey", "l_partkey").orderBy("l_extendedprice", "l_suppkey", "l_linenumber"))
     kept = lines.withColumn("k", first).filter("k = 1")
     race = Window.partitionBy("l_orderkey")
