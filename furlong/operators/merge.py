@@ -35,6 +35,19 @@ def put_over(held: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return held.join(fresh, key, "full_outer").select(*key, *[F.coalesce(F.col(f"__new_{c}"), F.col(c)).alias(c) for c in other])
 
 
+def latest_over(held: DataFrame, new: DataFrame, key: list[str], partition: list[str], order: str | None) -> DataFrame:
+    """``put_over`` of the ``latest`` new rows, in one shuffle by ranges of partition and key: held and new rows of a key meet there, and stay where they are to be written."""
+    other = [c for c in held.columns if c not in key]
+    rest = [F.col(c).desc_nulls_last() for c in other if c != order and not c.startswith("__")]
+    by = ([F.col(order).desc_nulls_last()] if order else []) + rest
+    both = held.withColumn("__is_new", F.lit(False)).unionByName(new.withColumn("__is_new", F.lit(True)))
+    both = both.repartitionByRange(*dict.fromkeys([*partition, *key]))
+    mine, is_new = Window.partitionBy(*key), F.col("__is_new")
+    ordered = mine.orderBy(is_new.desc(), *by)
+    both = both.withColumns({"__n": F.row_number().over(ordered), "__new": F.first(F.when(is_new, F.struct(*other))).over(ordered), "__held": F.max(~is_new).over(mine)})
+    return both.filter(~is_new | ((F.col("__n") == 1) & ~F.col("__held"))).select(*key, *[F.coalesce(F.col("__new")[c], F.col(c)).alias(c) for c in other])
+
+
 def put_for(held: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """The new rows in place of all the held ones of their key, however many there are of either."""
     return held.join(new.select(*key).distinct(), key, "left_anti").select(*held.columns).unionByName(new.select(*held.columns))
@@ -51,7 +64,7 @@ def of_partitions(table: DataFrame, touched: list[tuple], partition: list[str])
 def _put_in_place(files: Files, batch: str, partition: list[str]) -> None:
     spark, journal = files.spark, f"{JOURNAL}/{batch}"
     ready = spark.read.option("basePath", f"{files.root}/{journal}/data").schema(_schema(files, batch)).parquet(f"{files.root}/{journal}/data")
-    ready.repartitionByRange(*partition, *[c for c in ready.columns if c not in partition][:1]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(files.root)
+    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(files.root)
     files.write(f"{journal}.done", batch)
     files.delete(journal)
 
@@ -78,13 +91,15 @@ def merge_into(path: str, batch: DataFrame, name: str, key: list[str], partition
     files.delete(f"{JOURNAL}/{name}")
     columns = [*key, *[c for c in batch.columns if c not in key]]
     rows = batch.select(*columns)
-    touched = [tuple(r) for r in rows.select(*partition).distinct().collect()]  # partitions, each a folder
-    if rows.filter(reduce(Column.__or__, [F.col(c).isNull() for c in key])).limit(1).count():
+    keyless = F.count_if(reduce(Column.__or__, [F.col(c).isNull() for c in key])).alias("__keyless")
+    found = rows.groupBy(*partition).agg(keyless).collect()  # partitions, each a folder
+    touched = [tuple(r)[:-1] for r in found]
+    if any(r["__keyless"] for r in found):
         raise ValueError(f"{path}: a row of {name} has no {' or no '.join(key)}")
     there = [n for n in files.names() if not n.startswith(("_", "."))]
     held = of_partitions(spark.read.schema(rows.schema).parquet(path), touched, partition) if there else spark.createDataFrame([], rows.schema)
-    merged = put_for(held, rows, key) if replace else put_over(held, latest(rows, key, order), key)
-    merged.select(*columns).repartitionByRange(*partition, *key).write.partitionBy(*partition).parquet(f"{path}/{JOURNAL}/{name}/data")
+    merged = put_for(held, rows, key).repartitionByRange(*partition, *key) if replace else latest_over(held, rows, key, partition, order)
+    merged.select(*columns).write.partitionBy(*partition).parquet(f"{path}/{JOURNAL}/{name}/data")
     files.write(f"{JOURNAL}/{name}/schema.json", rows.schema.json())
     _put_in_place(files, name, partition)
     return True

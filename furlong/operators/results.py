@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furlong.functions.betting import blank_to_null, settle_runner
-from furlong.operators.merge import merge_into
+from furlong.operators.merge import JOURNAL, merge_into
+from furlong.sources.shared import Files, stored
 
 #: Any of these makes an outcome.
 OUTCOME = ["finishing_position", "finish_status", "starting_price"]
@@ -43,6 +44,9 @@ def settled(submitted: DataFrame, runners: DataFrame) -> DataFrame:
 
 def write_results(path: str, outcomes: DataFrame, batch: str) -> bool:
     """Merges settled outcomes into the results at ``path/results`` and marks their races as resulted at ``path/races``; false if the batch is done."""
+    if all(Files(outcomes.sparkSession, f"{path}/{t}").exists(f"{JOURNAL}/{batch}.done") for t in ("results", "races")):
+        return False
+    outcomes = stored(outcomes, "outcomes")  # several readers
     fresh = merge_into(f"{path}/results", outcomes, batch, [MONTH, "runner_id"], [MONTH])
     races = outcomes.groupBy(MONTH, "race_id").agg(F.lit("RESULTED").alias("race_status"), F.lit("CONFIRMED").alias("result_status"))
     return merge_into(f"{path}/races", races, batch, [MONTH, "race_id"], [MONTH]) or fresh

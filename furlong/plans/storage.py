@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from furlong.operators import frames, provenance, results, sectionals, wide_rows
 from furlong.plans.registry import RACES_SQL, RUNNERS_SQL, query, tidy
 from furlong.sources import racing, sqlite
-from furlong.sources.shared import fresh_path
+from furlong.sources.shared import fresh_path, stored
 
 _RACE_COLUMNS = ["id", "date", "racecourse", "distanceFurlongs", "going", "flatJumps", "raceClass", "numberOfRunners"]
 
@@ -30,7 +30,8 @@ def sqlite_races(spark: SparkSession, sf_dir: str) -> DataFrame:
   case when field_size <= 8 then 'SMALL' when field_size <= 14 then 'MEDIUM' else 'LARGE' end as band, 'T' || trainer_id as trainer, 'J' || jockey_id as jockey, draw::bigint as draw, weight_lbs::bigint as weight, official_rating::bigint as rating, headgear, finishing_position::bigint as position from runners""")
 def sqlite_global_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All runs with their races and results, from a racing database whose tables are read once."""
-    path, rows = fresh_path(spark, "racing-sqlite"), racing.runners(spark, sf_dir)
+    path = fresh_path(spark, "racing-sqlite")
+    rows = stored(racing.runners(spark, sf_dir).select("runner_id", "race_id", "horse_id", "trainer_id", "jockey_id", "draw", "weight_lbs", "official_rating", "headgear", "non_runner", "finishing_position", "field_size"), "runners")
     size = rows.select(F.col("race_id").cast("string").alias("id"), F.col("field_size").alias("numberOfRunners")).distinct()
     sqlite.save(_race_table(racing.races(spark, sf_dir)).join(size, "id", "left").select(*_RACE_COLUMNS), f"{path}/Race", "Race")
     own = {"id": F.col("runner_id").cast("string"), "raceId": F.col("race_id").cast("string"), "horseId": F.col("horse_id").cast("string"), "trainerName": F.concat(F.lit("T"), "trainer_id"), "jockeyName": F.concat(F.lit("J"), "jockey_id"), "draw": F.col("draw"), "weightLbsTotal": F.col("weight_lbs"), "officialRating": F.col("official_rating"), "headgear": F.col("headgear"), "nonRunner": F.col("non_runner")}
@@ -69,7 +70,8 @@ select coalesce(l.runner_id, f.runner_id) as runner_id, coalesce(l.race_id, f.ra
 from (select * from f where said) f full join (select * from l where said) l on f.runner_id = l.runner_id""")
 def written_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The results table after two batches: most outcomes, then corrections of first and second places for a fifth of the runners, new ones among them."""
-    path, rows = fresh_path(spark, "results"), racing.runners(spark, sf_dir)
+    path = fresh_path(spark, "results")
+    rows = stored(racing.runners(spark, sf_dir).select("runner_id", "race_id", "race_ts", "finishing_position", "sp_decimal", "field_size"), "runners")
     known = _known(rows)
     first = results.settled(_outcomes(rows.filter("runner_id % 7 <> 0")), known)
     swapped = F.when(F.col("finishing_position") == 1, 2).when(F.col("finishing_position") == 2, 1).otherwise(F.col("finishing_position"))
@@ -146,6 +148,10 @@ n as (select *, lead(seg) over w as nseg, lead(t) over w as nt, lead(d) over w a
 g as (select runner_id, i.range as seg, d, case when nclock - nt - clock > 0 then (nclock - nt - clock) / (nseg - seg - 1) else (t / d + (i.range - seg)::double / (nseg - seg) * (nt / nd - t / d)) * d end as t from n, range(7) i where i.range > seg and i.range < nseg)"""
 
 
+#: Lines whose points (seven or more each) one task puts in order.
+_POINT_LINES = 100_000
+
+
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to seven segments of each runner, some missing, some said twice, a clock for every other runner."""
     r, s = F.col("runner_id"), F.col("segment_index")
@@ -159,7 +165,7 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_POINTS_SQL} select runner_id, seg as segment_index, d::double as distance_f, round(t, 9) as seconds, false as filled from one union all select runner_id, seg, d::double, round(t, 9), true from g")
 def filled_sectionals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each runner's segments without gaps: the latest point of each, missing ones from the race's clock or their neighbours' pace."""
-    return tidy(sectionals.whole_sequences(_points(spark, sf_dir)))
+    return tidy(sectionals.whole_sequences(_points(spark, sf_dir), racing.parts(spark, sf_dir, each=_POINT_LINES)))
 
 
 @query(f"""with {_POINTS_SQL}, w as (select runner_id, seg, d, t, false as f from one union all select runner_id, seg, d, t, true from g),
@@ -167,7 +173,7 @@ a as (select runner_id, count(*) as segments, count(*) filter (f) as filled, sum
 select runner_id, segments, filled, round(seconds, 9) as seconds, round(d * 201.168::double / seconds, 9) as mean_mps, round(100 * (ld * 201.168::double / lt) / (d * 201.168::double / seconds), 9) as finishing_speed_pct from a""")
 def sectional_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each runner's total time, mean speed and finishing speed over its filled segments."""
-    return tidy(sectionals.summaries(sectionals.whole_sequences(_points(spark, sf_dir))))
+    return tidy(sectionals.summaries(sectionals.whole_sequences(_points(spark, sf_dir), racing.parts(spark, sf_dir, each=_POINT_LINES))))
 
 
 @query("""with l as (select event_id as place, user_id % 400 as horse, event_type from events), o as (select user_id % 400 as horse, arg_min(round(1 + value, 6), event_id) as odds from events where event_type = 'click' group by 1),
