@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from furlong.operators import ingest
 from furlong.plans.registry import RACES_SQL, RUNNERS_SQL, query, tidy
 from furlong.sources import files, racing
+from furlong.sources.shared import stored
 
 _RAW_SQL = RUNNERS_SQL + """,
 raw as (select runner_id, case when runner_id % 17 = 0 then '01/02/1995' when runner_id % 19 = 0 then '' else strftime(race_ts, '%Y-%m-%d') end as race_date,
@@ -91,10 +92,10 @@ k as (select horse_id, cast(race_ts as date) as day, count(*) as n, min(runner_i
 select sp.horse_id || ' ' || strftime(sp.day, '%Y-%m-%d') as sp_row, case when n = 1 then runner_id end as runner_id, case when n is null then 'no match' when n > 1 then n || ' matches' end as reason from sp left join k on k.horse_id = sp.horse_id and k.day = sp.day""")
 def sp_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starting prices matched by horse and day: one match is taken, none or several are reported."""
-    runs = racing.runners(spark, sf_dir).select("runner_id", "horse_id", F.to_date("race_ts").alias("day"))
-    rows = runs.filter("horse_id % 4 <> 1").select("horse_id", "day").union(runs.filter("horse_id % 9 = 0").select(F.col("horse_id") + 1000000000, "day")).distinct()
+    runs, parts = stored(racing.runners(spark, sf_dir).select("runner_id", "horse_id", F.to_date("race_ts").alias("day")), "runs"), racing.parts(spark, sf_dir)
+    rows = runs.filter("horse_id % 4 <> 1").select("horse_id", "day").union(runs.filter("horse_id % 9 = 0").select(F.col("horse_id") + 1000000000, "day")).repartition(parts, "horse_id", "day").distinct()
     rows = rows.withColumn("sp_row", F.concat_ws(" ", "horse_id", F.date_format("day", "yyyy-MM-dd")))
-    return ingest.one_match(rows, runs, ["horse_id", "day"], "sp_row", "runner_id")
+    return ingest.one_match(rows, runs.repartition(parts, "horse_id", "day"), ["horse_id", "day"], "sp_row", "runner_id")
 
 
 @query(f"""with {RACES_SQL}, u as (select race_id, 'going' as field, going as value, race_ts from races union all select race_id, 'race_class', race_class::varchar, race_ts from races union all select race_id, 'flat_jumps', flat_jumps, race_ts from races)
