@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import chain
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # For each role the column names that mean it, the parts of names that suggest it, and abbreviations that may stand for it.
 # fmt: off
@@ -94,18 +98,46 @@ def date_range(rows: DataFrame) -> DataFrame:
     return rows.agg(F.lit(name).cast("string").alias("date_column"), F.min(day).alias("first_day"), F.max(day).alias("last_day"))
 
 
+def _first_cells(columns: list[str], k: int):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each column a task's rows, present values and first ``k`` values; the batch has the place, whether there is one, and the columns by number."""
+        held: dict[int, pa.Table] = {}
+        rows, present, kind = 0, [0] * len(columns), None
+        for batch in batches:
+            rows, kind = rows + batch.num_rows, batch.schema.field(0).type
+            for i in range(len(columns)):
+                cells = batch.column(i + 2)
+                present[i] += len(cells) - cells.null_count
+                some = pa.table({"at": batch.column(0), "placed": batch.column(1), "value": cells}).filter(cells.is_valid())
+                if not some.num_rows:
+                    continue
+                some = pa.concat_tables([held[i], some]) if i in held else some
+                held[i] = some.take(pc.select_k_unstable(some, k, [(c, "ascending") for c in ("placed", "at", "value")]))
+        if rows:
+            names = ["column_name", "rows", "present", "at", "value"]
+            yield pa.RecordBatch.from_arrays([pa.array(columns, pa.string()), pa.array([rows] * len(columns), pa.int64()), pa.array(present, pa.int64()), pa.nulls(len(columns), kind), pa.nulls(len(columns), pa.string())], names=names)
+            for i, some in held.items():
+                n = some.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([columns[i]] * n, pa.string()), pa.array([0] * n, pa.int64()), pa.array([0] * n, pa.int64()), some["at"].combine_chunks(), some["value"].combine_chunks().cast(pa.string())], names=names)
+
+    return keep
+
+
 def profile(rows: DataFrame, order: str, samples: int = 3, width: int = 60) -> DataFrame:
-    """A row per column: rows, share of present values in percent, the first present values in ``order``, proposed role and confidence."""
+    """A row per column: rows, share of present values in percent, the first present values in ``order``, proposed role and confidence.
+
+    One pass, from which each task passes on counts and ``samples`` values of a column.
+    """
     columns = rows.columns
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
-    long = rows.select(F.col(order).alias("__at"), F.inline(cells))
-    figures = long.groupBy("column_name").agg(F.count(F.lit(1)).alias("rows"), F.count("value").alias("present"))
-    place = F.row_number().over(Window.partitionBy("column_name").orderBy("__at", "value"))
-    first = long.filter("value is not null").withColumn("n", place).filter(F.col("n") <= samples).groupBy("column_name").agg(F.array_sort(F.collect_list(F.struct("n", F.left("value", F.lit(width)).alias("v")))).alias("s"))
+    at = F.col(f"`{order}`")
+    numbered = rows.select(at.alias("__at"), at.isNotNull().cast("int").alias("__placed"), *[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
+    schema = T.StructType([T.StructField("column_name", T.StringType()), T.StructField("rows", T.LongType()), T.StructField("present", T.LongType()), T.StructField("at", rows.schema[order].dataType), T.StructField("value", T.StringType())])
+    first = F.slice(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("at", "value")))), 1, samples)
+    figures = numbered.mapInArrow(_first_cells(columns, samples), schema).groupBy("column_name").agg(F.sum("rows").alias("rows"), F.sum("present").alias("present"), first.alias("s"))
     known = proposal(columns)
     of = lambda i: F.create_map(*[F.lit(x).cast("string") for x in chain.from_iterable((c, v[i]) for c, v in known.items())])[F.col("column_name")]
     pct = F.round(100.0 * F.col("present") / F.col("rows"), 1)
-    return figures.join(first, "column_name", "left").select("column_name", "rows", pct.alias("present_pct"), F.coalesce(F.transform("s", lambda x: x["v"]), F.array().cast("array<string>")).alias("samples"), of(0).alias("role"), of(1).alias("confidence"))
+    return figures.select("column_name", "rows", pct.alias("present_pct"), F.transform("s", lambda x: F.left(x["value"], F.lit(width))).alias("samples"), of(0).alias("role"), of(1).alias("confidence"))
 
 
 def reviewed(mapping: dict[str, str], columns: list[str], changes: dict[str, str | None]) -> dict[str, str]:
