@@ -39,11 +39,8 @@ class Pair:
 def cell_text(c: Column) -> Column:
     """A cell as it is compared: trimmed text; whole numbers without a fraction; null for a blank."""
     text = F.trim(c.cast("string"))
-    return F.nullif(F.regexp_replace(text, r"^(-?\d+)\.0+$", "$1"), F.lit(""))
-
-
-def _hash(c: Column) -> Column:
-    return F.xxhash64(cell_text(c))
+    whole = F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"^(-?\d+)\.0+$", "$1")).otherwise(text)  # most cells have no point and skip the pattern
+    return F.nullif(whole, F.lit(""))
 
 
 def _smallest(k: int):
@@ -53,7 +50,10 @@ def _smallest(k: int):
         for batch in batches:
             for name, column in zip(batch.schema.names, batch.columns, strict=True):
                 fresh = column.drop_null().to_numpy(zero_copy_only=False)
-                held[name] = np.unique(np.concatenate([held.get(name, fresh[:0]), fresh]))[:k]
+                had = held.get(name, fresh[:0])
+                if len(had) == k:
+                    fresh = fresh[fresh < had[-1]]  # soon few
+                held[name] = np.unique(np.concatenate([had, fresh]))[:k] if len(fresh) else had
         for name, found in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found, pa.int64())], names=["column", "h"])
 
@@ -63,7 +63,8 @@ def _smallest(k: int):
 def sketches(rows: DataFrame, columns: list[str] | None = None, k: int = SKETCH) -> DataFrame:
     """(column, h): the ``k`` smallest hashes of each column's distinct values. Each task passes on ``k`` of a column at most."""
     columns = rows.columns if columns is None else columns
-    hashed = rows.select(*[F.when(cell_text(F.col(f"`{c}`")).isNotNull(), _hash(F.col(f"`{c}`"))).alias(c) for c in columns])
+    texts = rows.select(*[cell_text(F.col(f"`{c}`")).alias(c) for c in columns])
+    hashed = texts.select(*[F.when(F.col(f"`{c}`").isNotNull(), F.xxhash64(f"`{c}`")).alias(c) for c in columns])
     long = hashed.mapInArrow(_smallest(k), "column string, h long").distinct()
     return long.withColumn("n", F.row_number().over(Window.partitionBy("column").orderBy("h"))).filter(F.col("n") <= k).select("column", "h")
 
@@ -143,7 +144,10 @@ def joined(races: DataFrame, runners: DataFrame, pair: Pair) -> DataFrame:
 
 
 def wide_rows(tables: dict[str, DataFrame], roles: dict[str, dict[str, str]] | None = None) -> DataFrame:
-    """One table as it is; of several the race-level and the runner-level one joined. ``roles`` are confirmed mappings by table."""
+    """One table as it is; of several the race-level and the runner-level one joined. ``roles`` are confirmed mappings by table.
+
+    The sketches, the count and the join each read the tables; what is costly to compute should be stored first.
+    """
     if len(tables) == 1:
         return next(iter(tables.values()))
     race, runner = which(tables)

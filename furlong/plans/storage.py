@@ -133,9 +133,11 @@ def race_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {RUNNERS_SQL} select 'E' || race_id as event_ref, runner_id, horse_id as horse, r.course as course, 'F' || race_class as race_class, race_id % 1000 as code_race, jockey_id as code_runner from runners r where race_id % 11 <> 0""")
 def joined_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dataset's race and runner tables joined by the columns that hold the races' ids, found among decoys by their values."""
-    races, rows = racing.races(spark, sf_dir), racing.runners(spark, sf_dir)
+    races = stored(racing.races(spark, sf_dir).select("race_id", "race_ts", "course", "race_class"), "races")  # the sketches, the count and the join read both tables
+    rows = racing.entries(spark, sf_dir).join(races.select("race_id"), "race_id").filter("race_id % 11 <> 0 or race_id % 121 = 0")
+    rows = stored(rows.select("race_id", "runner_id", "horse_id", "trainer_id", "jockey_id"), "runners")
     left = races.filter("race_id % 11 <> 0").select((F.col("race_id") % 1000).alias("code"), F.concat(F.lit("E"), "race_id").alias("meeting_ref"), "course", F.concat(F.lit("F"), "race_class").alias("race_class"), F.col("race_ts").alias("race_date"))
-    right = rows.filter("race_id % 11 <> 0 or race_id % 121 = 0").select("runner_id", F.col("jockey_id").alias("code"), F.concat(F.lit("E"), "race_id").alias("event_ref"), F.col("horse_id").alias("horse"), F.col("trainer_id").alias("trainer"))
+    right = rows.select("runner_id", F.col("jockey_id").alias("code"), F.concat(F.lit("E"), "race_id").alias("event_ref"), F.col("horse_id").alias("horse"), F.col("trainer_id").alias("trainer"))
     out = wide_rows.wide_rows({"meetings": left, "entries": right})
     return out.select("event_ref", "runner_id", "horse", "course", "race_class", F.col("code_race").alias("code_race"), "code_runner")
 

@@ -72,3 +72,30 @@ def test_lines_are_dealt_into_more_parts_as_they_grow(spark):
 
     few, many = (racing.parts(spark, "/root/testdata/sf0.001", each=n) for n in (10**9, 100))
     assert few == spark.sparkContext.defaultParallelism and many > 10 * few
+
+
+def test_joined_tables_are_computed_once_and_read_from_store(spark, monkeypatch):
+    from furlong.operators import wide_rows
+    from furlong.plans.registry import QUERIES
+
+    given, join = {}, wide_rows.wide_rows
+    monkeypatch.setattr(wide_rows, "wide_rows", lambda tables: given.update(tables) or join(tables))
+    out = QUERIES["joined_tables"](spark, "/root/testdata/sf0.001")
+    read = [f for t in (out, *given.values()) for f in t.inputFiles()]
+    assert len(given) == 2 and read and not [f for f in read if "/testdata/" in f]
+
+
+def test_a_sketch_keeps_the_smallest_hashes_over_batches(spark):
+    import pyarrow as pa
+
+    from furlong.operators import wide_rows
+
+    rnd = random.Random(5)
+    values = [[rnd.choice([None, rnd.randrange(-1000, 1000)]) for _ in range(50)] for _ in range(20)] + [[None] * 50]
+    few = [[rnd.randrange(3)] * 50 for _ in values]
+    batches = (pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(f, pa.int64())], names=["many", "few"]) for v, f in zip(values, few, strict=True))
+    got = {b.column(0)[0].as_py(): b.column(1).to_pylist() for b in wide_rows._smallest(16)(batches)}
+    assert got == {"many": sorted({x for v in values for x in v if x is not None})[:16], "few": [0, 1, 2]}
+    cells = spark.createDataFrame([("7.00",), (" -7.0 ",), ("7.05",), ("1.0.0",), (".0",), ("a.0",), (" ",), (None,), ("12",)], "c string")
+    assert [r[0] for r in cells.select(wide_rows.cell_text(F.col("c"))).collect()] == ["7", "-7", "7.05", "1.0.0", ".0", "a.0", None, None, "12"]
+    assert spark.range(1).select(wide_rows.cell_text(F.lit(3.0)), wide_rows.cell_text(F.lit(3))).first()[:] == ("3", "3")
