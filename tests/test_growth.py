@@ -99,3 +99,39 @@ def test_a_sketch_keeps_the_smallest_hashes_over_batches(spark):
     cells = spark.createDataFrame([("7.00",), (" -7.0 ",), ("7.05",), ("1.0.0",), (".0",), ("a.0",), (" ",), (None,), ("12",)], "c string")
     assert [r[0] for r in cells.select(wide_rows.cell_text(F.col("c"))).collect()] == ["7", "-7", "7.05", "1.0.0", ".0", "a.0", None, None, "12"]
     assert spark.range(1).select(wide_rows.cell_text(F.lit(3.0)), wide_rows.cell_text(F.lit(3))).first()[:] == ("3", "3")
+
+
+def test_trees_of_all_labels_share_a_job_a_level(spark):
+    from furlong.operators import rounds
+
+    rnd = random.Random(7)
+    rows = [(x := rnd.randrange(8), z := rnd.randrange(4), int(rnd.random() < 0.1 + 0.1 * x), int(rnd.random() < 0.2 + 0.2 * z), rnd.randrange(1, 4)) for _ in range(2000)]
+    held = spark.createDataFrame(rows, "x int, z int, a int, b int, n int")
+    cells = models.Bucketizer(splitsArray=[[-np.inf, *[i + 0.5 for i in range(7)], np.inf], [-np.inf, 0.5, 1.5, 2.5, np.inf]], inputCols=["x", "z"], outputCols=["x__bin", "z__bin"], handleInvalid="keep")
+    table = cells.transform(held).withColumnRenamed("n", "__rows").cache()
+    table.count()
+    group = f"trees-{rnd.random()}"
+    spark.sparkContext.setJobGroup(group, "trees")
+    grown = {t: models.boosted_cells(table, cells, ["a", "b"], t) for t in (3, 13)}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs < 16 * 4 + 2 * 20  # before, five or more a tree and label
+    out = models.predicted(grown[13]["b"], models.predicted(grown[13]["a"], held, "p"), "q").toPandas()
+    for label, p, by in (("a", "p", "x"), ("b", "q", "z")):  # near the shares of rows with the label
+        shares = out.assign(hit=out[label] * out.n).groupby(by)[["hit", "n"]].sum()
+        assert (abs(out.groupby(by)[p].mean() - shares.hit / shares.n) < 0.12).all() and out[p].corr(out[by]) > 0.9
+    # a tree's first node by hand, on all rows
+    one = rounds.Tree.empty(4)
+    shape = rounds.Shape(2, 9, 1, columns=1.0)
+    sums = np.zeros((2, 9, 2))
+    for x, z, a, _, n in rows:
+        for j, v in enumerate((x, z)):
+            sums[j, v] += (n, n * (2 * a - 1))
+    assert rounds._grow(one, shape, 0, sums, np.random.default_rng(1))
+    gains = []
+    for j in range(2):
+        for cut in range(8):
+            sides = [(sum(r[4] for r in s), sum(r[4] * (2 * r[2] - 1) for r in s)) for s in ([r for r in rows if r[j] <= cut], [r for r in rows if r[j] > cut])]
+            gains.append((sum(t * t / n for n, t in sides) if all(n >= 20 for n, _ in sides) else -1.0, -j, -cut))
+    best = max(gains)
+    assert (one.feature[1], one.cut[1]) == (-best[1], -best[2])
