@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from furlong.operators import frames, provenance, results, sectionals, wide_rows
 from furlong.plans.registry import RACES_SQL, RUNNERS_SQL, query, tidy
 from furlong.sources import racing, sqlite
-from furlong.sources.shared import fresh_path, stored
+from furlong.sources.shared import Files, fresh_path, stored
 
 _RACE_COLUMNS = ["id", "date", "racecourse", "distanceFurlongs", "going", "flatJumps", "raceClass", "numberOfRunners"]
 
@@ -30,14 +30,18 @@ def sqlite_races(spark: SparkSession, sf_dir: str) -> DataFrame:
   case when field_size <= 8 then 'SMALL' when field_size <= 14 then 'MEDIUM' else 'LARGE' end as band, 'T' || trainer_id as trainer, 'J' || jockey_id as jockey, draw::bigint as draw, weight_lbs::bigint as weight, official_rating::bigint as rating, headgear, finishing_position::bigint as position from runners""")
 def sqlite_global_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All runs with their races and results, from a racing database whose tables are read once."""
-    path = fresh_path(spark, "racing-sqlite")
-    rows = stored(racing.runners(spark, sf_dir).select("runner_id", "race_id", "horse_id", "trainer_id", "jockey_id", "draw", "weight_lbs", "official_rating", "headgear", "non_runner", "finishing_position", "field_size"), "runners")
+    path, held = fresh_path(spark, "racing-sqlite"), fresh_path(spark, "racing-held")
+    kept = fresh_path(spark, "racing-rows")
+    racing.runners(spark, sf_dir).select("runner_id", "race_id", "horse_id", "trainer_id", "jockey_id", "draw", "weight_lbs", "official_rating", "headgear", "non_runner", "finishing_position", "field_size").write.parquet(kept)
+    rows = spark.read.parquet(kept)
     size = rows.select(F.col("race_id").cast("string").alias("id"), F.col("field_size").alias("numberOfRunners")).distinct()
     sqlite.save(_race_table(racing.races(spark, sf_dir)).join(size, "id", "left").select(*_RACE_COLUMNS), f"{path}/Race", "Race")
     own = {"id": F.col("runner_id").cast("string"), "raceId": F.col("race_id").cast("string"), "horseId": F.col("horse_id").cast("string"), "trainerName": F.concat(F.lit("T"), "trainer_id"), "jockeyName": F.concat(F.lit("J"), "jockey_id"), "draw": F.col("draw"), "weightLbsTotal": F.col("weight_lbs"), "officialRating": F.col("official_rating"), "headgear": F.col("headgear"), "nonRunner": F.col("non_runner")}
     sqlite.save(rows.select(*[c.alias(k) for k, c in own.items()]), f"{path}/Runner", "Runner")
     sqlite.save(rows.filter("finishing_position is not null").select(own["id"].alias("runnerId"), F.col("finishing_position").alias("finishingPosition")), f"{path}/ResultEntry", "ResultEntry")
-    runs = sqlite.RacingData(spark, path, f"{path}/held").global_runs
+    Files(spark, kept).delete("")
+    runs = sqlite.RacingData(spark, path, held, hold_sources=False).global_runs
+    Files(spark, path).delete("")  # the runs are held
     names = ["id", "race_id", "horse_id", "race_us", "course", "distance_f", "going", "flat_jumps", "race_class", "n_runners", "band", "trainer", "jockey", "draw", "weight", "rating", "headgear", "position"]
     return tidy(runs.withColumn("raceDate", F.unix_micros("raceDate")).toDF(*names))
 

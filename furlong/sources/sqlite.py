@@ -421,7 +421,8 @@ def global_runs(races: DataFrame, runners: DataFrame, results: DataFrame) -> Dat
     about = races.select(F.col("id").alias("raceId"), F.col("date").alias("raceDate"), F.col("racecourse").alias("course"), "distanceFurlongs", "going", "flatJumps", "raceClass", "numberOfRunners")
     own = [c for c in ("id", "raceId", "horseId", "trainerName", "jockeyName", "draw", "weightLbsTotal", "officialRating", "headgear")]
     placed = results.select(F.col("runnerId").alias("id"), "finishingPosition")
-    return runners.select(*own).join(about, "raceId").join(placed, "id", "left").withColumn("fieldSizeBand", field_size_band(F.col("numberOfRunners"))).select(*RUN_COLUMNS)
+    # results first, while rows are narrow: the races' columns are shuffled with no runner
+    return runners.select(*own).join(placed, "id", "left").join(about, "raceId").withColumn("fieldSizeBand", field_size_band(F.col("numberOfRunners"))).select(*RUN_COLUMNS)
 
 
 @dataclass
@@ -429,24 +430,34 @@ class RacingData:
     """The tables of a racing database, each read from SQLite once, when it is first asked for, and from Parquet in ``folder`` after that.
 
     ``database`` may be a folder that has a folder of databases for each table. A folder that another session has filled is used as it is;
-    ``refresh`` forgets a table.
+    ``refresh`` forgets a table. Without ``hold_sources`` the tables that the runs of all horses are made of are not stored for them.
     """
 
     spark: SparkSession
     database: str
     folder: str
     partitions: int | None = None
+    hold_sources: bool = True
     _held: dict[str, DataFrame] = field(default_factory=dict)
 
     def table(self, name: str) -> DataFrame:
         if name not in self._held:
             path = f"{self.folder}/{name}"
             if not Files(self.spark, self.folder).exists(f"{name}/_SUCCESS"):
-                whole = global_runs(self.table("races"), self.table("runners"), self.table("results")) if name == "global_runs" else scan(self.spark, self._place(name), TABLES[name], partitions=self.partitions)
+                whole = global_runs(*map(self._source, ("races", "runners", "results"))) if name == "global_runs" else self._scan(name)
                 whole.write.mode("overwrite").parquet(path)
             self._held[name] = self.spark.read.parquet(path)
         return self._held[name]
 
+    def _source(self, name: str) -> DataFrame:
+        """A table that another one is made of: as it is held, or out of SQLite where such tables are not stored."""
+        if self.hold_sources or name in self._held or Files(self.spark, self.folder).exists(f"{name}/_SUCCESS"):
+            return self.table(name)
+        return self._scan(name)
+
+    def _scan(self, name: str) -> DataFrame:
+        return scan(self.spark, self._place(name), TABLES[name], partitions=self.partitions)
+
     def _place(self, name: str) -> str:
         """The database, or the folder of a table of its own as ``save`` writes it."""
         own = f"{self.database}/{TABLES[name]}"

@@ -154,3 +154,18 @@ def test_columns_put_away_come_back_as_they_were(spark):
     assert slim.columns == ["k", "__x"]
     out = slim.select("k", *[c.alias(n) for n, c in back.items()]).select(rows.columns)
     assert out.dtypes == rows.dtypes and sorted(map(tuple, out.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_runs_of_all_horses_leave_nothing_else_behind(spark):
+    import os
+
+    from furlong.plans import storage
+    from furlong.sources.shared import shared_dir
+
+    before = set(os.listdir(shared_dir(spark)))
+    out = storage.sqlite_global_runs(spark, "/root/testdata/sf0.001")
+    assert out.count() > 5000
+    new = {n.rsplit("-", 1)[0] for n in set(os.listdir(shared_dir(spark))) - before}
+    assert new == {"racing-held"}
+    held = next(os.path.join(shared_dir(spark), n) for n in set(os.listdir(shared_dir(spark))) - before)
+    assert os.listdir(held) == ["global_runs"]
